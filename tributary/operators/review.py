@@ -17,6 +17,7 @@ from tributary.operators.ledger import as_json
 ITEM_TYPES = ("MAPPING_AMBIGUITY", "CONFIRM_SENSITIVE_MAPPINGS", "DATE_FORMAT_AMBIGUOUS", "ENUM_VALUE_AMBIGUOUS",
               "SENSITIVE_FIELD_CONFLICT", "NEAR_DUPLICATE_RECORD", "VALIDATION_FAILED_TWICE", "PUSH_REJECTED_4XX",
               "TARGET_OUTAGE_HALT", "IDENTITY_CONFLICT")
+REENTERING = ("VALIDATION_FAILED_TWICE", "PUSH_REJECTED_4XX")
 COLUMN_LEVEL = ("MAPPING_AMBIGUITY", "CONFIRM_SENSITIVE_MAPPINGS", "DATE_FORMAT_AMBIGUOUS", "ENUM_VALUE_AMBIGUOUS")
 
 
@@ -180,8 +181,10 @@ def apply_resolutions(canonical: DataFrame, resolved: DataFrame, item_members: D
 
     Record-level items only: a correction sets the named field (or the field
     the item is about), an approval sets the proposed value, a rejection
-    rejects the record. ``value = 'merge'`` on a near duplicate drops the
-    later key of the pair. Each record gets at most one value per field.
+    rejects the record. Records that failed checks or were refused by the
+    target re-enter as ``ready``; other items leave the status alone.
+    ``value = 'merge'`` on a near duplicate drops all but the first key of
+    the group. Each record gets at most one value per field.
     """
     decided = resolved.filter((F.col("status") == "resolved") & ~F.col("type").isin(*COLUMN_LEVEL))
     field = F.coalesce("field", F.get_json_object("context", "$.field"))
@@ -197,7 +200,8 @@ def apply_resolutions(canonical: DataFrame, resolved: DataFrame, item_members: D
     values = latest.groupBy("run_id", "canonical_key").agg(
         F.map_from_entries(F.collect_list(F.struct("field", F.col("v.chosen")))).alias("_values"))
     outcome = facts.groupBy("run_id", "canonical_key").agg(
-        F.max(F.col("action") == "reject").alias("_rejected"), F.count_if(F.col("action") != "reject").alias("_accepted"))
+        F.max(F.col("action") == "reject").alias("_rejected"),
+        F.count_if((F.col("action") != "reject") & F.col("type").isin(*REENTERING)).alias("_accepted"))
     merges = facts.filter((F.col("type") == "NEAR_DUPLICATE_RECORD") & (F.col("value") == "merge"))
     first = merges.groupBy("run_id", "group_key").agg(F.min("canonical_key").alias("_keep"))
     merged_away = (merges.join(first, ["run_id", "group_key"]).filter(F.col("canonical_key") != F.col("_keep"))
