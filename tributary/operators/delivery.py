@@ -5,7 +5,7 @@ attempts: (id, run_id, record_id, attempt, http_status)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tributary.operators.ordering import CHUNK, POS, ROW, carry_in, number_rows, within_chunk
 from tributary.operators.review import findings
@@ -89,7 +89,7 @@ def outage_scan(statuses: DataFrame, limit: int = 3, batch_size: int = 10) -> Da
     """
     ordered = number_rows(statuses, ["first_id", "record_id"])
     w = within_chunk()
-    so_far = w.rowsBetween(w.unboundedPreceding, w.currentRow)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ordered.withColumn("_fails", F.count_if(F.col("status") == "failed").over(so_far))
     local = local.withColumn("_reset", F.max(F.when(F.col("status") == "pushed", F.col("_fails"))).over(so_far))
     chunks = local.groupBy(CHUNK).agg(F.max("_fails").alias("_total"), F.max("_reset").alias("_last_reset"))

@@ -95,23 +95,33 @@ def _attachments(keys: DataFrame, owners: DataFrame, guard: bool) -> DataFrame:
         "seq", F.col("b.target").alias("entity_seq"), F.col("b.kind").alias("kind"))
 
 
-def find_seeds(keys: DataFrame, guard: bool = True, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """The seeds among rows with at least one key, found in rounds.
+def _settle(rows: DataFrame, guard: bool, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(seeds, attachments) of the rows that have at least one key.
 
     A round settles every row that leads all its keys, and every row tied to
     one of those. What is left shrinks quickly; each round is written out, so
     the lineage stays short and a lost executor costs one round at most.
     """
-    open_keys, seeds = keys, None
-    for _ in range(max_rounds):
-        new = materialize(_round_seeds(open_keys, guard), "seeds")
-        seeds = new if seeds is None else seeds.unionByName(new)
-        tied = _attachments(open_keys, _key_owners(open_keys, new), guard)
-        open_keys = materialize(
-            open_keys.join(new, "seq", "left_anti").join(tied, "seq", "left_anti"), "open")
-        if open_keys.isEmpty():
-            return seeds
-    raise RuntimeError(f"linking did not settle within {max_rounds} rounds")
+    open_rows, open_count = rows, rows.count()
+    seeds, rounds = rows.select("seq").limit(0), 0
+    tied = rows.select("seq", F.col("seq").alias("entity_seq"), F.lit(ID).alias("kind")).limit(0)
+    while open_count:
+        rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError(f"linking did not settle within {max_rounds} rounds")
+        keys = key_table(open_rows)
+        new = materialize(_round_seeds(keys, guard), "seeds")
+        tied = materialize(_attachments(keys, _key_owners(keys, new), guard), "tied")
+        seeds = seeds.unionByName(new)
+        open_count -= new.count() + tied.count()
+        if open_count:
+            settled = new.unionByName(tied.select("seq"))
+            open_rows = materialize(open_rows.join(settled, "seq", "left_anti"), "open")
+    if rounds > 1:
+        # A row tied in one round may reach a seed of a later round by a stronger key.
+        keys = key_table(rows)
+        tied = _attachments(keys, _key_owners(keys, seeds), guard).join(seeds, "seq", "left_anti")
+    return seeds, tied
 
 
 def link(staged: DataFrame, forbid_conflicting_ids: bool = True, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -119,11 +129,9 @@ def link(staged: DataFrame, forbid_conflicting_ids: bool = True, max_rounds: int
 
     ``matched_by`` is ``seed``, ``id``, ``email`` or ``name``.
     """
-    rows = identity_columns(staged)
-    keys = materialize(key_table(rows), "keys")
-    seeds = find_seeds(keys, forbid_conflicting_ids, max_rounds)
-    attached = _attachments(keys, _key_owners(keys, seeds), forbid_conflicting_ids)
-    attached = attached.join(seeds, "seq", "left_anti")
+    rows = materialize(identity_columns(staged), "identity")
+    keyed = rows.filter("by_id IS NOT NULL OR by_email IS NOT NULL OR by_name IS NOT NULL")
+    _, attached = _settle(keyed, forbid_conflicting_ids, max_rounds)
     kind_name = F.element_at(F.create_map(*[F.lit(x) for kv in KIND_NAMES.items() for x in kv]), F.col("kind"))
     return (rows.select("seq").join(attached, "seq", "left")
             .select("seq", F.coalesce("entity_seq", "seq").alias("entity_seq"),

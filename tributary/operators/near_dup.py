@@ -6,19 +6,24 @@ name and one birth date cost one node. Two names of lengths N >= M pass the
 threshold when they share a subsequence of at least r(N, M) letters, and then
 
 * if N - r <= 2, both contain the same text after dropping N - r and M - r
-  letters: nodes meet on that remaining text, and everything that meets at
+  letters: nodes meet on that remaining text, and whatever meets there at
   sufficient length is a true pair;
 * otherwise the longer one, cut into one more piece than there can be edits,
   has a piece standing unchanged in the shorter one near the same place.
 
-Neither way pairs up a whole birth date, and no pair is missed.
+Neither way pairs up a whole birth date, and no pair is missed. The names of
+one birth date, be it a third of all rows, spread over as many hash keys as
+they have remaining texts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.functions.similarity import indel_ratio, sorted_tokens
+from tributary.session import materialize
 
 DEFAULT_THRESHOLD = 90.0
 MIN_THRESHOLD = 75.0  # below it a name could be cut into more pieces than it has letters
@@ -38,8 +43,31 @@ def members(merged: DataFrame) -> DataFrame:
 
 
 def nodes(member_rows: DataFrame) -> DataFrame:
-    return (member_rows.groupBy("block", "name").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("len", F.length("name")))
+    """One numbered row per distinct (block, name): node, block, name, len, n."""
+    found = member_rows.groupBy("block", "name").agg(F.count(F.lit(1)).alias("n")).withColumn("len", F.length("name"))
+    return materialize(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def _needed(n: int, m: int, t: float) -> int:
+    return math.ceil(t * (n + m) / 200.0 - 1e-9)
+
+
+def _partners(n: int, t: float) -> range:
+    return range(max(1, math.ceil(n * t / (200.0 - t) - 1e-9)), math.floor(n * (200.0 - t) / t + 1e-9) + 1)
+
+
+def _drops_by_length(t: float) -> dict[int, list[int]]:
+    """How many letters a name of each length drops to meet its partners on the remaining text.
+
+    N - r grows with N, so only lengths below 3 / (1 - t/100) take part.
+    """
+    if t >= 100:
+        return {}
+    out = {}
+    for n in range(1, math.ceil((_MAX_DROPS + 1) / (1 - t / 100.0)) + _MAX_DROPS + 2):
+        need = {m: _needed(n, m, t) for m in _partners(n, t)}
+        out[n] = sorted({n - r for m, r in need.items() if max(n, m) - r <= _MAX_DROPS and n - r < n})
+    return out
 
 
 def shared_needed(n: Column, m: Column, t: float) -> Column:
@@ -53,40 +81,56 @@ def _partner_lengths(n: Column, t: float) -> Column:
     return F.sequence(low, high)
 
 
-def _dropping(name: Column, length: Column, drops: int) -> Column:
-    """All texts left after dropping this many letters."""
-    if drops == 0:
-        return F.array(name)
-    if drops == 1:
-        return F.transform(F.sequence(F.lit(1), length), lambda i: F.concat(
-            F.left(name, i - 1), F.substring(name, i + 1, length)))
-    return F.flatten(F.transform(F.sequence(F.lit(1), length - 1), lambda i: F.transform(
-        F.sequence(i + 1, length), lambda j: F.concat(
-            F.left(name, i - 1), F.substring(name, i + 1, j - i - 1), F.substring(name, j + 1, length)))))
-
-
 def _remainders(node_rows: DataFrame, t: float) -> DataFrame:
-    """(block, name, len, kept, sig): the texts a node can share with a partner, as hashes."""
+    """(sig, node, len, kept): the texts a node can share with a partner, as hashes."""
     name, n = F.col("name"), F.col("len")
-    partners = _partner_lengths(n, t)
-    empty = F.array().cast("array<string>")
-
-    def wanted(drops):
-        return (n > drops) & F.exists(partners, lambda m: (n - shared_needed(n, m, t) == drops)
-                                      & (F.greatest(n, m) - shared_needed(n, m, t) <= _MAX_DROPS))
-    parts = [F.when(wanted(d), F.array_distinct(_dropping(name, n, d))).otherwise(empty)
-             for d in range(_MAX_DROPS + 1)]
-    return (node_rows.select("block", "name", "len", F.explode(F.flatten(F.array(*parts))).alias("rest"))
-            .select("block", "name", "len", F.length("rest").alias("kept"), F.xxhash64("block", "rest").alias("sig")))
+    lengths = {d: [n_ for n_, ds in _drops_by_length(t).items() if d in ds] for d in range(_MAX_DROPS + 1)}
+
+    def of(drops: int) -> DataFrame:
+        return node_rows.filter(n.isin(*lengths[drops]) if lengths[drops] else F.lit(False))
+
+    one = of(1).withColumn("i", F.explode(F.sequence(F.lit(1), n)))
+    two = (of(2).withColumn("i", F.explode(F.sequence(F.lit(1), n - 1)))
+           .withColumn("j", F.explode(F.sequence(F.col("i") + 1, n))))
+    i, j = F.col("i"), F.col("j")
+    texts = [
+        (of(0), name),
+        (one, F.concat(F.left(name, i - 1), F.substring(name, i + 1, n))),
+        (two, F.concat(F.left(name, i - 1), F.substring(name, i + 1, j - i - 1), F.substring(name, j + 1, n))),
+    ]
+    out = None
+    for drops, (rows, rest) in enumerate(texts):
+        part = rows.select(F.xxhash64("block", rest).alias("sig"), "node", "len", (n - drops).alias("kept"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _pairs_by_remainder(node_rows: DataFrame, t: float) -> DataFrame:
+    """Candidate pairs (node_a < node_b).
+
+    Nearly every hash is met by one or two nodes, and those are settled by a
+    plain aggregation; only hashes met more often are joined with themselves,
+    and there the length test lets only true pairs through.
+    """
     sigs = _remainders(node_rows, t)
-    a, b = sigs.alias("a"), sigs.alias("b")
+    met = materialize(
+        sigs.groupBy("sig").agg(F.min("node").alias("node_a"), F.max("node").alias("node_b"),
+                                F.count(F.lit(1)).alias("times")).filter("node_a < node_b"), "met")
+    often = sigs.join(met.filter("times > 2").select("sig"), "sig", "left_semi").distinct()
+    a, b = often.alias("a"), often.alias("b")
     need = shared_needed(F.col("a.len"), F.col("b.len"), t)
-    return a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.block") == F.col("b.block"))
-                  & (F.col("a.name") < F.col("b.name")) & (F.col("a.kept") >= need)) \
-            .select("a.block", F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"))
+    crowded = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node"))
+                     & (F.col("a.kept") == F.col("b.kept")) & (F.col("a.kept") >= need)) \
+               .select(F.col("a.node").alias("node_a"), F.col("b.node").alias("node_b"))
+    return met.select("node_a", "node_b").unionByName(crowded)
+
+
+def _shortest_far(t: float) -> int:
+    """Shortest name with a partner outside the reach of the remainders."""
+    n = 1
+    while not any(max(n, m) - _needed(n, m, t) > _MAX_DROPS for m in _partners(n, t)):
+        n += 1
+    return n
 
 
 def _far(n: Column, m: Column, t: float) -> Column:
@@ -108,38 +152,52 @@ def _piece_bounds(n: Column, pieces: Column) -> Column:
 
 
 def _pairs_by_piece(node_rows: DataFrame, t: float) -> DataFrame:
-    name, n = F.col("name"), F.col("len")
+    """Candidate pairs (node_a < node_b) of names too long or too unequal for the remainders."""
+    if t >= 100:
+        return node_rows.select(F.col("node").alias("node_a"), F.col("node").alias("node_b")).limit(0)
+    n, name = F.col("len"), F.col("name")
+    node_rows = node_rows.filter(n >= _shortest_far(t))
     long_side = (node_rows.withColumn("k", _edits(n, t)).filter("k >= 0")
-                 .select("block", "name", "len", F.explode(_piece_bounds(n, F.col("k") + 1)).alias("p"))
-                 .select("block", "name", "len", F.xxhash64(
-                     "block", "len", "p.i", F.substring(name, F.col("p.at"), F.col("p.size"))).alias("sig")))
-    # The partner of length m looks for the pieces of every longer length it can pair with.
-    probes = (node_rows.select("block", "name", F.col("len").alias("m"),
+                 .select("block", "name", "node", "len", F.explode(_piece_bounds(n, F.col("k") + 1)).alias("p"))
+                 .select("node", F.xxhash64("block", "len", "p.i", F.substring(name, F.col("p.at"), F.col("p.size"))).alias("sig")))
+    # A partner of length m looks for the pieces of every longer length it can pair with.
+    probes = (node_rows.select("block", "name", "node", F.col("len").alias("m"),
                                F.explode(F.filter(_partner_lengths(n, t), lambda x: (x >= n) & _far(x, n, t))).alias("big"))
               .withColumn("k", _edits(F.col("big"), t))
               .withColumn("need", shared_needed(F.col("big"), F.col("m"), t))
-              .select("block", "name", "m", "big", "need",
+              .select("block", "name", "node", "m", "big", "need",
                       F.explode(_piece_bounds(F.col("big"), F.col("k") + 1)).alias("p"))
-              .select("block", "name", "m", "big", "p",
+              .select("block", "name", "node", "m", "big", "p",
                       F.explode(F.sequence(F.greatest(F.lit(1), F.col("p.at") - (F.col("big") - F.col("need"))),
                                            F.greatest(F.lit(1), F.col("p.at") + (F.col("m") - F.col("need"))))).alias("at"))
               .filter(F.col("at") + F.col("p.size") - 1 <= F.col("m"))
-              .select("block", "name", F.col("big").alias("len"), F.xxhash64(
-                  "block", "big", "p.i", F.substring("name", F.col("at"), F.col("p.size"))).alias("sig")).distinct())
+              .select("node", F.xxhash64("block", "big", "p.i", F.substring("name", F.col("at"), F.col("p.size"))).alias("sig")))
     a, b = long_side.alias("a"), probes.alias("b")
-    found = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.block") == F.col("b.block"))
-                   & (F.col("a.len") == F.col("b.len")) & (F.col("a.name") != F.col("b.name")))
-    return found.select("a.block", F.least("a.name", "b.name").alias("name_a"),
-                        F.greatest("a.name", "b.name").alias("name_b"))
+    found = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") != F.col("b.node")))
+    return found.select(F.least("a.node", "b.node").alias("node_a"), F.greatest("a.node", "b.node").alias("node_b"))
 
 
 def similar_names(node_rows: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """(block, name_a, name_b, similarity) for distinct names of one block at or above the threshold."""
+    """(block, name_a, name_b, similarity, n_a, n_b) for distinct names of one block at or above the threshold.
+
+    Candidates meet on 64-bit hashes; block and similarity are checked on the
+    names themselves, so a chance collision cannot add a pair.
+    """
     if not MIN_THRESHOLD <= threshold <= 100:
         raise ValueError(f"threshold must lie between {MIN_THRESHOLD} and 100")
     candidates = _pairs_by_remainder(node_rows, threshold).unionByName(_pairs_by_piece(node_rows, threshold)).distinct()
-    return (candidates.withColumn("similarity", indel_ratio(F.col("name_a"), F.col("name_b")))
-            .filter(F.col("similarity") >= threshold))
+
+    def side(s):
+        return node_rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "block", "name", "n")])
+    pairs = (candidates.join(side("a"), "node_a").join(side("b"), "node_b")
+             .filter("block_a = block_b AND name_a <> name_b")
+             .withColumn("similarity", indel_ratio(F.col("name_a"), F.col("name_b")))
+             .filter(F.col("similarity") >= threshold))
+    first = F.col("name_a") < F.col("name_b")
+    return pairs.select(
+        F.col("block_a").alias("block"), F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"),
+        "similarity", F.when(first, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
+        F.when(first, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
 
 
 def near_duplicates(merged: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -151,10 +209,7 @@ def near_duplicates(merged: DataFrame, threshold: float = DEFAULT_THRESHOLD) ->
     listed one by one.
     """
     node_rows = nodes(members(merged))
-    count = node_rows.select("block", "name", "n")
-    pairs = (similar_names(node_rows, threshold)
-             .join(count.withColumnsRenamed({"name": "name_a", "n": "entities_a"}), ["block", "name_a"])
-             .join(count.withColumnsRenamed({"name": "name_b", "n": "entities_b"}), ["block", "name_b"]))
+    pairs = similar_names(node_rows, threshold).withColumnsRenamed({"n_a": "entities_a", "n_b": "entities_b"})
     same = node_rows.filter("n > 1").select(
         "block", F.col("name").alias("name_a"), F.col("name").alias("name_b"), F.lit(100.0).alias("similarity"),
         F.col("n").alias("entities_a"), F.col("n").alias("entities_b"))

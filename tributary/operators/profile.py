@@ -53,10 +53,11 @@ def column_samples(counts: DataFrame, n: int = SAMPLES) -> DataFrame:
     The rank filter is pushed below the shuffle, so each task sends at most
     ``n`` values per column.
     """
-    first = Window.partitionBy("source", "column").orderBy("first_row")
-    top = (counts.filter(F.col("value").isNotNull())
-           .withColumn("position", F.row_number().over(first)).filter(F.col("position") <= n))
-    return top.select("source", "column", "position", "value")
+    # NULL sorts last instead of being filtered first, so that this branch and
+    # the statistics read one and the same aggregation.
+    first = Window.partitionBy("source", "column").orderBy(F.col("value").isNull(), "first_row")
+    top = counts.withColumn("position", F.row_number().over(first)).filter(F.col("position") <= n)
+    return top.filter(F.col("value").isNotNull()).select("source", "column", "position", "value")
 
 
 def gather_samples(samples: DataFrame) -> DataFrame:

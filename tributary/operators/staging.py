@@ -67,13 +67,9 @@ def enum_value(c: Column, f: Field, contract: Contract, learned: Column | None =
     return F.coalesce(known, c) if learned is None else F.coalesce(known, learned, c)
 
 
-def normalize(staged: DataFrame, contract: Contract, orders: dict[str, Column] | None = None,
+def normalize(staged: DataFrame, contract: Contract, orders: dict[str, str | None] | None = None,
               rules: DataFrame | None = None, phone_region: str = "IN") -> DataFrame:
-    """Normalize every contract field by its type.
-
-    ``orders`` gives the date order of each date field as a column (usually a
-    scalar subquery over ``date_orders``).
-    """
+    """Normalize every contract field by its type; ``orders`` gives the date order of each date field."""
     orders = orders or {}
     if rules is not None:
         staged = _with_learned_enums(staged, contract, rules)
@@ -89,7 +85,7 @@ def normalize(staged: DataFrame, contract: Contract, orders: dict[str, Column] |
         elif f.type == "phone":
             c = text.phone_e164(c, phone_region)
         elif f.type == "date":
-            c = dates.to_iso(c, orders.get(f.name, F.lit(None).cast("string")))
+            c = dates.to_iso(c, F.lit(orders.get(f.name)).cast("string"))
         elif f.type == "enum":
             c = enum_value(c, f, contract, F.col(f"_learned_{f.name}") if rules is not None else None)
         out.append(c.alias(f.name))
@@ -106,32 +102,39 @@ def _with_learned_enums(staged: DataFrame, contract: Contract, rules: DataFrame)
     return staged
 
 
-def stage_source(df: DataFrame, source_ord: int, source: str, mapping: dict[str, str], contract: Contract,
-                 rules: DataFrame | None = None, default_date_order: str | None = None,
-                 phone_region: str = "IN") -> DataFrame:
-    """One source from all-string cells to normalized contract rows."""
-    orders = date_orders(df, source, mapping, contract, rules)
-    order_of: dict[str, Column] = {}
-    if orders is not None:
-        if default_date_order:
-            unclear = F.col("date_order") == dates.AMBIGUOUS
-            orders = orders.withColumn("date_order", F.when(unclear, default_date_order).otherwise(F.col("date_order")))
-        for column, target in mapping.items():
-            if target in contract and contract[target].type == "date":
-                one = orders.filter(F.col("column") == column).agg(F.max("date_order").alias("o"))
-                order_of[target] = one.scalar()
-    return normalize(apply_mapping(df, source_ord, mapping, contract), contract, order_of, rules, phone_region)
+def all_date_orders(sources: dict[str, DataFrame], mappings: dict[str, dict[str, str]], contract: Contract,
+                    rules: DataFrame | None = None) -> DataFrame | None:
+    """The date orders of all sources; NULL when no date column is mapped."""
+    out = None
+    for name, df in sources.items():
+        part = date_orders(df, name, mappings.get(name, {}), contract, rules)
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def stage(sources: dict[str, DataFrame], mappings: dict[str, dict[str, str]], contract: Contract,
           rules: DataFrame | None = None, default_date_order: str | None = None,
-          phone_region: str = "IN") -> DataFrame:
-    """All sources, in the given order, as one table of contract rows."""
+          phone_region: str = "IN", orders: DataFrame | None = None) -> DataFrame:
+    """All sources, in the given order, as one table of normalized contract rows.
+
+    The date orders (one row per date column) come to the driver, so that the
+    row expressions hold only the branch each column needs; ``orders`` passes
+    them in when they are known already.
+    """
+    if orders is None:
+        orders = all_date_orders(sources, mappings, contract, rules)
+    known = {(r["source"], r["column"]): r["date_order"] for r in orders.collect()} if orders is not None else {}
     out = None
     for i, (name, df) in enumerate(sources.items()):
-        if not mappings.get(name):
+        mapping = mappings.get(name)
+        if not mapping:
             continue
-        part = stage_source(df, i, name, mappings[name], contract, rules, default_date_order, phone_region)
+        by_field = {}
+        for column, target in mapping.items():
+            order = known.get((name, column))
+            by_field[target] = default_date_order if order == dates.AMBIGUOUS and default_date_order else order
+        part = normalize(apply_mapping(df, i, mapping, contract), contract, by_field, rules, phone_region)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no source has a mapped column")

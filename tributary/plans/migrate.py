@@ -72,9 +72,10 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
     profiles = materialize(profile.profile(list(sources.values())), "profiles")
     decisions = materialize(mapping.decide(profiles, contract, rules, options.mapping), "decisions")
     plan = mapping.accepted(decisions)
-    orders = _date_orders(sources, plan, contract, rules)
+    orders = staging.all_date_orders(sources, plan, contract, rules)
+    orders = None if orders is None else materialize(orders, "date_orders")
     staged = materialize(
-        staging.stage(sources, plan, contract, rules, options.default_date_order, options.phone_region), "staged")
+        staging.stage(sources, plan, contract, rules, options.default_date_order, options.phone_region, orders), "staged")
     links = materialize(entity.link(staged, options.forbid_conflicting_ids), "links")
     merged = materialize(entity.merge(staged, links, contract, precedence), "merged")
 
@@ -122,15 +123,6 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
                        entity.merge_events(staged, links, merged), conflicts, checked, items))
 
 
-def _date_orders(sources, plan, contract, rules):
-    out = None
-    for name, df in sources.items():
-        part = staging.date_orders(df, name, plan.get(name, {}), contract, rules)
-        if part is not None:
-            out = part if out is None else out.unionByName(part)
-    return None if out is None else materialize(out, "date_orders")
-
-
 def _applications(decisions, orders, sources, plan, contract, rules) -> DataFrame:
     """(kind, fingerprint) of every use of a rule in this run."""
     column = F.concat_ws(":", "source", "column")

@@ -10,6 +10,7 @@ from tributary.plans import oracle as o
 from tributary.plans.migrate import Options, migrate
 from tributary.plans.registry import query
 from tributary.plans.source_queries import export_date_orders, export_profiles
+from tributary.session import materialize
 from tributary.sources import bridge as b
 
 RUN, CLIENT = "run_0", "client"
@@ -18,25 +19,26 @@ _WHEN = "2024-02-01 00:00:00"
 
 def column_findings(spark, sf) -> DataFrame:
     """Everything undecided about columns and enum values of the exports."""
-    decisions = mapping.decide(export_profiles(spark, sf), b.CONTRACT)
+    decisions = materialize(mapping.decide(export_profiles(spark, sf), b.CONTRACT), "decisions")
     unknown = staging.unrecognized_enums(b.staged(spark, sf), b.CONTRACT)
     guess = F.to_json(mapping.enum_fallback(F.col("field"), F.col("value"), b.CONTRACT))
-    return review.union_all([
+    return materialize(review.union_all([
         review.mapping_findings(decisions, RUN),
         review.sensitive_findings(mapping.sensitive_columns(decisions, b.CONTRACT), RUN, CLIENT),
         review.date_findings(export_date_orders(spark, sf), RUN),
-        review.enum_findings(unknown, RUN, guess)])
+        review.enum_findings(unknown, RUN, guess)]), "findings")
 
 
 def record_findings(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(findings about records, the checked canonical records)."""
     rows, links, merged = b.merged(spark, sf)
-    canonical = b.canonical(merged)
-    groups = near_dup.near_duplicates(merged)
-    return review.union_all([
+    canonical = materialize(b.canonical(merged), "canonical")
+    groups = materialize(near_dup.near_duplicates(merged), "near_dups")
+    found = review.union_all([
         review.conflict_findings(entity.sensitive_conflicts(rows, links, merged, b.CONTRACT), RUN),
         review.near_dup_findings(groups, near_dup.near_duplicate_members(merged, groups), RUN),
-        review.validation_findings(canonical, RUN)]), canonical
+        review.validation_findings(canonical, RUN)])
+    return materialize(found, "findings"), canonical
 
 
 o.block("column_findings", """

@@ -212,8 +212,9 @@ def dates_to_iso(spark, sf):
     for source, columns in _DATES.items():
         df = b.export(spark, sf, source)
         orders = staging.column_date_orders(df, source, columns)
+        found = {r["column"]: r["date_order"] for r in orders.collect()}
         for c in columns:
-            order = orders.filter(F.col("column") == c).agg(F.max("date_order")).scalar()
+            order = F.lit(found[c])
             part = df.select(F.col(readers.SOURCE).alias("source"), F.lit(c).alias("column"), F.col(readers.ROW_NUM).alias("row_num"),
                              F.col(c).alias("raw"), dates.to_iso(F.col(c), order).alias("iso"))
             out = part if out is None else out.unionByName(part)

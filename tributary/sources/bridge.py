@@ -146,8 +146,10 @@ def linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(staged rows, links, merged entities), each written once."""
     rows, links = linked(spark, sf_dir)
-    return rows, links, entity.merge(rows, links, CONTRACT, PRECEDENCE)
+    links = materialize(links, "links")
+    return rows, links, materialize(entity.merge(rows, links, CONTRACT, PRECEDENCE), "merged")
 
 
 def canonical(merged_rows: DataFrame, run_id: str = "run_0") -> DataFrame:
