@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tributary.operators.ordering import CHUNK, POS, ROW, carry_in, number_rows, within_chunk
 from tributary.operators.review import findings
+from tributary.operators.skew import hot_keys, salted_join
 from tributary.operators.ledger import as_json
+from tributary.session import materialize
 
 SUCCESS_CODES = (200, 201)
 
@@ -32,14 +34,18 @@ def accept(requests: DataFrame, delivered: DataFrame | None = None, order: str =
     Adds ``outcome`` and ``http_status``: created 201, already_processed 200
     (same idempotency key as the stored record), conflict 409 (the id is taken
     under another key), missing_id 400. ``delivered`` holds earlier records
-    (employee_id, idempotency_key). Only the first request per id is shuffled
-    as such; repeats meet it in a join.
+    (employee_id, idempotency_key). The first request per id is found by
+    aggregation; repeats meet it in a join that deals out hot ids.
     """
     holders = requests.filter(F.col("employee_id").isNotNull()).select("employee_id", "idempotency_key", F.col(order).cast("long").alias("_at"))
     if delivered is not None:
         holders = holders.unionByName(delivered.select("employee_id", "idempotency_key", F.lit(-1).cast("long").alias("_at")))
-    holders = holders.groupBy("employee_id").agg(F.min(F.struct("_at", "idempotency_key")).alias("_h"))
-    out = requests.join(holders, "employee_id", "left")
+    holders = materialize(holders.groupBy("employee_id").agg(
+        F.min(F.struct("_at", "idempotency_key")).alias("_h"), F.count(F.lit(1)).alias("n")), "holders")
+    hot = hot_keys(holders, ["employee_id"])
+    named = salted_join(requests.filter(F.col("employee_id").isNotNull()), holders.drop("n"), ["employee_id"], hot, order)
+    nameless = requests.filter(F.col("employee_id").isNull())  # kept out of the join: NULLs would share one task
+    out = named.unionByName(nameless, allowMissingColumns=True)
     outcome = (F.when(F.col("employee_id").isNull(), "missing_id")
                .when(F.col("_h._at") == F.col(order), "created")
                .when(F.col("_h.idempotency_key") == F.col("idempotency_key"), "already_processed")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.contract import Contract
+from tributary.operators.skew import hot_keys, salted_join
 from tributary.session import materialize
 
 ID, EMAIL, NAME = 1, 2, 3
@@ -53,26 +54,26 @@ def key_table(rows: DataFrame) -> DataFrame:
                        F.explode(F.array_compact(F.array(*pairs))).alias("k")).select("seq", "has_id", "k.*")
 
 
-def _edge_holds(guard: bool, other_has_id: Column) -> Column:
-    """Does a shared key tie two rows? With the guard, a shared name does not tie two rows with ids."""
-    if not guard:
-        return F.lit(True)
-    return (F.col("kind") != NAME) | ~F.col("has_id") | ~other_has_id
+KEY = ["kind", "value"]
 
 
-def _round_seeds(keys: DataFrame, guard: bool) -> DataFrame:
-    """Rows that come first on every key they have.
+def _first_per_key(keys: DataFrame) -> DataFrame:
+    """Row count and first rows of each key.
 
     Only the smallest seq per key is needed, so each key is reduced before
     the shuffle, however many rows hold it.
     """
-    firsts = keys.groupBy("kind", "value").agg(
-        F.min("seq").alias("first_any"),
+    return keys.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_any"),
         F.min(F.when(~F.col("has_id"), F.col("seq"))).alias("first_without_id"))
+
+
+def _leaders(keys: DataFrame, firsts: DataFrame, hot: DataFrame | None, guard: bool) -> DataFrame:
+    """Rows that come first on every key they have."""
     rival = F.col("first_any")
     if guard:
         rival = F.when((F.col("kind") == NAME) & F.col("has_id"), F.col("first_without_id")).otherwise(rival)
-    compared = keys.join(firsts, ["kind", "value"]).withColumn("rival", rival)
+    compared = salted_join(keys, firsts.drop("n"), KEY, hot, "seq").withColumn("rival", rival)
     return (compared.groupBy("seq")
             .agg(F.min(F.col("rival").isNull() | (F.col("rival") >= F.col("seq"))).alias("leads"))
             .filter("leads").select("seq"))
@@ -80,38 +81,45 @@ def _round_seeds(keys: DataFrame, guard: bool) -> DataFrame:
 
 def _key_owners(keys: DataFrame, seeds: DataFrame) -> DataFrame:
     """(kind, value) -> the first seed that has the key, and the first such seed without an id."""
-    return (keys.join(seeds, "seq", "left_semi").groupBy("kind", "value")
+    return (keys.join(seeds, "seq", "left_semi").groupBy(*KEY)
             .agg(F.min("seq").alias("owner"), F.min(F.when(~F.col("has_id"), F.col("seq"))).alias("owner_without_id")))
 
 
-def _attachments(keys: DataFrame, owners: DataFrame, guard: bool) -> DataFrame:
-    """For each row, the earlier seed it reaches by its strongest key."""
+def _attachments(keys: DataFrame, seeds: DataFrame, hot: DataFrame | None, guard: bool) -> DataFrame:
+    """For each row, the earlier seed it reaches by its strongest key.
+
+    With the guard, a shared name does not tie two rows that both have ids.
+    """
     target = F.col("owner")
     if guard:
         target = F.when((F.col("kind") == NAME) & F.col("has_id"), F.col("owner_without_id")).otherwise(target)
-    reached = keys.join(owners, ["kind", "value"]).withColumn("target", target).filter(F.col("target") < F.col("seq"))
-    best = F.min(F.struct("kind", "target"))
-    return reached.groupBy("seq").agg(best.alias("b")).select(
+    reached = salted_join(keys, _key_owners(keys, seeds), KEY, hot, "seq").withColumn("target", target) \
+        .filter(F.col("target") < F.col("seq"))
+    return reached.groupBy("seq").agg(F.min(F.struct("kind", "target")).alias("b")).select(
         "seq", F.col("b.target").alias("entity_seq"), F.col("b.kind").alias("kind"))
 
 
-def _settle(rows: DataFrame, guard: bool, max_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(seeds, attachments) of the rows that have at least one key.
+def _settle(rows: DataFrame, guard: bool, max_rounds: int) -> DataFrame:
+    """(seq, entity_seq, kind) of the rows that are not seeds, among rows with at least one key.
 
     A round settles every row that leads all its keys, and every row tied to
     one of those. What is left shrinks quickly; each round is written out, so
     the lineage stays short and a lost executor costs one round at most.
     """
     open_rows, open_count = rows, rows.count()
-    seeds, rounds = rows.select("seq").limit(0), 0
+    seeds = rows.select("seq").limit(0)
     tied = rows.select("seq", F.col("seq").alias("entity_seq"), F.lit(ID).alias("kind")).limit(0)
+    hot, rounds = None, 0
     while open_count:
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"linking did not settle within {max_rounds} rounds")
         keys = key_table(open_rows)
-        new = materialize(_round_seeds(keys, guard), "seeds")
-        tied = materialize(_attachments(keys, _key_owners(keys, new), guard), "tied")
+        firsts = materialize(_first_per_key(keys), "firsts")
+        if rounds == 1:
+            hot = hot_keys(firsts, KEY)
+        new = materialize(_leaders(keys, firsts, hot, guard), "seeds")
+        tied = materialize(_attachments(keys, new, hot, guard), "tied")
         seeds = seeds.unionByName(new)
         open_count -= new.count() + tied.count()
         if open_count:
@@ -119,9 +127,8 @@ def _settle(rows: DataFrame, guard: bool, max_rounds: int) -> tuple[DataFrame, D
             open_rows = materialize(open_rows.join(settled, "seq", "left_anti"), "open")
     if rounds > 1:
         # A row tied in one round may reach a seed of a later round by a stronger key.
-        keys = key_table(rows)
-        tied = _attachments(keys, _key_owners(keys, seeds), guard).join(seeds, "seq", "left_anti")
-    return seeds, tied
+        tied = _attachments(key_table(rows), seeds, hot, guard).join(seeds, "seq", "left_anti")
+    return tied
 
 
 def link(staged: DataFrame, forbid_conflicting_ids: bool = True, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -131,7 +138,7 @@ def link(staged: DataFrame, forbid_conflicting_ids: bool = True, max_rounds: int
     """
     rows = materialize(identity_columns(staged), "identity")
     keyed = rows.filter("by_id IS NOT NULL OR by_email IS NOT NULL OR by_name IS NOT NULL")
-    _, attached = _settle(keyed, forbid_conflicting_ids, max_rounds)
+    attached = _settle(keyed, forbid_conflicting_ids, max_rounds)
     kind_name = F.element_at(F.create_map(*[F.lit(x) for kv in KIND_NAMES.items() for x in kv]), F.col("kind"))
     return (rows.select("seq").join(attached, "seq", "left")
             .select("seq", F.coalesce("entity_seq", "seq").alias("entity_seq"),
@@ -177,6 +184,11 @@ def merge(staged: DataFrame, links: DataFrame, contract: Contract, precedence: l
         F.map_from_entries(known).alias("provenance"), "row_count")
 
 
+def hot_entities(merged: DataFrame) -> DataFrame | None:
+    """Entities with very many rows, for joins of rows with their entity."""
+    return hot_keys(merged, ["entity_seq"], "row_count")
+
+
 def _cells_against_winner(staged: DataFrame, links: DataFrame, merged: DataFrame, fields: list[str]) -> DataFrame:
     """Each staged cell next to the value its entity kept, where the two differ."""
     kept = merged.select("entity_seq", "canonical_key", "provenance",
@@ -187,7 +199,7 @@ def _cells_against_winner(staged: DataFrame, links: DataFrame, merged: DataFrame
                F.struct(F.lit(n).alias("field"), _filled(n).alias("value"), F.col(f"_w_{n}").alias("winner"),
                         F.element_at("provenance", F.lit(n)).alias("winner_source")))
         for n in fields]
-    return (rows.join(kept, "entity_seq")
+    return (salted_join(rows, kept, ["entity_seq"], hot_entities(merged), "seq")
             .select("entity_seq", "canonical_key", "seq", "source", "row_num",
                     F.explode(F.array_compact(F.array(*differing))).alias("c"))
             .select("entity_seq", "canonical_key", "seq", "source", "row_num", "c.*"))
@@ -214,9 +226,10 @@ def sensitive_conflicts(staged: DataFrame, links: DataFrame, merged: DataFrame,
 def merge_events(staged: DataFrame, links: DataFrame, merged: DataFrame) -> DataFrame:
     """Rows folded into an existing entity: (canonical_key, source, row_num, matched_by)."""
     folded = links.filter(F.col("matched_by") != "seed")
-    return (staged.select("seq", "source", "row_num").join(folded, "seq")
-            .join(merged.select("entity_seq", "canonical_key"), "entity_seq")
-            .select("canonical_key", "source", "row_num", "matched_by"))
+    rows = staged.select("seq", "source", "row_num").join(folded, "seq")
+    keys = merged.select("entity_seq", "canonical_key")
+    return salted_join(rows, keys, ["entity_seq"], hot_entities(merged), "seq") \
+        .select("canonical_key", "source", "row_num", "matched_by")
 
 
 def provenance(merged: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tributary.contract import Contract
 from tributary.functions.similarity import indel_ratio
+from tributary.operators.skew import count_keys, hot_keys, salted_join
 
 # Header words that name each employee field.
 ALIASES = {
@@ -188,7 +189,9 @@ def prompt_key(system: Column, prompt: Column) -> Column:
 def lookup_proposals(requests: DataFrame, proposals: DataFrame, fallback: Column) -> DataFrame:
     """Add ``proposal`` to requests(prompt_key, ...): the cached response, else the fallback."""
     cached = proposals.select("prompt_key", F.col("response").alias("_response"))
-    return (requests.join(cached, "prompt_key", "left")
+    hot = hot_keys(count_keys(requests, ["prompt_key"]), ["prompt_key"])
+    spread = F.struct(*[F.col(c) for c in requests.columns])
+    return (salted_join(requests, cached, ["prompt_key"], hot, spread, "left")
             .withColumn("cached", F.col("_response").isNotNull())
             .withColumn("proposal", F.coalesce("_response", fallback)).drop("_response"))
 

@@ -23,6 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.functions.similarity import indel_ratio, sorted_tokens
+from tributary.operators.skew import count_keys, hot_keys, salted_join
 from tributary.session import materialize
 
 DEFAULT_THRESHOLD = 90.0
@@ -223,4 +224,6 @@ def near_duplicate_members(merged: DataFrame, groups: DataFrame) -> DataFrame:
     sides = groups.select("date_of_birth", "name_a", "name_b",
                           F.explode(F.array_distinct(F.array("name_a", "name_b"))).alias("name"))
     who = members(merged).select(F.col("block").alias("date_of_birth"), "name", "canonical_key")
-    return sides.join(who, ["date_of_birth", "name"]).select("date_of_birth", "name_a", "name_b", "canonical_key")
+    key = ["date_of_birth", "name"]
+    hot = hot_keys(count_keys(who, key), key)
+    return salted_join(who, sides, key, hot, "canonical_key").select("date_of_birth", "name_a", "name_b", "canonical_key")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.contract import Contract
 from tributary.functions import text
+from tributary.operators.skew import count_keys, hot_keys, salted_join
+from tributary.session import materialize
 
 # Fixed value: what a valid e-mail looks like.
 EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -112,9 +114,18 @@ def range_violations(df: DataFrame, limits: dict[str, tuple[float | None, float
 
 
 def orphan_references(df: DataFrame, column: str, referenced: DataFrame, key: str) -> DataFrame:
-    """Rows whose non-blank ``column`` names no ``key`` of ``referenced``."""
-    known = referenced.select(F.col(key).alias("_known")).filter(F.col("_known").isNotNull())
-    return df.filter(F.col(column).isNotNull()).join(known, F.col(column) == F.col("_known"), "left_anti")
+    """Rows whose non-blank ``column`` names no ``key`` of ``referenced``.
+
+    The references are checked once per distinct value; only rows with a
+    missing one are looked up again, and a missing value shared by very many
+    rows is dealt out.
+    """
+    known = referenced.select(F.col(key).alias(column)).filter(F.col(column).isNotNull())
+    missing = materialize(
+        count_keys(df.filter(F.col(column).isNotNull()), [column]).join(known, column, "left_anti"), "missing")
+    hot = hot_keys(missing, [column])
+    spread = F.struct(*[F.col(c) for c in df.columns])
+    return salted_join(df, missing.drop("n"), [column], hot, spread, "left_semi").select(*df.columns)
 
 
 def date_order_violations(df: DataFrame, earlier: str, later: str, months: int = 0,

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tributary.operators.entity import hot_entities
+from tributary.operators.skew import salted_join
+
 DECIDERS = ("agent", "rule", "human")
 STATUSES = ("ready", "pushed", "failed", "rejected", "rolled_back")
 
@@ -113,5 +116,6 @@ def latest_attempt(canonical: DataFrame, attempts: DataFrame, key: Column | str
 def raw_lineage(merged: DataFrame, links: DataFrame, staged: DataFrame, landed: DataFrame) -> DataFrame:
     """Every raw source row beside the canonical record it went into."""
     rows = staged.select("seq", "source", "row_num").join(links.select("seq", "entity_seq"), "seq")
-    return (rows.join(merged.select("entity_seq", "canonical_key"), "entity_seq")
+    keys = merged.select("entity_seq", "canonical_key")
+    return (salted_join(rows, keys, ["entity_seq"], hot_entities(merged), "seq")
             .join(landed, ["source", "row_num"]).select("canonical_key", "source", "row_num", "raw_json"))

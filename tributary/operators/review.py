@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tributary.contract import Contract
 from tributary.operators.entity import canonical_key
 from tributary.operators.ledger import as_json
+from tributary.operators.skew import hot_keys, salted_join
 
 # Item types, and which of them concern columns rather than records.
 ITEM_TYPES = ("MAPPING_AMBIGUITY", "CONFIRM_SENSITIVE_MAPPINGS", "DATE_FORMAT_AMBIGUOUS", "ENUM_VALUE_AMBIGUOUS",
@@ -191,7 +192,8 @@ def apply_resolutions(canonical: DataFrame, resolved: DataFrame, item_members: D
     chosen = F.when(F.col("action") == "correct", F.col("value")) \
               .when(F.col("action") == "approve", F.get_json_object("proposal", "$.canonical_value"))
     overlay = F.col("type") != "NEAR_DUPLICATE_RECORD"
-    facts = (item_members.join(decided, ["run_id", "group_key"])
+    group, hot = ["run_id", "group_key"], hot_keys(decided, ["run_id", "group_key"], "affected_count")
+    facts = (salted_join(item_members, decided, group, hot, "affected_id")
              .select("run_id", canonical_key(F.col("affected_id")).alias("canonical_key"), "group_key", "type", "action",
                      "value", F.when(overlay, field).alias("field"), F.when(overlay, chosen).alias("chosen"), "resolved_at"))
     latest = (facts.filter(F.col("field").isNotNull() & F.col("chosen").isNotNull() & F.col("field").isin(*contract.names))
@@ -204,7 +206,7 @@ def apply_resolutions(canonical: DataFrame, resolved: DataFrame, item_members: D
         F.count_if((F.col("action") != "reject") & F.col("type").isin(*REENTERING)).alias("_accepted"))
     merges = facts.filter((F.col("type") == "NEAR_DUPLICATE_RECORD") & (F.col("value") == "merge"))
     first = merges.groupBy("run_id", "group_key").agg(F.min("canonical_key").alias("_keep"))
-    merged_away = (merges.join(first, ["run_id", "group_key"]).filter(F.col("canonical_key") != F.col("_keep"))
+    merged_away = (salted_join(merges, first, group, hot, "canonical_key").filter(F.col("canonical_key") != F.col("_keep"))
                    .select("run_id", "canonical_key").distinct())
     key = ["run_id", "canonical_key"]
     out = canonical.join(merged_away, key, "left_anti").join(values, key, "left").join(outcome, key, "left")
@@ -216,6 +218,8 @@ def apply_resolutions(canonical: DataFrame, resolved: DataFrame, item_members: D
 
 def withheld_keys(item_rows: DataFrame, item_members: DataFrame) -> DataFrame:
     """Records in a pending record-level item; they are not delivered yet."""
-    pending = item_rows.filter((F.col("status") == "pending") & ~F.col("type").isin(*COLUMN_LEVEL)).select("run_id", "group_key")
-    return (item_members.join(pending, ["run_id", "group_key"], "left_semi")
+    group = ["run_id", "group_key"]
+    pending = item_rows.filter((F.col("status") == "pending") & ~F.col("type").isin(*COLUMN_LEVEL))
+    hot = hot_keys(pending, group, "affected_count")
+    return (salted_join(item_members, pending.select(*group), group, hot, "affected_id", "left_semi")
             .select("run_id", canonical_key(F.col("affected_id")).alias("canonical_key")).distinct())

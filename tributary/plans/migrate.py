@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from tributary.contract import Contract
 from tributary.operators import entity, ledger, mapping, near_dup, profile, quality, review, staging
 from tributary.operators.mapping import MappingOptions
+from tributary.operators.skew import small_enough
 from tributary.session import materialize
-from tributary.sources.readers import data_columns
+from tributary.sources.readers import ROW_NUM, data_columns
 
 
 @dataclass(frozen=True)
@@ -124,20 +125,23 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
 
 
 def _applications(decisions, orders, sources, plan, contract, rules) -> DataFrame:
-    """(kind, fingerprint) of every use of a rule in this run."""
+    """(kind, fingerprint, cell) of every use of a rule in this run."""
     column = F.concat_ws(":", "source", "column")
-    used = decisions.filter(F.col("decided_by") == "rule").select(F.lit("mapping").alias("kind"), column.alias("fingerprint"))
+    used = decisions.filter(F.col("decided_by") == "rule").select(
+        F.lit("mapping").alias("kind"), column.alias("fingerprint"), F.lit(None).cast("string").alias("cell"))
     if orders is not None:
         used = used.unionByName(orders.filter(F.col("decided_by") == "rule").select(
-            F.lit("date_format").alias("kind"), column.alias("fingerprint")))
+            F.lit("date_format").alias("kind"), column.alias("fingerprint"), F.lit(None).cast("string").alias("cell")))
     if rules is not None:
-        enum_rules = rules.filter(F.col("enabled") & (F.col("kind") == "enum_value")).select("fingerprint")
+        enum_rules = small_enough(rules.filter(F.col("enabled") & (F.col("kind") == "enum_value")).select("fingerprint"))
         for name, df in sources.items():
             for source_column, target in plan.get(name, {}).items():
                 if target in contract and contract[target].type == "enum":
-                    raw = df.select(F.concat(F.lit(target + ":"), F.upper(F.col(f"`{source_column}`"))).alias("fingerprint"))
+                    cell = F.concat_ws(":", F.lit(name), F.col(ROW_NUM).cast("string"), F.lit(source_column))
+                    raw = df.select(F.concat(F.lit(target + ":"), F.upper(F.col(f"`{source_column}`"))).alias("fingerprint"),
+                                    cell.alias("cell"))
                     used = used.unionByName(raw.join(enum_rules, "fingerprint", "left_semi").select(
-                        F.lit("enum_value").alias("kind"), "fingerprint"))
+                        F.lit("enum_value").alias("kind"), "fingerprint", "cell"))
     return used
 
 
@@ -164,7 +168,7 @@ def _events(run, sources, profiles, decisions, orders, applications, merges, con
     for kind, stage in stage_of.items():
         used = applications.filter(F.col("kind") == kind)
         out.append(emit(used, stage, "RULE_APPLIED", "rule", entity_type="rule", entity_id=F.col("fingerprint"),
-                        field=F.lit(kind)))
+                        field=F.lit(kind), before=F.col("cell")))
     if orders is not None:
         settled = orders.filter((F.col("decided_by") == "agent") & (F.col("date_order") != "AMBIGUOUS"))
         out.append(emit(settled, "normalize", "DATE_FORMAT_RESOLVED", entity_type="column", entity_id=column,

@@ -46,10 +46,10 @@ def deliver(requests: DataFrame, store: str, answers: str, checkpoint: str):
         known = spark.read.schema("employee_id string, idempotency_key string, payload string, batch_id long") \
                      .option("ignoreMissingFiles", "true").parquet(store) if _exists(spark, store) else None
         earlier = None if known is None else known.filter(F.col("batch_id") < batch_id)
-        answered = accept(batch, earlier)
-        stored = answered.filter(F.col("outcome") == "created").select("employee_id", "idempotency_key", "payload")
-        stored.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
-        accept(batch, earlier).write.mode("overwrite").parquet(f"{answers}/batch_id={batch_id}")
+        out = f"{answers}/batch_id={batch_id}"
+        accept(batch, earlier).write.mode("overwrite").parquet(out)
+        created = spark.read.parquet(out).filter(F.col("outcome") == "created")
+        created.select("employee_id", "idempotency_key", "payload").write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
     return (requests.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
