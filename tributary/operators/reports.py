@@ -29,8 +29,9 @@ def run_summary(source_rows: DataFrame, canonical: DataFrame, item_rows: DataFra
 def scoreboard(ledger: DataFrame, run_id: str) -> DataFrame:
     """Decisions per stage and actor with a total row (stage NULL) and autonomy in percent."""
     mine = ledger.filter((F.col("run_id") == run_id) & F.col("actor").isin(*DECIDERS))
-    counts = mine.rollup("stage").agg(*[F.count_if(F.col("actor") == a).alias(a) for a in DECIDERS])
-    return with_autonomy(counts)
+    stages = mine.groupBy("stage").agg(*[F.count_if(F.col("actor") == a).alias(a) for a in DECIDERS])
+    total = stages.agg(*[F.coalesce(F.sum(a), F.lit(0)).alias(a) for a in DECIDERS]).withColumn("stage", F.lit(None).cast("string"))
+    return with_autonomy(stages.unionByName(total))
 
 
 def with_autonomy(counts: DataFrame) -> DataFrame:
