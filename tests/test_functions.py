@@ -13,8 +13,8 @@ def values(spark, inputs, fn, cast="string"):
 
 
 def test_null_tokens_and_trimming(spark):
-    assert values(spark, ["  x ", "NaN", "none", " NULL", "", "N/A", "<na>", "na na", "\tnull\n", None], text.clean) == [
-        "x", None, None, None, None, None, None, "na na", None, None]
+    assert values(spark, ["  x ", "NaN", "none", " NULL", "", "N/A", "<na>", "na na", "\tnull\n", "\x0bx\f", None], lambda _: text.clean("v")) == [
+        "x", None, None, None, None, None, None, "na na", None, "x", None]
 
 
 def test_name_case_touches_only_single_case_names(spark):

@@ -16,10 +16,16 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 
 
-def clean(c: Column) -> Column:
-    """Trimmed text, or NULL for a null token."""
-    t = strip(c)
-    return F.when(~F.lower(t).isin(*NULL_TOKENS), t)
+def clean_sql(column: str) -> str:
+    """SQL of the trimmed text of a column, NULL for a null token."""
+    trimmed = f"trim(BOTH ' \\t\\n\\r\\u000b\\u000c' FROM CAST(`{column.replace('`', '``')}` AS STRING))"
+    tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
+    return f"CASE WHEN lower({trimmed}) NOT IN ({tokens}) THEN {trimmed} END"
+
+
+def clean(column: str) -> Column:
+    """Trimmed text of a column, or NULL for a null token."""
+    return F.expr(clean_sql(column))
 
 
 def squeeze(c: Column) -> Column:

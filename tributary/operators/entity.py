@@ -117,7 +117,7 @@ def _settle(rows: DataFrame, guard: bool, max_rounds: int) -> DataFrame:
         keys = key_table(open_rows)
         firsts = materialize(_first_per_key(keys), "firsts")
         if rounds == 1:
-            hot = hot_keys(firsts, KEY)
+            hot = hot_keys(firsts, KEY, total=open_count)
         new = materialize(_leaders(keys, firsts, hot, guard), "seeds")
         tied = materialize(_attachments(keys, new, hot, guard), "tied")
         seeds = seeds.unionByName(new)
@@ -134,9 +134,10 @@ def _settle(rows: DataFrame, guard: bool, max_rounds: int) -> DataFrame:
 def link(staged: DataFrame, forbid_conflicting_ids: bool = True, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(seq, entity_seq, matched_by): every staged row and the seed row of its entity.
 
-    ``matched_by`` is ``seed``, ``id``, ``email`` or ``name``.
+    ``matched_by`` is ``seed``, ``id``, ``email`` or ``name``. ``staged`` is
+    read several times, so it should be a written table (``materialize``).
     """
-    rows = materialize(identity_columns(staged), "identity")
+    rows = identity_columns(staged)
     keyed = rows.filter("by_id IS NOT NULL OR by_email IS NOT NULL OR by_name IS NOT NULL")
     attached = _settle(keyed, forbid_conflicting_ids, max_rounds)
     kind_name = F.element_at(F.create_map(*[F.lit(x) for kv in KIND_NAMES.items() for x in kv]), F.col("kind"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tributary.functions import text
+from tributary.session import materialize
 from tributary.sources.readers import ROW_NUM, SOURCE, data_columns
 
 SAMPLES = 5
@@ -64,11 +65,10 @@ def column_samples(counts: DataFrame, n: int = SAMPLES) -> DataFrame:
     The rank filter is pushed below the shuffle, so each task sends at most
     ``n`` values per column.
     """
-    # NULL sorts last instead of being filtered first, so that this branch and
-    # the statistics read one and the same aggregation.
-    first = Window.partitionBy("source", "column").orderBy(F.col("value").isNull(), "first_row")
-    top = counts.withColumn("position", F.row_number().over(first)).filter(F.col("position") <= n)
-    return top.filter(F.col("value").isNotNull()).select("source", "column", "position", "value")
+    first = Window.partitionBy("source", "column").orderBy("first_row")
+    top = (counts.filter(F.col("value").isNotNull())
+           .withColumn("position", F.row_number().over(first)).filter(F.col("position") <= n))
+    return top.select("source", "column", "position", "value")
 
 
 def gather_samples(samples: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def infer_type(samples: Column) -> Column:
 
 def profile(sources: list[DataFrame]) -> DataFrame:
     """One row per (source, column) with counts, ratios, samples and type."""
-    counts = value_counts(all_cells(sources))
+    counts = materialize(value_counts(all_cells(sources)), "value_counts")
     samples = gather_samples(column_samples(counts))
     out = column_stats(counts).join(samples, ["source", "column"], "left")
     out = out.withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))

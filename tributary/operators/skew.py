@@ -11,8 +11,13 @@ HOT_ROWS = 1_000_000
 TOP = 1000
 
 
-def hot_keys(counts: DataFrame, on: list[str], n: str = "n") -> DataFrame | None:
-    """(on..., _copies) for at most TOP hot keys of counts(on..., n); None when no key is hot."""
+def hot_keys(counts: DataFrame, on: list[str], n: str = "n", total: int | None = None) -> DataFrame | None:
+    """(on..., _copies) for at most TOP hot keys of counts(on..., n); None when no key is hot.
+
+    With a known ``total`` of rows too small for any hot key nothing is run.
+    """
+    if total is not None and total <= HOT_ROWS:
+        return None
     largest = (counts.filter(F.col(n) > HOT_ROWS).orderBy(F.desc(n)).limit(TOP)
                .select(*on, F.ceil(F.col(n) / HOT_ROWS).cast("int").alias("_copies")))
     found = largest.collect()

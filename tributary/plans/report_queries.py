@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tributary.operators import ledger as ledger_ops, mapping, reports, review
-from tributary.plans import oracle as o
+from tributary.plans import delivery_queries, oracle as o  # noqa: F401 (defines the attempt blocks)
 from tributary.plans.registry import query
 from tributary.plans.review_queries import record_findings
 from tributary.plans.source_queries import export_profiles

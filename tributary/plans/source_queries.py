@@ -249,5 +249,5 @@ def order_status_enum(spark, sf):
     from tributary.contract import Field
     status = Field("status", "enum", values=_ORDER_ENUM)
     return b.table(spark, sf, "orders").select(
-        "o_orderkey", staging.enum_value(text.clean(F.col("o_orderstatus")), status, b.CONTRACT).alias("status"),
+        "o_orderkey", staging.enum_value(text.clean("o_orderstatus"), status, b.CONTRACT).alias("status"),
         F.col("o_orderpriority").alias("priority"))

@@ -28,9 +28,8 @@ def read_source(spark: SparkSession, path: str, source: str, fmt: str | None = N
 
 def all_strings(df: DataFrame) -> DataFrame:
     """Every data column as clean text; lineage columns pass through."""
-    cells = [c if c in (SOURCE, ROW_NUM) else text.clean(F.col(f"`{c}`").cast("string")).alias(c)
-             for c in df.columns]
-    return df.select(*cells)
+    cells = [c if c in (SOURCE, ROW_NUM) else f"{text.clean_sql(c)} AS `{c.replace('`', '``')}`" for c in df.columns]
+    return df.selectExpr(*cells)
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
