@@ -85,7 +85,7 @@ def backoff(spark, sf):
 
 o.block("scanned", """
 SELECT *, status = 'failed' AND consecutive_failures >= 3 AS outage FROM (
-  SELECT *, count_if(status = 'failed') OVER (PARTITION BY run_id, island ORDER BY first_id ROWS UNBOUNDED PRECEDING) AS consecutive_failures,
+  SELECT *, count_if(status = 'failed') OVER (PARTITION BY run_id, island ORDER BY first_id ROWS UNBOUNDED PRECEDING)::BIGINT AS consecutive_failures,
          row_number() OVER (ORDER BY first_id) - 1 AS position, CAST(floor((row_number() OVER (ORDER BY first_id) - 1) / 10.0) AS BIGINT) AS batch
   FROM (SELECT *, count_if(status = 'pushed') OVER (PARTITION BY run_id ORDER BY first_id ROWS UNBOUNDED PRECEDING) AS island FROM statuses))
 """, "statuses")
@@ -118,7 +118,7 @@ def retry_set(spark, sf):
 
 
 @query("rejected_items", o.with_blocks("""
-SELECT 'push_4xx_' || CAST(record_id AS VARCHAR) AS group_key, 'PUSH_REJECTED_4XX' AS type, 1 AS affected_count,
+SELECT 'push_4xx_' || CAST(record_id AS VARCHAR) AS group_key, 'PUSH_REJECTED_4XX' AS type, 1::BIGINT AS affected_count,
        'E' || CAST(CAST('0x' || substr(sha256(CAST(record_id AS VARCHAR)), 1, 8) AS BIGINT) % 8999 + 1000 AS VARCHAR) AS suggested_id
 FROM statuses WHERE status = 'rejected'""", "statuses"))
 def rejected_items(spark, sf):

@@ -141,37 +141,44 @@ block("targets", "SELECT * FROM (VALUES " + ", ".join(
     f"({i}, {quoted(f.name)}, {quoted(f.type)}, {f.sensitive}, "
     f"{string_list([f.name.replace('_', ' '), *ALIASES[f.name]])}, {string_list(f.vocabulary())}, {quoted(f.anchored_pattern)})"
     for i, f in enumerate(CONTRACT.fields)) + ") t(ordinal, target_field, type, sensitive, names, words, pattern)")
-block("name_scores", f"""
-SELECT source, col, target_field, max({ratio('header', 'alias')}) / 100.0 AS best
-FROM (SELECT source, col, trim(regexp_replace(lower(col), '[\\s\\-_]+', ' ', 'g')) AS header, target_field, unnest(names) AS alias
-      FROM profiles CROSS JOIN targets) GROUP BY source, col, target_field""", "profiles", "targets")
-block("scores", """
-SELECT *, round(best * 0.55 + type_compatibility * 0.30 + pattern_score * 0.15, 3) AS score FROM (
-  SELECT p.source, p.col, t.target_field, t.ordinal, t.sensitive, n.best,
-         CASE t.type WHEN 'email' THEN CASE WHEN inferred_type = 'email' THEN 1.0
-                                            WHEN len(list_filter(samples, lambda v: contains(v, '@'))) > 0 THEN 0.9 ELSE 0.1 END
-                     WHEN 'decimal' THEN CASE WHEN inferred_type = 'decimal' THEN 1.0 ELSE 0.2 END
-                     WHEN 'date' THEN CASE WHEN inferred_type = 'date' THEN 1.0 ELSE 0.3 END
-                     WHEN 'string' THEN 0.8
-                     WHEN 'enum' THEN CASE WHEN len(samples) > 0 THEN round(len(list_filter(samples,
-                          lambda v: list_contains(words, lower(trim(v))))) / len(samples)::DOUBLE, 2) ELSE 0.5 END
-                     ELSE 0.5 END::DOUBLE AS type_compatibility,
-         CASE WHEN pattern IS NOT NULL AND len(samples) > 0
-              THEN len(list_filter(samples, lambda v: regexp_matches(trim(v), pattern))) / len(samples)::DOUBLE
-              ELSE 0.5 END::DOUBLE AS pattern_score
-  FROM profiles p CROSS JOIN targets t JOIN name_scores n ON n.source = p.source AND n.col = p.col AND n.target_field = t.target_field)
-""", "profiles", "targets", "name_scores")
-block("decisions", """
-SELECT *, CASE WHEN decision = 'FULL_NAME' THEN 'full_name' WHEN decision = 'ACCEPT' THEN target_field END AS mapped_to FROM (
-  SELECT *, CASE WHEN header IN ('full name', 'fullname', 'name') AND NOT has_names THEN 'FULL_NAME'
-                 WHEN header = 'ref' OR (name_similarity < 0.95 AND score >= 0.50 AND score < 0.90 AND margin < 0.20) THEN 'AMBIGUOUS'
-                 WHEN (score >= 0.75 AND margin >= 0.20) OR name_similarity >= 0.95 THEN 'ACCEPT' ELSE 'DROP' END AS decision
-  FROM (SELECT *, round(best, 3) AS name_similarity, trim(regexp_replace(lower(col), '[\\s\\-_]+', ' ', 'g')) AS header,
-               round(score - runner_up_score, 3) AS margin,
-               bool_or(col IN ('first_name', 'last_name')) OVER (PARTITION BY source) AS has_names
-        FROM (SELECT *, row_number() OVER w AS rank, lead(target_field) OVER w AS runner_up, lead(score) OVER w AS runner_up_score
-              FROM scores WINDOW w AS (PARTITION BY source, col ORDER BY score DESC, ordinal))
-        WHERE rank = 1))""", "scores")
+
+
+def mapping_blocks(p: str) -> None:
+    """Scores and decisions for the profiles with this prefix."""
+    block(f"{p}name_scores", f"""
+    SELECT source, col, target_field, max({ratio('header', 'alias')}) / 100.0 AS best
+    FROM (SELECT source, col, trim(regexp_replace(lower(col), '[\\s\\-_]+', ' ', 'g')) AS header, target_field, unnest(names) AS alias
+          FROM {p}profiles CROSS JOIN targets) GROUP BY source, col, target_field""", f"{p}profiles", "targets")
+    block(f"{p}scores", f"""
+    SELECT *, round(best * 0.55 + type_compatibility * 0.30 + pattern_score * 0.15, 3) AS score FROM (
+      SELECT p.source, p.col, t.target_field, t.ordinal, t.sensitive, n.best,
+             CASE t.type WHEN 'email' THEN CASE WHEN inferred_type = 'email' THEN 1.0
+                                                WHEN len(list_filter(samples, lambda v: contains(v, '@'))) > 0 THEN 0.9 ELSE 0.1 END
+                         WHEN 'decimal' THEN CASE WHEN inferred_type = 'decimal' THEN 1.0 ELSE 0.2 END
+                         WHEN 'date' THEN CASE WHEN inferred_type = 'date' THEN 1.0 ELSE 0.3 END
+                         WHEN 'string' THEN 0.8
+                         WHEN 'enum' THEN CASE WHEN len(samples) > 0 THEN round(len(list_filter(samples,
+                              lambda v: list_contains(words, lower(trim(v))))) / len(samples)::DOUBLE, 2) ELSE 0.5 END
+                         ELSE 0.5 END::DOUBLE AS type_compatibility,
+             CASE WHEN pattern IS NOT NULL AND len(samples) > 0
+                  THEN len(list_filter(samples, lambda v: regexp_matches(trim(v), pattern))) / len(samples)::DOUBLE
+                  ELSE 0.5 END::DOUBLE AS pattern_score
+      FROM {p}profiles p CROSS JOIN targets t JOIN {p}name_scores n ON n.source = p.source AND n.col = p.col AND n.target_field = t.target_field)
+    """, f"{p}profiles", "targets", f"{p}name_scores")
+    block(f"{p}decisions", f"""
+    SELECT *, CASE WHEN decision = 'FULL_NAME' THEN 'full_name' WHEN decision = 'ACCEPT' THEN target_field END AS mapped_to FROM (
+      SELECT *, CASE WHEN header IN ('full name', 'fullname', 'name') AND NOT has_names THEN 'FULL_NAME'
+                     WHEN header = 'ref' OR (name_similarity < 0.95 AND score >= 0.50 AND score < 0.90 AND margin < 0.20) THEN 'AMBIGUOUS'
+                     WHEN (score >= 0.75 AND margin >= 0.20) OR name_similarity >= 0.95 THEN 'ACCEPT' ELSE 'DROP' END AS decision
+      FROM (SELECT *, round(best, 3) AS name_similarity, trim(regexp_replace(lower(col), '[\\s\\-_]+', ' ', 'g')) AS header,
+                   round(score - runner_up_score, 3) AS margin,
+                   bool_or(col IN ('first_name', 'last_name')) OVER (PARTITION BY source) AS has_names
+            FROM (SELECT *, row_number() OVER w AS rank, lead(target_field) OVER w AS runner_up, lead(score) OVER w AS runner_up_score
+                  FROM {p}scores WINDOW w AS (PARTITION BY source, col ORDER BY score DESC, ordinal))
+            WHERE rank = 1))""", f"{p}scores")
+
+
+mapping_blocks("")
 
 # -- staged rows -----------------------------------------------------------------------------
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.operators import ledger as ledger_ops, mapping, reports, review
+from tributary.operators import ledger as ledger_ops, mapping, profile, reports, review
 from tributary.plans import delivery_queries, oracle as o  # noqa: F401 (defines the attempt blocks)
 from tributary.plans.registry import query
 from tributary.plans.review_queries import record_findings
-from tributary.plans.source_queries import export_profiles
+from tributary.plans.source_queries import tables_as_sources
 from tributary.sources import bridge as b, exports
 from tributary.streaming import tail
 
@@ -30,8 +30,8 @@ o.block("record_items", "SELECT group_key, any_value(type) AS type FROM record_f
 
 
 @query("run_summary", o.with_blocks("""
-SELECT 'run_0' AS run_id, (SELECT count(*) FROM staged) AS source_rows_in, count(*) AS canonical_records, count_if(status = 'ready') AS ready,
-       0 AS pushed, 0 AS failed, 0 AS rejected, 0 AS rolled_back, (SELECT count(*) FROM record_items) AS pending_review, 0 AS resolved_by_human
+SELECT 'run_0' AS run_id, (SELECT count(*) FROM staged) AS source_rows_in, count(*) AS canonical_records, count_if(status = 'ready')::BIGINT AS ready,
+       0::BIGINT AS pushed, 0::BIGINT AS failed, 0::BIGINT AS rejected, 0::BIGINT AS rolled_back, (SELECT count(*) FROM record_items) AS pending_review, 0::BIGINT AS resolved_by_human
 FROM canonical""", "staged", "canonical", "record_items"))
 def run_summary(spark, sf):
     found, canonical = record_findings(spark, sf)
@@ -39,8 +39,8 @@ def run_summary(spark, sf):
 
 
 @query("delivery_summary", o.with_blocks("""
-SELECT 'run_0' AS run_id, (SELECT count(*) FROM ledger WHERE run_id = 'run_0') AS source_rows_in, count(*) AS canonical_records, 0 AS ready,
-       count_if(status = 'pushed') AS pushed, count_if(status = 'failed') AS failed, count_if(status = 'rejected') AS rejected, 0 AS rolled_back,
+SELECT 'run_0' AS run_id, (SELECT count(*) FROM ledger WHERE run_id = 'run_0') AS source_rows_in, count(*) AS canonical_records, 0::BIGINT AS ready,
+       count_if(status = 'pushed')::BIGINT AS pushed, count_if(status = 'failed')::BIGINT AS failed, count_if(status = 'rejected')::BIGINT AS rejected, 0::BIGINT AS rolled_back,
        (SELECT count(*) FROM ledger WHERE run_id = 'run_0' AND type = 'ERROR') AS pending_review,
        (SELECT count(*) FROM ledger WHERE run_id = 'run_0' AND type <> 'ERROR') AS resolved_by_human
 FROM statuses WHERE run_id = 'run_0'""", "ledger", "statuses"))
@@ -65,9 +65,11 @@ def stage_autonomy(spark, sf):
 
 
 @query("dropped_columns", o.with_blocks(
-    """SELECT source, col AS "column", decision, target_field AS best_field, score FROM decisions WHERE decision = 'DROP'""", "decisions"))
+    """SELECT source, col AS "column", decision, target_field AS best_field, score FROM table_decisions WHERE decision = 'DROP'""",
+    "table_decisions"))
 def dropped_columns(spark, sf):
-    return reports.dropped_columns(mapping.decide(export_profiles(spark, sf), b.CONTRACT))
+    profiles = profile.profile(tables_as_sources(spark, sf))
+    return reports.dropped_columns(mapping.decide(profiles, b.CONTRACT))
 
 
 @query("conflict_ledger", o.with_blocks("""
@@ -103,7 +105,7 @@ def dashboard(spark, sf):
 
 
 @query("sync_rate", o.with_blocks("""
-SELECT count_if(status = 'pushed') AS pushed_count, count(*) AS total_count, CAST(round(100.0 * count_if(status = 'pushed') / count(*), 0) AS INT) AS sync_rate
+SELECT count_if(status = 'pushed')::BIGINT AS pushed_count, count(*) AS total_count, CAST(round(100.0 * count_if(status = 'pushed') / count(*), 0) AS INT) AS sync_rate
 FROM statuses""", "statuses"))
 def sync_rate(spark, sf):
     from tributary.operators.delivery import attempt_status

@@ -22,9 +22,10 @@ o.block("table_cells", " UNION ALL ".join(
     + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
     + f" FROM {t}) UNPIVOT INCLUDE NULLS (v FOR col IN ({', '.join(cols)}))" for t, cols in _COLUMNS.items()))
 o.profile_blocks("table_cells", "table_")
+o.mapping_blocks("table_")
 
 
-def _tables(spark, sf) -> list[DataFrame]:
+def tables_as_sources(spark, sf) -> list[DataFrame]:
     return [readers.from_frame(b.table(spark, sf, t), t, F.col(key) + 1) for t, key in _TABLES.items()]
 
 
@@ -50,21 +51,21 @@ SELECT source, col AS "column", total_count, non_null_count, distinct_count,
        CASE WHEN non_null_count > 0 THEN round(distinct_count / non_null_count::DOUBLE, 3) ELSE 0.0 END AS uniqueness_ratio
 FROM table_stats""", "table_stats"))
 def column_profile(spark, sf):
-    stats = profile.column_stats(profile.value_counts(profile.all_cells(_tables(spark, sf))))
+    stats = profile.column_stats(profile.value_counts(profile.all_cells(tables_as_sources(spark, sf))))
     return stats.select("source", "column", "total_count", "non_null_count", "distinct_count", "null_rate", "uniqueness_ratio")
 
 
 @query("column_samples", o.with_blocks(
-    'SELECT source, col AS "column", position, val AS value FROM table_samples', "table_samples"))
+    'SELECT source, col AS "column", CAST(position AS INTEGER) AS position, val AS value FROM table_samples', "table_samples"))
 def column_samples(spark, sf):
-    return profile.column_samples(profile.value_counts(profile.all_cells(_tables(spark, sf))))
+    return profile.column_samples(profile.value_counts(profile.all_cells(tables_as_sources(spark, sf))))
 
 
 @query("column_types", o.with_blocks(
     """SELECT source, col AS "column", inferred_type, array_to_string(samples, '|') AS samples FROM table_profiles
        UNION ALL SELECT source, col, inferred_type, array_to_string(samples, '|') FROM profiles""", "table_profiles", "profiles"))
 def column_types(spark, sf):
-    return profile.profile(_tables(spark, sf) + list(b.exports(spark, sf).values())).select(
+    return profile.profile(tables_as_sources(spark, sf) + list(b.exports(spark, sf).values())).select(
         "source", "column", "inferred_type", F.array_join("sample_values", "|").alias("samples"))
 
 
