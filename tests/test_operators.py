@@ -184,6 +184,12 @@ def test_items_keep_the_first_context_and_count_members(spark):
     assert sorted(m.affected_id for m in review.members(found).collect()) == ["a", "b"]
 
 
+def test_queue_shows_pending_and_newest_first(spark):
+    rows = spark.createDataFrame([("a", "resolved", "2024-01-03"), ("b", "pending", "2024-01-01"), ("c", "pending", "2024-01-02")],
+                                 "group_key string, status string, created_at string")
+    assert [r.group_key for r in review.queue(rows).collect()] == ["c", "b", "a"]
+
+
 def test_breaker_limits(spark):
     found = items_from(spark, [("r", "VALIDATION_FAILED_TWICE", f"g{i}", f"k{i}", "{}", None, 0) for i in range(21)])
     assert review.breaker(found, F.lit(1000)).first().tripped

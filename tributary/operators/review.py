@@ -147,9 +147,13 @@ def breaker(found: DataFrame, total_rows: Column, max_groups: int = 20, max_rati
     return out.withColumn("tripped", (F.col("group_count") > max_groups) | (F.col("affected_ratio") > max_ratio))
 
 
-def queue(item_rows: DataFrame) -> DataFrame:
+def queue_order() -> list[Column]:
     """Pending items first, newest first within a status."""
-    return item_rows.orderBy(F.asc("status"), F.desc("created_at"), "group_key")
+    return [F.asc("status"), F.desc("created_at"), F.asc("group_key")]
+
+
+def queue(item_rows: DataFrame) -> DataFrame:
+    return item_rows.orderBy(*queue_order())
 
 
 def run_gate(runs: DataFrame, item_rows: DataFrame, breaker_rows: DataFrame | None = None) -> DataFrame:

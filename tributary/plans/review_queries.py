@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.operators import entity, mapping, near_dup, quality, review, rules, staging
+from tributary.operators import entity, mapping, near_dup, review, rules, staging
 from tributary.operators.ledger import as_json
+from tributary.operators.ordering import ROW, number_rows
 from tributary.plans import oracle as o
 from tributary.plans.migrate import Options, migrate
 from tributary.plans.registry import query
@@ -90,12 +91,10 @@ def breaker(spark, sf):
                                                "CASE WHEN any_value(type) = 'SENSITIVE_FIELD_CONFLICT' THEN 'resolved' ELSE 'pending' END AS status")
     + ")", "record_findings"))
 def review_queue(spark, sf):
-    from tributary.operators.ordering import CHUNK, POS, ROW, number_rows
     found, _ = record_findings(spark, sf)
     status = F.when(F.col("type") == "SENSITIVE_FIELD_CONFLICT", "resolved").otherwise(F.col("status"))
     listed = review.items(found).withColumn("status", status).withColumn("created_at", F.to_timestamp(F.lit(_WHEN)))
-    order = [F.asc("status"), F.desc("created_at"), "group_key"]
-    numbered = number_rows(listed, order).withColumn("position", F.col(ROW) + 1)
+    numbered = number_rows(listed, review.queue_order()).withColumn("position", F.col(ROW) + 1)
     return numbered.select("position", "run_id", "group_key", "type", "status", "affected_count")
 
 
