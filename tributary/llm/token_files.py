@@ -30,7 +30,7 @@ from tributary.llm.common import materialize, mounted, scratch_path, text_bytes,
 
 MAGIC = b"TRBIDS01"
 SAMPLE = 256
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 
 class EliasFano:
@@ -185,8 +185,7 @@ def _encoder(path: str, end_id: int) -> tuple[Callable[[list[bytes]], list[bytes
     known: dict[bytes, bytes] = {}
     pieces: dict[str, bytes] = {}
 
-    def as_bytes(ids: list[int]) -> bytes:
-        return np.array(ids, dtype=kind).tobytes()
+    spelling = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size())]
 
     def piece(text: str) -> bytes:
         found = pieces.get(text)
@@ -194,7 +193,7 @@ def _encoder(path: str, end_id: int) -> tuple[Callable[[list[bytes]], list[bytes
             if len(pieces) >= CACHED_WORDS:
                 pieces.clear()
             spelled = text if text.isascii() else "".join(letters[b] for b in text.encode())
-            found = pieces[text] = as_bytes([t.id for t in tokenize(spelled)])
+            found = pieces[text] = b"".join([spelling[t.id] for t in tokenize(spelled)])
         return found
 
     def learn(parts: list[bytes]) -> None:
@@ -206,7 +205,7 @@ def _encoder(path: str, end_id: int) -> tuple[Callable[[list[bytes]], list[bytes
             else:
                 rest.append(p)
         for p, e in zip(rest, tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)):
-            known[p] = as_bytes(e.ids)
+            known[p] = b"".join([spelling[i] for i in e.ids])
 
     def encode(texts: list[bytes]) -> list[bytes]:
         parts = [t.split() for t in texts]
