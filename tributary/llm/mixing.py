@@ -141,19 +141,17 @@ def _cutoffs(found: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def realise(docs: DataFrame, mixture: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """Every row of ``docs`` once for each pass that takes it, with ``epoch`` and ``place`` in that pass.
+    """(row, epoch, place): every row of ``docs``, all its columns as one, once for each pass that takes it.
 
-    All columns are kept. Documents of a source without words are taken once.
-    Rows sorted by (epoch, place) are the passes in their permuted order.
+    Documents of a source without words are taken once. Rows sorted by
+    (epoch, place) are the passes in their permuted order.
     """
-    names = docs.columns
-    of = mixture.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("cutoff").alias("_cutoff"))
-    joined = docs.join(small(of), F.coalesce(F.col(f"`{source}`"), F.lit("")) == F.col("_source"), "left")
-    partial = (place(F.col("_epochs"), F.col(f"`{key}`")) <= F.col("_cutoff")).cast("long")
-    copies = F.coalesce(F.col("_epochs") + partial, F.lit(1))
-    counted = joined.withColumn("_copies", copies).filter("_copies > 0")
-    taken = counted.withColumn("_epoch", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))))
-    return taken.select(*[F.col(f"`{c}`") for c in names], F.col("_epoch").alias("epoch"), place(F.col("_epoch"), F.col(f"`{key}`")).alias("place"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), F.col(f"`{key}`").alias("key"))
+    joined = rows.join(small(mixture.select("source", "epochs", "cutoff")), "source", "left")
+    partial = (place(F.col("epochs"), F.col("key")) <= F.col("cutoff")).cast("long")
+    counted = joined.withColumn("copies", F.coalesce(F.col("epochs") + partial, F.lit(1))).filter("copies > 0")
+    taken = counted.withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
+    return taken.select("row", "epoch", place(F.col("epoch"), F.col("key")).alias("place"))
 
 
 def mix(docs: DataFrame, target: Target, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tributary.llm.common import text_bytes, text_chunks
 
@@ -154,14 +155,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     return model
 
 
-def scores(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """(keep..., score) for every row of ``docs`` from its whole text; null and empty texts get the share of good labels."""
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """(row, score): every row of ``docs``, all its columns as one, with the score of its whole text.
+
+    Null and empty texts get the share of good labels. Columns of any name are kept as they are.
+    """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for part, texts in text_chunks(batches):
-            columns = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score(texts))], [*(n for n in part.schema.names if n != "_text"), "_score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(texts))], schema=pa.schema([part.schema.field(0), ("score", pa.float64())]))
+
+    rows = text_bytes(docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("_whole")), "row", text="_whole")
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
+
 
-    rows = text_bytes(docs, *[F.col(f"`{c}`") for c in keep], text=text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, _score double").withColumnRenamed("_score", "score")
+def keep_good(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that score ``least`` or more."""
+    return scored(docs, model, text).filter(F.col("score") >= least).select("row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm import chat_format, decontaminate, mixing, nearest, oracle, quality, simhash, token_files, toxicity
+from tributary.llm import chat_format, decontaminate, lm_score, mixing, nearest, oracle, quality, simhash, substring_dedup, token_files, toxicity
 from tributary.llm.common import fold, importable, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op2_substring_dedup")
+def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(read(spark, sf_dir, "documents"))
+
+
 @query("op3_decontamination", oracle.decontamination(decontaminate.MASKS, decontaminate.MIN_WORDS, decontaminate.SIMILARITY,
                                                      decontaminate.MATCH, decontaminate.MISS))
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +79,19 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit(docs, read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    return quality.scores(docs, model, ["doc_id"]).select(
+    return quality.scored(docs.select("doc_id", "text"), model).select("row.doc_id", "score").select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op7_lm_score")
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 10) == 0
+    model = lm_score.train(docs.filter(~held_out), order=2)
+    return lm_score.scores(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+                                               "base_score", "score")
+
+
 #: The weights' entropy, as a share of that of equal weights.
 ENTROPY = 0.998
 
@@ -85,7 +99,7 @@ ENTROPY = 0.998
 @query("op8_mixing", oracle.mixing(ENTROPY))
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"), mixing.Target(entropy=ENTROPY))
-    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "epoch", "place")
+    return mixed.select("row.doc_id", F.coalesce("row.source", F.lit("")).alias("source"), "epoch", "place")
 
 
 @query("op9_simhash_near_dedup")
