@@ -153,3 +153,14 @@ def test_two_columns_for_one_target(spark):
     assert d["notes"].mapped_to is None
     forced = mapping.decide(profile([hr.frame(spark, rows, "s")]), CONTRACT, options=MappingOptions(force_review=("notes",)))
     assert forced.filter("column = 'notes'").first().decision == "AMBIGUOUS"
+
+
+def test_rules_of_another_client_do_nothing(spark, run1, learned):
+    """Two clients hold the same fingerprints with other actions; rows neither change nor double."""
+    other = learned.withColumn("client_id", F.lit("other")).withColumn("action", F.regexp_replace("action", "Leave|Active|DMY|MDY|employee_id", "Terminated"))
+    mine = migrate(hr.sources(spark), CONTRACT, rules=learned, options=options("run2"))
+    both = migrate(hr.sources(spark), CONTRACT, rules=learned.unionByName(other), options=options("run2"))
+    assert both.staged.count() == mine.staged.count() == run1.staged.count()
+    assert sorted(map(str, both.staged.collect())) == sorted(map(str, mine.staged.collect()))
+    alone = migrate(hr.sources(spark), CONTRACT, rules=other, options=options("run2"))
+    assert sorted(map(str, alone.staged.collect())) == sorted(map(str, run1.staged.collect()))

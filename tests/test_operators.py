@@ -411,3 +411,28 @@ def test_search_tabs(spark):
     canonical = records(spark, {"first_name": "Zed"}, {}).withColumn("status", F.when(F.col("canonical_key") == "k0", "pushed").otherwise("ready"))
     assert [r.canonical_key for r in reports.search(canonical, "zE").collect()] == ["k0"]
     assert reports.search(canonical, "", "pushed").count() == 1 and reports.search(canonical, "zed", "other").count() == 0
+
+
+def test_a_run_without_valid_records_leaves_nothing_behind(spark, tmp_path):
+    path = str(tmp_path / "canonical")
+    delivery.save_canonical(records(spark, {}, {}), "r:1", path)
+    delivery.save_canonical(records(spark, {}), "r2", path)
+    delivery.save_canonical(records(spark, {}, {}).limit(0), "r:1", path)
+    assert [r["run_id"] for r in spark.read.parquet(path).select("run_id").collect()] == ["r2"]
+
+
+def test_amounts_are_never_written_with_an_exponent(spark):
+    from tributary.operators.quality import number_text
+    wanted = {12345678.9: "12345678.9", 0.0001: "0.0001", 2e15: "2000000000000000.0", -5.0: "-5.0", 0.0: "0.0", 100.0: "100.0"}
+    got = spark.createDataFrame([(v,) for v in wanted], "v double").select("v", number_text(F.col("v")).alias("t")).collect()
+    assert {r["v"]: r["t"] for r in got} == wanted
+
+
+def test_export_keys_of_many_customers_stay_apart(spark):
+    from tributary.sources import bridge
+    keys = "(SELECT k AS c_custkey, k % 25 AS c_nationkey, 1.5D AS c_acctbal, 'BUILDING' AS c_mktsegment FROM VALUES (1L), (12L), (999999L), (1000000L), (1000012L), (1499999L), (9999999L), (97000012L) AS t(k))"
+    for name in ("src_a", "src_c"):
+        rows = spark.sql(bridge.EXPORTS[name].replace("FROM customer", f"FROM {keys}"))
+        assert rows.count() == rows.select("row_num").distinct().count()
+    ids = [r["emp_no"] for r in spark.sql(bridge.SRC_A.replace("FROM customer", f"FROM {keys}")).collect()]
+    assert len(set(ids)) == 8 and {"E000001", "E1499999", "E97000012"} <= set(ids)

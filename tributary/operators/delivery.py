@@ -5,6 +5,8 @@ attempts: (id, run_id, record_id, attempt, http_status)
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tributary.operators.ordering import CHUNK, POS, ROW, carry_in, number_rows, within_chunk
@@ -151,6 +153,6 @@ def rejected_findings(statuses: DataFrame, run_id: str, missing_id_codes: tuple[
 
 
 def save_canonical(valid: DataFrame, run_id: str, path: str) -> None:
-    """Store a run's records as ``ready``, replacing only that run."""
-    out = valid.withColumns({"run_id": F.lit(run_id), "status": F.lit("ready")})
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+    """Store a run's records as ``ready`` in the run's own partition, replacing what an earlier try left, even by nothing."""
+    name = re.sub(r"""["#%'*/:=?\\{\[\]^\x00-\x1f\x7f]""", lambda m: f"%{ord(m[0]):02X}", run_id)
+    valid.drop("run_id").withColumn("status", F.lit("ready")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={name}")

@@ -15,7 +15,6 @@ from tributary.session import materialize
 
 ID, EMAIL, NAME = 1, 2, 3
 KIND_NAMES = {ID: "id", EMAIL: "email", NAME: "name"}
-MAX_ROUNDS = 50
 
 
 def _filled(name: str) -> Column:
@@ -99,11 +98,11 @@ def _attachments(keys: DataFrame, seeds: DataFrame, hot: DataFrame | None, guard
         "seq", F.col("b.target").alias("entity_seq"), F.col("b.kind").alias("kind"))
 
 
-def _settle(rows: DataFrame, guard: bool, max_rounds: int) -> DataFrame:
+def _settle(rows: DataFrame, guard: bool, max_rounds: int | None) -> DataFrame:
     """(seq, entity_seq, kind) of the rows that are not seeds, among rows with at least one key.
 
     A round settles every row that leads all its keys, and every row tied to
-    one of those. What is left shrinks quickly; each round is written out, so
+    one of those, the first open row at least, so rounds come to an end. What is left shrinks quickly; each round is written out, so
     the lineage stays short and a lost executor costs one round at most.
     """
     open_rows, open_count = rows, rows.count()
@@ -112,7 +111,7 @@ def _settle(rows: DataFrame, guard: bool, max_rounds: int) -> DataFrame:
     hot, rounds = None, 0
     while open_count:
         rounds += 1
-        if rounds > max_rounds:
+        if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"linking did not settle within {max_rounds} rounds")
         keys = key_table(open_rows)
         firsts = materialize(_first_per_key(keys), "firsts")
@@ -131,7 +130,7 @@ def _settle(rows: DataFrame, guard: bool, max_rounds: int) -> DataFrame:
     return tied
 
 
-def link(staged: DataFrame, forbid_conflicting_ids: bool = True, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def link(staged: DataFrame, forbid_conflicting_ids: bool = True, max_rounds: int | None = None) -> DataFrame:
     """(seq, entity_seq, matched_by): every staged row and the seed row of its entity.
 
     ``matched_by`` is ``seed``, ``id``, ``email`` or ``name``. ``staged`` is

@@ -64,8 +64,8 @@ def error_list(contract: Contract, value=F.col, *, check_dates: bool = False, ch
 
 def number_text(n: Column) -> Column:
     """Decimal text of a number, always with a fraction digit and never with an exponent."""
-    whole = (n == F.floor(n)) & (F.abs(n) < 1e15)
-    return F.when(whole, F.concat(n.cast("bigint").cast("string"), F.lit(".0"))).otherwise(n.cast("string"))
+    text = n.try_cast("decimal(38,12)").cast("string")
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", ".0")
 
 
 def repair(contract: Contract, errors: Column) -> dict[str, Column]:

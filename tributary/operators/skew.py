@@ -4,24 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key is hot when it has more rows than one task should take. Only the
-# largest keys need care: one outside the first TOP holds less than 1/TOP of
-# all rows, so the list is small however large the tables are.
+from tributary.session import materialize
+
+# A key is hot when it has more rows than one task should take. There are at
+# most rows / HOT_ROWS hot keys, a millionth of the rows.
 HOT_ROWS = 1_000_000
-TOP = 1000
 
 
 def hot_keys(counts: DataFrame, on: list[str], n: str = "n", total: int | None = None) -> DataFrame | None:
-    """(on..., _copies) for at most TOP hot keys of counts(on..., n); None when no key is hot.
+    """(on..., _copies) for the hot keys of counts(on..., n), as a written table; None when no key is hot.
 
     With a known ``total`` of rows too small for any hot key nothing is run.
     """
     if total is not None and total <= HOT_ROWS:
         return None
-    largest = (counts.filter(F.col(n) > HOT_ROWS).orderBy(F.desc(n)).limit(TOP)
-               .select(*on, F.ceil(F.col(n) / HOT_ROWS).cast("int").alias("_copies")))
-    found = largest.collect()
-    return counts.sparkSession.createDataFrame(found, largest.schema) if found else None
+    found = materialize(counts.filter(F.col(n) > HOT_ROWS).select(*on, F.ceil(F.col(n) / HOT_ROWS).cast("int").alias("_copies")), "hot_keys")
+    return None if found.isEmpty() else found
 
 
 def small_enough(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

@@ -69,6 +69,8 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
     resolutions are passed in, so a re-run with more rules decides more.
     """
     run = options.run_id
+    if rules is not None:  # other clients' decisions say nothing about these sources
+        rules = rules.filter(F.col("client_id") == options.client_id)
     precedence = list(options.precedence or sources)
     profiles = materialize(profile.profile(list(sources.values())), "profiles")
     decisions = materialize(mapping.decide(profiles, contract, rules, options.mapping), "decisions")

@@ -17,6 +17,12 @@ from tributary.sources.readers import from_frame
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
+def _padded(number: str, digits: int) -> str:
+    """The number as text with zeros in front up to ``digits``; longer numbers are not cut."""
+    return f"lpad(CAST({number} AS STRING), CAST(greatest({digits}, length(CAST({number} AS STRING))) AS INT), '0')"
+
+
+_ID = _padded("c_custkey", 6)
 _LETTERS = "translate(CAST(c_custkey AS STRING),'0123456789','abcdefghij')"
 _FAMILY = "translate(CAST(c_nationkey AS STRING),'0123456789','abcdefghij')"
 _PERSON = f"'Na' || {_LETTERS} || ' Fam' || {_FAMILY}"
@@ -26,7 +32,7 @@ _BORN = "CAST(1960 + c_custkey % 40 AS STRING)"
 
 SRC_A = f"""
 SELECT c_custkey + 1 AS row_num,
-       'E' || lpad(CAST(c_custkey AS STRING), 6, '0') AS emp_no,
+       'E' || {_ID} AS emp_no,
        CASE WHEN c_custkey % 7 = 0 THEN '  NA' || upper({_LETTERS}) || '  '
             WHEN c_custkey % 7 = 1 THEN 'na' || {_LETTERS}
             ELSE 'Na' || {_LETTERS} END AS first_name,
@@ -40,13 +46,13 @@ SELECT c_custkey + 1 AS row_num,
        c_mktsegment AS dept,
        CASE WHEN c_custkey % 50 = 8 THEN 'LOA' WHEN c_custkey % 9 = 0 THEN 'resigned' ELSE 'Active' END AS status,
        CASE WHEN c_custkey < 10 THEN ''
-            ELSE 'E' || lpad(CAST(CAST(floor(c_custkey / 10.0) AS BIGINT) AS STRING), 6, '0') END AS mgr,
+            ELSE 'E' || {_padded("CAST(floor(c_custkey / 10.0) AS BIGINT)", 6)} END AS mgr,
        CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) AS salary
 FROM customer"""
 
 SRC_B = f"""
 SELECT c_custkey + 1 AS row_num,
-       'E' || lpad(CAST(c_custkey AS STRING), 6, '0') AS emp_id,
+       'E' || {_ID} AS emp_id,
        {_PERSON} AS full_name,
        CASE WHEN c_custkey % 20 = 0 THEN '' ELSE 'u' || CAST(c_custkey AS STRING) || '@example.com' END AS email_address,
        CAST(CAST(floor(c_acctbal) AS BIGINT) + CASE WHEN c_custkey % 100 = 5 THEN 8000 ELSE 0 END AS STRING) AS gross_salary,
@@ -55,23 +61,23 @@ SELECT c_custkey + 1 AS row_num,
 FROM customer WHERE c_custkey % 3 <> 0"""
 
 SRC_C = f"""
-SELECT c_custkey + 1 AS row_num,
+SELECT 2 * c_custkey + 1 AS row_num,
        {_PERSON} AS name,
        CASE WHEN c_custkey % 40 = 0 THEN '' ELSE 'u' || CAST(c_custkey AS STRING) || '@example.com' END AS mail,
        CASE WHEN c_custkey % 2 = 0 THEN '+91 ' || CAST(9876000000 + c_custkey AS STRING)
             ELSE '0' || CAST(9876500000 + c_custkey AS STRING) END AS phone,
        {_BORN} || '-' || {_MONTH} || '-' || {_DAY} AS birth_date,
-       'E' || lpad(CAST(c_custkey AS STRING), 6, '0') AS ref,
+       'E' || {_ID} AS ref,
        lower(CASE WHEN c_custkey % 50 = 8 THEN 'Active' WHEN c_custkey % 9 = 0 THEN 'resigned' ELSE 'Active' END) AS status,
        lower(c_mktsegment) AS dept
 FROM customer WHERE c_custkey % 4 IN (0, 1)
 UNION ALL
-SELECT 1000000 + c_custkey AS row_num,
+SELECT 2 * c_custkey + 2 AS row_num,
        'Na' || {_LETTERS} || ' Fom' || {_FAMILY} AS name,
        'n' || CAST(c_custkey AS STRING) || '@consultant.org' AS mail,
        '+91 9988776655' AS phone,
        {_BORN} || '-' || {_MONTH} || '-' || {_DAY} AS birth_date,
-       'E9' || lpad(CAST(c_custkey AS STRING), 5, '0') AS ref,
+       'E9' || {_padded("c_custkey", 5)} AS ref,
        'active' AS status, 'tech' AS dept
 FROM customer WHERE c_custkey % 97 = 12"""
 
@@ -88,7 +94,9 @@ FROM events"""
 ATTEMPTS = """
 SELECT event_id AS id, 'run_0' AS run_id, CAST(floor(event_id / 3.0) AS BIGINT) AS record_id,
        CAST(1 + event_id % 3 AS INT) AS attempt,
-       CASE event_type WHEN 'purchase' THEN 201 WHEN 'signup' THEN 200 WHEN 'click' THEN 422 ELSE 503 END AS http_status
+       CASE WHEN CAST(floor(event_id / 3.0) AS BIGINT) % 500 BETWEEN 290 AND 295 THEN 503
+            WHEN event_type = 'purchase' THEN 201 WHEN event_type = 'signup' THEN 200 WHEN event_type = 'click' THEN 422
+            ELSE 503 END AS http_status
 FROM events"""
 
 EXPORTS = {"src_a": SRC_A, "src_b": SRC_B, "src_c": SRC_C}
@@ -105,7 +113,7 @@ MAPPINGS = {
 }
 PRECEDENCE = ["src_a", "src_c", "src_b"]
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
-CONTRACT = employee_contract(r"^E\d{6}$", {s: [] for s in SEGMENTS})
+CONTRACT = employee_contract(r"^E\d{6,}$", {s: [] for s in SEGMENTS})
 DATE_ORDER = "DMY"  # the order people chose for the ambiguous payroll dates
 
 
