@@ -60,6 +60,15 @@ def test_column_date_order(spark, cells, order):
     assert df.agg(dates.order_of_column(F.col("v"))).first()[0] == order
 
 
+def test_more_date_forms(spark):
+    given = ["05/01/20", "05-01-69", "2020/01/05", "2020.1.5", "Jan 5, 2020", "05 January 2020", "5-sep-2020", "2020-01-05T00:00:00", "2020-01-05 23:59:59.5Z",
+             "Janner 5, 2020", "2020-13-45T00:00:00"]
+    assert values(spark, given, lambda c: dates.to_iso(c, F.lit("DMY"))) == [
+        "2020-01-05", "1969-01-05", "2020-01-05", "2020-01-05", "2020-01-05", "2020-01-05", "2020-09-05", "2020-01-05", "2020-01-05",
+        "Janner 5, 2020", "2020-13-45T00:00:00"]
+    assert values(spark, given[:1], lambda c: dates.to_iso(c, F.lit("AMBIGUOUS"))) == [None]
+
+
 def test_dates_to_iso(spark):
     given = ["13/04/1988", "2021-06-05", "05-SEP-2020", "31/02/2020", "junk", "1/2/2020", None]
     assert values(spark, given, lambda c: dates.to_iso(c, F.lit("DMY"))) == [

@@ -40,6 +40,28 @@ def test_csv_source_is_all_text_and_numbered(spark, tmp_path):
     assert landed.raw_json == '{"id":"007","name":"Ann"}'
 
 
+def test_csv_rows_that_do_not_fit_are_refused_and_listed(spark, tmp_path):
+    path = tmp_path / "ragged.csv"
+    path.write_text("a,b\n1,2\n1,2,3\n4\n5,6\n")
+    with pytest.raises(Exception):
+        readers.read_source(spark, str(path), "ragged").count()
+    assert sorted(r.line for r in readers.rejects(spark, str(path)).collect()) == ["1,2,3", "4"]
+    rest = readers.read_source(spark, str(path), "ragged", mode="DROPMALFORMED").orderBy(readers.ROW_NUM)
+    assert [(r.a, r.b) for r in rest.collect()] == [("1", "2"), ("5", "6")]
+
+
+def test_quoted_line_breaks_and_raw_cells(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note\n1,"two\nlines"\n 2 ,N/A\n')
+    with pytest.raises(Exception):
+        readers.read_source(spark, str(path), "notes").count()
+    raw = readers.read_raw(spark, str(path), "notes", multiLine="true")
+    assert [r.raw_json for r in readers.landing(raw).orderBy("row_num").collect()] == [
+        '{"id":"1","note":"two\\nlines"}', '{"id":" 2 ","note":"N/A"}']
+    clean = readers.read_source(spark, str(path), "notes", multiLine="true").orderBy(readers.ROW_NUM).collect()
+    assert [(r.id, r.note) for r in clean] == [("1", "two\nlines"), ("2", None)]
+
+
 def test_row_numbers_follow_files_and_blocks(spark, tmp_path):
     folder = tmp_path / "parts.csv"
     folder.mkdir()
@@ -134,6 +156,8 @@ def test_ladder(spark, change, errors, outcome):
 def test_repairs_are_listed(spark):
     r = quality.ladder(records(spark, {"email": "a b@c.d", "salary": "INR 12000000"}), CONTRACT).first()
     assert r.fixes == ["email", "salary"] and (r.email, r.salary) == ("ab@c.d", "12000000.0")
+    below = quality.ladder(records(spark, {"salary": "-5"}), CONTRACT).first()
+    assert (below.fixes, below.salary, below.outcome) == ([], "-5", "quarantined")
     assert r.errors_before == ["email:email", "number:salary"]
 
 
@@ -294,6 +318,19 @@ def test_outage_scan_equals_a_loop(spark, many_chunks, seed):
         assert final[i] == expected
 
 
+def test_an_outage_stops_only_its_run(spark, many_chunks):
+    schema = "id long, run_id string, record_id string, attempt int, http_status int"
+    rows = [(2 * i + r, f"run{r}", f"{r}-{i}", 1, c) for r, codes in enumerate([(201, 503, 503, 201, 201), (503, 201, 503, 503, 503, 201)])
+            for i, c in enumerate(codes)]
+    scanned = delivery.outage_scan(delivery.attempt_status(spark.createDataFrame(rows, schema)), limit=3, batch_size=3)
+    final = {r.record_id: (r.position, r.final_status) for r in delivery.compensate(scanned).collect()}
+    assert [final[f"0-{i}"] for i in range(5)] == [(0, "pushed"), (1, "failed"), (2, "failed"), (3, "pushed"), (4, "pushed")]
+    assert [final[f"1-{i}"][1] for i in range(6)] == ["failed", "pushed", "failed", "failed", "failed", "not_attempted"]
+    item = review.items(delivery.outage_findings(scanned, "run1")).collect()
+    assert [(i.type, i.affected_count) for i in item] == [("TARGET_OUTAGE_HALT", 1)]
+    assert delivery.outage_findings(scanned, "run0").count() == 0
+
+
 def test_no_outage_changes_nothing(spark):
     df = attempts(spark, [("a", 1, 201), ("b", 1, 503), ("c", 1, 422)])
     final = delivery.compensate(delivery.outage_scan(delivery.attempt_status(df)))

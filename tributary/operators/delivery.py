@@ -9,13 +9,14 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tributary.operators.ordering import CHUNK, POS, ROW, carry_in, number_rows, within_chunk
+from tributary.operators.ordering import CHUNK, POS, ROW, carry_in, number_rows
 from tributary.operators.review import findings
 from tributary.operators.skew import hot_keys, salted_join
 from tributary.operators.ledger import as_json
 from tributary.session import materialize
 
 SUCCESS_CODES = (200, 201)
+_PARTS = 64
 
 
 def idempotency_key(key: Column, payload_fields: list[str]) -> Column:
@@ -31,7 +32,7 @@ def batches(records: DataFrame, order_by: list[str], size: int = 10) -> DataFram
 
 
 def accept(requests: DataFrame, delivered: DataFrame | None = None, order: str = "request_seq") -> DataFrame:
-    """What a target with unique employee ids answers to requests taken in order.
+    """Which requests, taken in order, are new, repeated or in conflict where employee ids are unique.
 
     Adds ``outcome`` and ``http_status``: created 201, already_processed 200
     (same idempotency key as the stored record), conflict 409 (the id is taken
@@ -40,8 +41,10 @@ def accept(requests: DataFrame, delivered: DataFrame | None = None, order: str =
     aggregation; repeats meet it in a join that deals out hot ids.
     """
     holders = requests.filter(F.col("employee_id").isNotNull()).select("employee_id", "idempotency_key", F.col(order).cast("long").alias("_at"))
-    if delivered is not None:
-        holders = holders.unionByName(delivered.select("employee_id", "idempotency_key", F.lit(-1).cast("long").alias("_at")))
+    if delivered is not None:  # only the ids asked for; the rest of the store is not grouped or written
+        asked = holders.select("employee_id").distinct()
+        held = delivered.join(asked, "employee_id", "left_semi")
+        holders = holders.unionByName(held.select("employee_id", "idempotency_key", F.lit(-1).cast("long").alias("_at")))
     holders = materialize(holders.groupBy("employee_id").agg(
         F.min(F.struct("_at", "idempotency_key")).alias("_h"), F.count(F.lit(1)).alias("n")), "holders")
     hot = hot_keys(holders, ["employee_id"])
@@ -89,41 +92,63 @@ def backoff(attempts: DataFrame, base: float = 0.5, max_retries: int = 3) -> Dat
 
 
 def outage_scan(statuses: DataFrame, limit: int = 3, batch_size: int = 10) -> DataFrame:
-    """Records of one run in delivery order with the count of failures since the last success.
+    """Records of each run in delivery order with the count of failures since the last success.
 
-    A success resets the count, a 4xx leaves it. The running sums go chunk by
-    chunk: each chunk is scanned on its own, and only one line per chunk is
-    brought together to carry the sums over.
+    A success resets the count, a 4xx leaves it; every run starts anew. The
+    running sums go chunk by chunk: each run's part of a chunk is scanned on
+    its own, and one line for it is brought together to carry the sums over.
     """
-    ordered = number_rows(statuses, ["first_id", "record_id"])
-    w = within_chunk()
+    ordered = number_rows(statuses, ["run_id", "first_id", "record_id"])
+    w = Window.partitionBy("run_id", CHUNK).orderBy(POS)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ordered.withColumn("_fails", F.count_if(F.col("status") == "failed").over(so_far))
     local = local.withColumn("_reset", F.max(F.when(F.col("status") == "pushed", F.col("_fails"))).over(so_far))
-    chunks = local.groupBy(CHUNK).agg(F.max("_fails").alias("_total"), F.max("_reset").alias("_last_reset"))
-    chunks = carry_in(chunks, F.sum("_total"), "_before", 0)
-    chunks = carry_in(chunks, F.max(F.col("_before") + F.col("_last_reset")), "_reset_before", 0)
-    whole = local.join(F.broadcast(chunks.select(CHUNK, "_before", "_reset_before")), CHUNK)
+    parts = local.groupBy("run_id", CHUNK).agg(
+        F.max("_fails").alias("_total"), F.max("_reset").alias("_last_reset"), F.min(ROW).alias("_from"))
+    parts = carry_in(parts, F.sum("_total"), "_before", 0, "run_id")
+    parts = carry_in(parts, F.max(F.col("_before") + F.col("_last_reset")), "_reset_before", 0, "run_id")
+    parts = parts.withColumn("_start", F.min("_from").over(Window.partitionBy("run_id")))
+    whole = local.join(parts.select("run_id", CHUNK, "_before", "_reset_before", "_start"), ["run_id", CHUNK])
+    position = F.col(ROW) - F.col("_start")
     since = F.col("_before") + F.col("_fails") - F.coalesce(F.col("_before") + F.col("_reset"), F.col("_reset_before"))
     return (whole.withColumn("consecutive_failures", since)
             .withColumn("outage", (F.col("consecutive_failures") >= limit) & (F.col("status") == "failed"))
-            .withColumn("position", F.col(ROW)).withColumn("batch", F.floor(F.col(ROW) / batch_size).cast("long"))
+            .withColumn("position", position).withColumn("batch", F.floor(position / batch_size).cast("long"))
             .select(*statuses.columns, "position", "batch", "consecutive_failures", "outage"))
 
 
 def compensate(scanned: DataFrame) -> DataFrame:
-    """Final status once the first outage stops the run.
+    """Final status once the first outage of a run stops that run.
 
     Successes of the stopped batch are rolled back; everything after the stop
     was not attempted.
     """
-    stop = scanned.filter("outage").agg(F.min(F.struct("position", "batch")).alias("s"))
-    at = stop.select(F.col("s.position")).scalar()
-    batch = stop.select(F.col("s.batch")).scalar()
-    final = (F.when(F.col("position") > at, "not_attempted")
+    stopped = stops(scanned)
+    batch = F.col("stopped_batch")
+    final = (F.when(F.col("position") > F.col("stopped_at"), "not_attempted")
              .when((F.col("batch") == batch) & (F.col("status") == "pushed"), "rolled_back")
              .otherwise(F.col("status")))
-    return scanned.withColumn("final_status", final)
+    # A run may hold most of the rows: its one stop goes to all of them by way of the run's parts.
+    spread = F.pmod(F.col("position"), F.lit(_PARTS)).cast("int")
+    copied = stopped.select("run_id", "stopped_at", "stopped_batch", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("_part"))
+    joined = scanned.withColumn("_part", spread).join(copied, ["run_id", "_part"], "left")
+    return joined.withColumn("final_status", final).select(*scanned.columns, "final_status")
+
+
+def stops(scanned: DataFrame) -> DataFrame:
+    """(run_id, stopped_at, stopped_batch) of the runs that an outage stops."""
+    first = scanned.filter("outage").groupBy("run_id").agg(F.min(F.struct("position", "batch")).alias("s"))
+    return first.select("run_id", F.col("s.position").alias("stopped_at"), F.col("s.batch").alias("stopped_batch"))
+
+
+def outage_findings(scanned: DataFrame, run_id: str) -> DataFrame:
+    """A finding for the run if an outage stopped it: what was rolled back or not attempted waits for a decision."""
+    final = compensate(scanned.filter(F.col("run_id") == run_id))
+    waiting = final.filter(F.col("final_status").isin("rolled_back", "not_attempted"))
+    return findings(
+        waiting, run_id=run_id, type="TARGET_OUTAGE_HALT", group_key=F.lit(f"outage_{run_id}"),
+        affected=F.col("record_id"), order=F.col("position"), context=as_json(first_position=F.col("position")),
+        proposal=as_json(action=F.lit("deliver_again")))
 
 
 def rollback_set(attempts: DataFrame, run_id: str) -> DataFrame:

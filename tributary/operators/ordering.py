@@ -28,11 +28,7 @@ def number_rows(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
             .withColumn(ROW, F.col("_offset") + F.col(POS)).drop("_offset"))
 
 
-def carry_in(chunks: DataFrame, running: Column, name: str, default) -> DataFrame:
-    """A running aggregate over all earlier chunks, on a table of one row per chunk."""
-    earlier = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+def carry_in(chunks: DataFrame, running: Column, name: str, default, *within: str) -> DataFrame:
+    """A running aggregate over all earlier chunks (of one group ``within``), on a table of one row per chunk."""
+    earlier = Window.partitionBy(*within).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     return chunks.withColumn(name, F.coalesce(running.over(earlier), F.lit(default)))
-
-
-def within_chunk() -> "Window":
-    return Window.partitionBy(CHUNK).orderBy(POS)

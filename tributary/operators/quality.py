@@ -69,7 +69,7 @@ def number_text(n: Column) -> Column:
 
 
 def repair(contract: Contract, errors: Column) -> dict[str, Column]:
-    """Field -> repaired column. Only repairs that cannot change the meaning are made."""
+    """Field -> repaired column. Only repairs that clear the error and cannot change the meaning are made."""
     out: dict[str, Column] = {}
     for f in contract.of_type("email"):
         c = F.col(f.name)
@@ -82,7 +82,12 @@ def repair(contract: Contract, errors: Column) -> dict[str, Column]:
         digits = F.regexp_replace(c, r"[^\d.\-]", "")
         number = F.when(digits.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), digits.try_cast("double"))
         wrong = F.exists(errors, lambda e: e.isin(f"number:{f.name}", f"minimum:{f.name}", f"maximum:{f.name}"))
-        out[f.name] = F.when(wrong & number.isNotNull(), number_text(number)).otherwise(c)
+        fits = number.isNotNull()  # an amount outside its limits is not repaired by writing it anew
+        if f.min is not None:
+            fits = fits & (number >= f.min)
+        if f.max is not None:
+            fits = fits & (number <= f.max)
+        out[f.name] = F.when(wrong & fits, number_text(number)).otherwise(c)
     return out
 
 

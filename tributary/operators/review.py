@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tributary.contract import Contract
 from tributary.operators.entity import canonical_key
 from tributary.operators.ledger import as_json
-from tributary.operators.skew import hot_keys, salted_join
+from tributary.operators.skew import count_keys, hot_keys, salted_join
 
 # Item types, and which of them concern columns rather than records.
 ITEM_TYPES = ("MAPPING_AMBIGUITY", "CONFIRM_SENSITIVE_MAPPINGS", "DATE_FORMAT_AMBIGUOUS", "ENUM_VALUE_AMBIGUOUS",
@@ -106,7 +106,9 @@ def conflict_findings(sensitive: DataFrame, run_id: str) -> DataFrame:
 
 
 def near_dup_findings(groups: DataFrame, group_members: DataFrame, run_id: str) -> DataFrame:
-    rows = group_members.join(groups, ["date_of_birth", "name_a", "name_b"])
+    key = ["date_of_birth", "name_a", "name_b"]
+    hot = hot_keys(groups.withColumn("n", F.col("entities_a") + F.col("entities_b")), key)
+    rows = salted_join(group_members, groups, key, hot, "canonical_key")
     return findings(
         rows, run_id=run_id, type="NEAR_DUPLICATE_RECORD",
         group_key=F.concat_ws("_", F.lit("near_dup"), "date_of_birth", "name_a", "name_b"),
@@ -135,13 +137,29 @@ def identity_findings(conflicting: DataFrame, run_id: str) -> DataFrame:
 
 # -- run control -----------------------------------------------------------------------------
 
-def breaker(found: DataFrame, total_rows: Column, max_groups: int = 20, max_ratio: float = 0.30) -> DataFrame:
-    """Per run: group count, affected row ratio, and whether either limit is exceeded."""
+def source_rows(staged: DataFrame, links: DataFrame, merged: DataFrame) -> DataFrame:
+    """(affected_id, seq): the source rows behind each id a finding may name, a row or a record."""
+    rows = staged.select(F.concat(F.col("source"), F.lit(":row_"), F.col("row_num").cast("string")).alias("affected_id"), "seq")
+    entities = merged.select("entity_seq", F.col("canonical_key").alias("affected_id"), F.col("row_count").alias("n"))
+    hot = hot_keys(entities, ["entity_seq"])
+    return rows.unionByName(salted_join(links, entities.drop("n"), ["entity_seq"], hot, "seq").select("affected_id", "seq"))
+
+
+def breaker(found: DataFrame, total_rows: Column, max_groups: int = 20, max_ratio: float = 0.30,
+            rows_of: DataFrame | None = None) -> DataFrame:
+    """Per run: group count, affected row ratio, and whether either limit is exceeded.
+
+    ``rows_of`` (affected_id, seq) says which source rows an affected id stands
+    for; without it each id counts as one row.
+    """
     per_group = found.groupBy("run_id", "group_key").agg(F.lit(1).alias("one"))
     groups = per_group.groupBy("run_id").agg(F.count("one").alias("group_count"))
-    rows = (found.filter(~F.col("type").isin("MAPPING_AMBIGUITY", "CONFIRM_SENSITIVE_MAPPINGS", "DATE_FORMAT_AMBIGUOUS"))
-            .select("run_id", "affected_id").distinct()
-            .groupBy("run_id").agg(F.count(F.lit(1)).alias("affected_rows")))
+    touched = (found.filter(~F.col("type").isin("MAPPING_AMBIGUITY", "CONFIRM_SENSITIVE_MAPPINGS", "DATE_FORMAT_AMBIGUOUS"))
+               .select("run_id", "affected_id").distinct())
+    if rows_of is not None:
+        hot = hot_keys(count_keys(rows_of, ["affected_id"]), ["affected_id"])
+        touched = salted_join(rows_of, touched, ["affected_id"], hot, "seq").select("run_id", "seq").distinct()
+    rows = touched.groupBy("run_id").agg(F.count(F.lit(1)).alias("affected_rows"))
     out = groups.join(rows, "run_id", "left").withColumn("affected_rows", F.coalesce("affected_rows", F.lit(0)))
     out = out.withColumn("affected_ratio", F.round(F.col("affected_rows") / total_rows, 4))
     return out.withColumn("tripped", (F.col("group_count") > max_groups) | (F.col("affected_ratio") > max_ratio))

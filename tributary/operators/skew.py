@@ -9,6 +9,8 @@ from tributary.session import materialize
 # A key is hot when it has more rows than one task should take. There are at
 # most rows / HOT_ROWS hot keys, a millionth of the rows.
 HOT_ROWS = 1_000_000
+# Tables of up to this many short rows are sent to every task.
+BROADCAST_ROWS = 100_000
 
 
 def hot_keys(counts: DataFrame, on: list[str], n: str = "n", total: int | None = None) -> DataFrame | None:
@@ -22,9 +24,18 @@ def hot_keys(counts: DataFrame, on: list[str], n: str = "n", total: int | None =
     return None if found.isEmpty() else found
 
 
-def small_enough(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Marked for broadcast if it has at most ``max_rows`` rows; unchanged otherwise."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def lookup(rows: DataFrame, table: DataFrame, on: str, spread_by: str | Column) -> DataFrame:
+    """Left join of ``rows`` with a table that holds each key once.
+
+    A table of checked size goes to every task. A larger one meets the rows by
+    key: hot keys are dealt out, and rows without a key stay out of the join.
+    """
+    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if small:
+        return rows.join(F.broadcast(table), on, "left")
+    keyed, rest = rows.filter(F.col(on).isNotNull()), rows.filter(F.col(on).isNull())
+    hot = hot_keys(count_keys(keyed, [on]), [on])
+    return salted_join(keyed, table, [on], hot, spread_by, "left").unionByName(rest, allowMissingColumns=True)
 
 
 def count_keys(rows: DataFrame, on: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tributary.contract import Contract, Field
 from tributary.functions import dates, text
 from tributary.operators.mapping import FULL_NAME
-from tributary.operators.skew import small_enough
+from tributary.operators.skew import lookup
 from tributary.sources.readers import ROW_NUM, SOURCE
 
 LINEAGE = ["source", "source_ord", "row_num", "seq"]
@@ -96,10 +96,12 @@ def normalize(staged: DataFrame, contract: Contract, orders: dict[str, str | Non
 def _with_learned_enums(staged: DataFrame, contract: Contract, rules: DataFrame) -> DataFrame:
     learned = rules.filter(F.col("enabled") & (F.col("kind") == "enum_value"))
     for f in contract.of_type("enum"):
-        mine = small_enough(learned.filter(F.startswith("fingerprint", F.lit(f.name + ":"))).select(
+        mine = learned.filter(F.startswith("fingerprint", F.lit(f.name + ":"))).select(
             F.substring("fingerprint", F.lit(len(f.name) + 2), F.length("fingerprint")).alias("_raw"),
-            F.get_json_object("action", "$.canonical_value").alias(f"_learned_{f.name}")))
-        staged = staged.join(mine, F.upper(f.name) == F.col("_raw"), "left").drop("_raw")
+            F.get_json_object("action", "$.canonical_value").alias(f"_learned_{f.name}"))
+        # Words of the contract need no rule, so only the others are looked up.
+        unknown = F.element_at(contract.literal_map(f.vocabulary()), F.lower(f.name)).isNull()
+        staged = lookup(staged.withColumn("_raw", F.when(unknown, F.upper(f.name))), mine, "_raw", "seq").drop("_raw")
     return staged
 
 

@@ -86,9 +86,15 @@ def backoff(spark, sf):
 o.block("scanned", """
 SELECT *, status = 'failed' AND consecutive_failures >= 3 AS outage FROM (
   SELECT *, count_if(status = 'failed') OVER (PARTITION BY run_id, island ORDER BY first_id ROWS UNBOUNDED PRECEDING)::BIGINT AS consecutive_failures,
-         row_number() OVER (ORDER BY first_id) - 1 AS position, CAST(floor((row_number() OVER (ORDER BY first_id) - 1) / 10.0) AS BIGINT) AS batch
-  FROM (SELECT *, count_if(status = 'pushed') OVER (PARTITION BY run_id ORDER BY first_id ROWS UNBOUNDED PRECEDING) AS island FROM statuses))
+         row_number() OVER w - 1 AS position, CAST(floor((row_number() OVER w - 1) / 10.0) AS BIGINT) AS batch
+  FROM (SELECT *, count_if(status = 'pushed') OVER (PARTITION BY run_id ORDER BY first_id ROWS UNBOUNDED PRECEDING) AS island FROM statuses)
+  WINDOW w AS (PARTITION BY run_id ORDER BY first_id))
 """, "statuses")
+o.block("final_statuses", """
+SELECT *, CASE WHEN position > stop_at THEN 'not_attempted' WHEN batch = stop_batch AND status = 'pushed' THEN 'rolled_back'
+               ELSE status END AS final_status
+FROM scanned LEFT JOIN (SELECT run_id, min(position) AS stop_at, arg_min(batch, position) AS stop_batch FROM scanned WHERE outage GROUP BY run_id)
+     USING (run_id)""", "scanned")
 
 
 @query("outage", o.with_blocks("SELECT run_id, record_id, status, position, batch, consecutive_failures, outage FROM scanned", "scanned"))
@@ -97,15 +103,20 @@ def outage(spark, sf):
         "run_id", "record_id", "status", "position", "batch", "consecutive_failures", "outage")
 
 
-@query("batch_compensation", o.with_blocks("""
-SELECT run_id, record_id, batch, CASE WHEN position > stop_at THEN 'not_attempted' WHEN batch = stop_batch AND status = 'pushed' THEN 'rolled_back'
-                               ELSE status END AS final_status
-FROM scanned, (SELECT min(position) AS stop_at, arg_min(batch, position) AS stop_batch FROM scanned WHERE outage)""", "scanned"))
+@query("batch_compensation", o.with_blocks("SELECT run_id, record_id, batch, final_status FROM final_statuses", "final_statuses"))
 def batch_compensation(spark, sf):
     scanned = delivery.outage_scan(delivery.attempt_status(b.attempts(spark, sf)))
     return delivery.compensate(scanned).select("run_id", "record_id", "batch", "final_status")
 
 
+@query("outage_items", o.with_blocks("""
+SELECT 'outage_' || run_id AS group_key, 'TARGET_OUTAGE_HALT' AS type, count(*) AS affected_count
+FROM final_statuses WHERE run_id = 'run_1' AND final_status IN ('rolled_back', 'not_attempted') GROUP BY run_id""", "final_statuses"))
+def outage_items(spark, sf):
+    scanned = delivery.outage_scan(delivery.attempt_status(b.attempts(spark, sf)))
+    return review.items(delivery.outage_findings(scanned, "run_1")).select("group_key", "type", "affected_count")
+
+
 @query("run_rollback", o.with_blocks(
     "SELECT DISTINCT run_id, record_id FROM attempts WHERE run_id = 'run_0' AND http_status IN (200, 201)", "attempts"))
 def run_rollback(spark, sf):

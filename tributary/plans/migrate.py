@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from tributary.contract import Contract
 from tributary.operators import entity, ledger, mapping, near_dup, profile, quality, review, staging
 from tributary.operators.mapping import MappingOptions
-from tributary.operators.skew import small_enough
+from tributary.operators.rules import of_client
+from tributary.operators.skew import lookup
 from tributary.session import materialize
 from tributary.sources.readers import ROW_NUM, data_columns
 
@@ -27,6 +28,8 @@ class Options:
     max_groups: int = 20
     max_ratio: float = 0.30
     phone_region: str = "IN"
+    check_dates: bool = False
+    check_phones: bool = False
 
 
 @dataclass(frozen=True)
@@ -52,9 +55,11 @@ class Migration:
     events: list[DataFrame]
 
     def deliverable(self) -> DataFrame:
-        """Valid records that no pending record-level item holds back."""
+        """Valid records that no pending record-level item holds back; none while the breaker halts the run."""
+        halted = self.gate.filter(F.col("run_status") == "halted").select(F.lit(1).alias("_halted"))
         held = review.withheld_keys(self.items, self.members).select("canonical_key")
-        return self.checked.filter(F.col("outcome") == "valid").join(held, "canonical_key", "left_anti")
+        ready = self.checked.filter(F.col("outcome") == "valid").join(held, "canonical_key", "left_anti")
+        return ready.join(F.broadcast(halted), how="left_anti")  # one row a run
 
     def ledger(self, first_id: int = 1) -> DataFrame:
         return ledger.number_events(self.events, first_id=first_id)
@@ -70,7 +75,7 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
     """
     run = options.run_id
     if rules is not None:  # other clients' decisions say nothing about these sources
-        rules = rules.filter(F.col("client_id") == options.client_id)
+        rules = of_client(rules, options.client_id)
     precedence = list(options.precedence or sources)
     profiles = materialize(profile.profile(list(sources.values())), "profiles")
     decisions = materialize(mapping.decide(profiles, contract, rules, options.mapping), "decisions")
@@ -89,7 +94,7 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
         fields = unrecognized.join(links, "seq").select("entity_seq", "field").distinct()
         under_review = fields.groupBy("entity_seq").agg(F.collect_set("field").alias("_excused"))
         excused = merged.join(under_review, "entity_seq", "left")
-    checked = quality.ladder(excused, contract,
+    checked = quality.ladder(excused, contract, check_dates=options.check_dates, check_phones=options.check_phones,
                              excused_enums=F.col("_excused") if options.excuse_reviewed_enums else None)
     checked = materialize(checked, "checked")
 
@@ -113,7 +118,8 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
     found = materialize(review.union_all(parts), "findings")
     items, members = review.items(found), review.members(found)
     total = staged.agg(F.count(F.lit(1))).scalar()
-    tripped = review.breaker(found, total, options.max_groups, options.max_ratio)
+    tripped = review.breaker(found, total, options.max_groups, options.max_ratio,
+                             review.source_rows(staged, links, merged))
     runs = staged.sparkSession.createDataFrame([(run,)], "run_id string")
     gate = review.run_gate(runs, items, tripped)
     applications = _applications(decisions, orders, sources, plan, contract, rules)
@@ -135,14 +141,14 @@ def _applications(decisions, orders, sources, plan, contract, rules) -> DataFram
         used = used.unionByName(orders.filter(F.col("decided_by") == "rule").select(
             F.lit("date_format").alias("kind"), column.alias("fingerprint"), F.lit(None).cast("string").alias("cell")))
     if rules is not None:
-        enum_rules = small_enough(rules.filter(F.col("enabled") & (F.col("kind") == "enum_value")).select("fingerprint"))
+        enum_rules = rules.filter(F.col("enabled") & (F.col("kind") == "enum_value")).select("fingerprint", F.lit(1).alias("_hit"))
         for name, df in sources.items():
             for source_column, target in plan.get(name, {}).items():
                 if target in contract and contract[target].type == "enum":
                     cell = F.concat_ws(":", F.lit(name), F.col(ROW_NUM).cast("string"), F.lit(source_column))
                     raw = df.select(F.concat(F.lit(target + ":"), F.upper(F.col(f"`{source_column}`"))).alias("fingerprint"),
                                     cell.alias("cell"))
-                    used = used.unionByName(raw.join(enum_rules, "fingerprint", "left_semi").select(
+                    used = used.unionByName(lookup(raw, enum_rules, "fingerprint", "cell").filter("_hit = 1").select(
                         F.lit("enum_value").alias("kind"), "fingerprint", "cell"))
     return used
 

@@ -309,13 +309,13 @@ def errors(value=lambda f: f) -> str:
     return f"list_filter([{', '.join(checks)}], lambda e: e IS NOT NULL)"
 
 
+# The amounts of the exports are whole numbers, with or without other text; a negative one stays as it is.
 block("checked", f"""
-SELECT *, {errors()} AS errors,
-       CASE WHEN len(list_filter(errors_before, lambda e: e IN ('number:salary', 'minimum:salary'))) > 0 THEN 'salary' ELSE '' END AS fixes
-FROM (SELECT * REPLACE (
-        CASE WHEN len(list_filter(errors_before, lambda e: e IN ('number:salary', 'minimum:salary'))) > 0
-             THEN CAST(CAST(regexp_replace(salary, '[^\\d.\\-]', '', 'g') AS BIGINT) AS VARCHAR) || '.0' ELSE salary END AS salary)
-      FROM (SELECT *, {errors()} AS errors_before FROM merged))""", "merged")
+SELECT * EXCLUDE (amount, mends), {errors()} AS errors, CASE WHEN mends THEN 'salary' ELSE '' END AS fixes
+FROM (SELECT * REPLACE (CASE WHEN mends THEN CAST(amount AS VARCHAR) || '.0' ELSE salary END AS salary)
+      FROM (SELECT *, list_contains(errors_before, 'number:salary') AND amount >= 0 AS mends
+            FROM (SELECT *, {errors()} AS errors_before, TRY_CAST(regexp_replace(salary, '[^\\d.\\-]', '', 'g') AS BIGINT) AS amount FROM merged)))""",
+      "merged")
 block("canonical", """
 SELECT *, 'run_0' AS run_id, CASE WHEN len(errors) = 0 THEN 'valid' ELSE 'quarantined' END AS outcome,
        CASE WHEN len(errors) = 0 THEN 'ready' ELSE 'quarantined' END AS status FROM checked""", "checked")

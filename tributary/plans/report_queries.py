@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.operators import ledger as ledger_ops, mapping, profile, reports, review
+from tributary.operators import delivery, ledger as ledger_ops, mapping, profile, reports, review
 from tributary.plans import delivery_queries, oracle as o  # noqa: F401 (defines the attempt blocks)
 from tributary.plans.registry import query
 from tributary.plans.review_queries import record_findings
 from tributary.plans.source_queries import tables_as_sources
-from tributary.sources import bridge as b, exports
+from tributary.session import scratch_path
+from tributary.sources import bridge as b, exports, readers
 from tributary.streaming import tail
 
 RUN = "run_0"
@@ -121,6 +122,34 @@ def audit_top500(spark, sf):
     return reports.audit_view(b.ledger(spark, sf), RUN, actor="agent").select(*_LEDGER_COLUMNS)
 
 
+@query("record_json", o.with_blocks(
+    "SELECT canonical_key, status, email, salary, hire_date FROM canonical", "canonical"))
+def record_json(spark, sf):
+    """The JSON export, written and read again."""
+    path = scratch_path(spark, "record_json")
+    exports.write_records_json(b.canonical(b.merged(spark, sf)[2]), ["email", "salary", "hire_date"], path)
+    record = "record struct<email:string,salary:string,hire_date:string>"
+    return spark.read.schema(f"canonical_key string, status string, {record}").json(path).select("canonical_key", "status", "record.*")
+
+
+@query("csv_source", o.with_blocks("SELECT 'records' AS source, row_number() OVER (ORDER BY encode(canonical_key)) AS row_num, " + ", ".join(
+    f"{o.clean(c)} AS {c}" for c in exports.RECORD_COLUMNS[1:-1]) + " FROM canonical", "canonical"))
+def csv_source(spark, sf):
+    """The CSV export, written in key order and read as a source."""
+    path = scratch_path(spark, "records")
+    exports.write_records_csv(b.canonical(b.merged(spark, sf)[2]), path)
+    rows = readers.read_source(spark, path, "records", "csv")
+    return rows.select(F.col(readers.SOURCE).alias("source"), F.col(readers.ROW_NUM).alias("row_num"), *exports.RECORD_COLUMNS[1:-1])
+
+
+@query("saved_records", o.with_blocks(
+    "SELECT 'run_0' AS run_id, canonical_key, 'ready' AS status FROM canonical WHERE outcome = 'valid'", "canonical"))
+def saved_records(spark, sf):
+    path = scratch_path(spark, "saved")
+    delivery.save_canonical(b.canonical(b.merged(spark, sf)[2]).filter("outcome = 'valid'"), RUN, path)
+    return spark.read.parquet(path).select("run_id", "canonical_key", "status")
+
+
 @query("audit_export", o.with_blocks(f"SELECT {', '.join(_LEDGER_COLUMNS)} FROM ledger WHERE run_id = 'run_0'", "ledger"))
 def audit_export(spark, sf):
     return exports.audit_table(b.ledger(spark, sf), RUN, _LEDGER_COLUMNS)
@@ -153,7 +182,8 @@ SELECT o.o_orderkey, a.id AS attempt_id, a.attempt, a.http_status FROM orders o
 LEFT JOIN (SELECT record_id, max(id) AS id, arg_max(attempt, id) AS attempt, arg_max(http_status, id) AS http_status FROM attempts GROUP BY record_id) a
 ON a.record_id = o.o_orderkey""", "attempts"))
 def latest_attempt(spark, sf):
-    records = b.table(spark, sf, "orders").select("o_orderkey", F.lit(RUN).alias("run_id"))
+    run = F.concat(F.lit("run_"), (F.floor(F.col("o_orderkey") / 200) % 2).cast("string"))  # the run that delivers the record
+    records = b.table(spark, sf, "orders").select("o_orderkey", run.alias("run_id"))
     return reports.latest_attempt(records, b.attempts(spark, sf), "o_orderkey").drop("run_id")
 
 

@@ -32,7 +32,10 @@ def column_findings(spark, sf) -> DataFrame:
 
 def record_findings(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(findings about records, the checked canonical records)."""
-    rows, links, merged = b.merged(spark, sf)
+    return _record_findings(*b.merged(spark, sf))
+
+
+def _record_findings(rows: DataFrame, links: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
     canonical = materialize(b.canonical(merged), "canonical")
     groups = materialize(near_dup.near_duplicates(merged), "near_dups")
     found = review.union_all([
@@ -77,12 +80,13 @@ def review_members(spark, sf):
 @query("breaker", o.with_blocks("""
 SELECT 'run_0' AS run_id, group_count, affected_rows, round(affected_rows / total::DOUBLE, 4) AS affected_ratio,
        group_count > 20 OR round(affected_rows / total::DOUBLE, 4) > 0.30 AS tripped
-FROM (SELECT count(DISTINCT group_key) AS group_count, count(DISTINCT affected_id) AS affected_rows FROM record_findings),
-     (SELECT count(*) AS total FROM staged)""", "record_findings", "staged"))
+FROM (SELECT count(DISTINCT group_key) AS group_count FROM record_findings),
+     (SELECT count(DISTINCT seq) AS affected_rows FROM record_findings JOIN merged ON canonical_key = affected_id JOIN links USING (entity_seq)),
+     (SELECT count(*) AS total FROM staged)""", "record_findings", "staged", "links", "merged"))
 def breaker(spark, sf):
-    found, _ = record_findings(spark, sf)
-    total = sum(df.count() for df in b.exports(spark, sf).values())
-    return review.breaker(found, F.lit(total))
+    rows, links, merged = b.merged(spark, sf)
+    found, _ = _record_findings(rows, links, merged)
+    return review.breaker(found, rows.agg(F.count(F.lit(1))).scalar(), rows_of=review.source_rows(rows, links, merged))
 
 
 @query("review_queue", o.with_blocks(
@@ -251,6 +255,51 @@ def rules_listing(spark, sf):
     return rules.listing(rules.upsert(*order_rules(spark, sf)), "client_2").drop("created_at")
 
 
+@query("rules_toggle", o.with_blocks("""
+SELECT client_id, kind, fingerprint, CASE WHEN rule_id = (SELECT min(rule_id) FROM upserted) THEN NOT enabled ELSE enabled END AS enabled
+FROM upserted""", "upserted"))
+def rules_toggle(spark, sf):
+    saved = materialize(rules.upsert(*order_rules(spark, sf)), "rules")
+    first = saved.agg(F.min("rule_id")).first()[0]
+    return rules.toggle(saved, first).select("client_id", "kind", "fingerprint", "enabled")
+
+
+# What two clients decided about the same things; only the first one's sources are read.
+_DECIDED = """
+SELECT concat(client_id, '-', kind, '-', fingerprint) AS rule_id, client_id, kind, fingerprint, action, 'item' AS source_item, true AS enabled,
+       TIMESTAMP'2024-02-01 00:00:00' AS created_at, 0L AS times_applied
+FROM VALUES ('client', 'enum_value', 'employment_status:LOA', '{"canonical_value":"On Leave"}'),
+            ('other', 'enum_value', 'employment_status:LOA', '{"canonical_value":"Terminated"}'),
+            ('client', 'enum_value', 'department:TECH', '{"canonical_value":"MACHINERY"}'),
+            ('other', 'enum_value', 'department:TECH', '{"canonical_value":"BUILDING"}'),
+            ('client', 'date_format', 'src_b:doj', '{"format":"MDY"}'), ('other', 'date_format', 'src_b:doj', '{"format":"DMY"}'),
+            ('client', 'mapping', 'src_c:ref', '{"target_field":"employee_id"}'), ('other', 'mapping', 'src_c:ref', '{"target_field":"manager_id"}')
+     AS t(client_id, kind, fingerprint, action)"""
+
+
+def clients_rules(spark) -> DataFrame:
+    return rules.of_client(spark.sql(_DECIDED), CLIENT)
+
+
+@query("learned_mapping", o.with_blocks("""
+SELECT source, col AS "column", CASE WHEN col = 'ref' THEN 'RULE' ELSE decision END AS decision,
+       CASE WHEN col = 'ref' THEN 'employee_id' ELSE mapped_to END AS mapped_to, CASE WHEN col = 'ref' THEN 'rule' ELSE 'agent' END AS decided_by
+FROM decisions""", "decisions"))
+def learned_mapping(spark, sf):
+    return mapping.decide(export_profiles(spark, sf), b.CONTRACT, clients_rules(spark)).select(
+        "source", "column", "decision", "mapped_to", "decided_by")
+
+
+@query("learned_values", o.with_blocks("""
+SELECT s.source, s.row_num, CASE WHEN upper(employment_status) = 'LOA' THEN 'On Leave' ELSE employment_status END AS employment_status,
+       CASE WHEN upper(department) = 'TECH' THEN 'MACHINERY' ELSE department END AS department,
+       CASE WHEN s.source = 'src_b' THEN strftime(try_strptime(doj, '%m/%d/%Y'), '%Y-%m-%d') ELSE hire_date END AS hire_date
+FROM staged s LEFT JOIN src_b b ON s.source = 'src_b' AND b.row_num = s.row_num""", "staged", "src_b"))
+def learned_values(spark, sf):
+    return staging.stage(b.exports(spark, sf), b.MAPPINGS, b.CONTRACT, clients_rules(spark)).select(
+        "source", "row_num", "employment_status", "department", "hire_date")
+
+
 @query("run_delta", o.with_blocks("""
 SELECT type, first_items, second_items, second_items - first_items AS change,
        CASE WHEN first_items > 0 THEN round(100.0 * (second_items - first_items) / first_items, 1) END AS change_pct

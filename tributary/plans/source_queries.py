@@ -35,7 +35,7 @@ SELECT 'customer' AS source, row_number() OVER (ORDER BY c_custkey) AS row_num,
                      'c_acctbal': CAST(c_acctbal AS VARCHAR), 'c_mktsegment': c_mktsegment}) AS VARCHAR) AS raw_json
 FROM customer""")
 def land_source_rows(spark, sf):
-    return readers.landing(readers.read_source(spark, f"{sf}/customer.parquet", "customer"))
+    return readers.landing(readers.read_raw(spark, f"{sf}/customer.parquet", "customer"))
 
 
 @query("ingest_summary", o.with_blocks(" UNION ALL ".join(

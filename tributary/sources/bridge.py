@@ -47,7 +47,7 @@ SELECT c_custkey + 1 AS row_num,
        CASE WHEN c_custkey % 50 = 8 THEN 'LOA' WHEN c_custkey % 9 = 0 THEN 'resigned' ELSE 'Active' END AS status,
        CASE WHEN c_custkey < 10 THEN ''
             ELSE 'E' || {_padded("CAST(floor(c_custkey / 10.0) AS BIGINT)", 6)} END AS mgr,
-       CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) AS salary
+       CASE WHEN c_custkey % 50 = 31 THEN 'INR ' ELSE '' END || CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) AS salary
 FROM customer"""
 
 SRC_B = f"""
@@ -92,7 +92,8 @@ SELECT event_id AS id, 'run_' || CAST(user_id % 3 AS STRING) AS run_id, ts,
 FROM events"""
 
 ATTEMPTS = """
-SELECT event_id AS id, 'run_0' AS run_id, CAST(floor(event_id / 3.0) AS BIGINT) AS record_id,
+SELECT event_id AS id, 'run_' || CAST(CAST(floor(event_id / 600.0) AS BIGINT) % 2 AS STRING) AS run_id,
+       CAST(floor(event_id / 3.0) AS BIGINT) AS record_id,
        CAST(1 + event_id % 3 AS INT) AS attempt,
        CASE WHEN CAST(floor(event_id / 3.0) AS BIGINT) % 500 BETWEEN 290 AND 295 THEN 503
             WHEN event_type = 'purchase' THEN 201 WHEN event_type = 'signup' THEN 200 WHEN event_type = 'click' THEN 422

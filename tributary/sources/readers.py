@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tributary.functions import text
 
 SOURCE, ROW_NUM = "_source", "_row_num"
 FORMATS = ("csv", "json", "parquet", "orc")
+# Without column pruning the parser counts the cells of every row, whichever of them a plan needs.
+CSV = {"header": "true", "multiLine": "false", "ignoreLeadingWhiteSpace": "false", "columnPruning": "false"}
+_TORN = "_torn_row"
 
 
 def read_source(spark: SparkSession, path: str, source: str, fmt: str | None = None, **options) -> DataFrame:
@@ -16,14 +20,41 @@ def read_source(spark: SparkSession, path: str, source: str, fmt: str | None = N
     ``source`` is the logical name that rules and precedence refer to. Rows
     are numbered from 1 in file order.
     """
+    return read_raw(spark, path, source, fmt, **options).transform(all_strings)
+
+
+def read_raw(spark: SparkSession, path: str, source: str, fmt: str | None = None, **options) -> DataFrame:
+    """The cells as text, exactly as the file holds them, with row lineage.
+
+    A CSV row with more or fewer cells than the header is an error, never cut
+    or filled; ``rejects`` lists such rows, and ``mode="DROPMALFORMED"`` reads
+    the others. A quoted line break needs ``multiLine="true"``, which gives up
+    splitting a file among tasks; without it the torn row is such an error.
+    """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if fmt not in FORMATS:
         raise ValueError(f"source {source}: unsupported format '{fmt}' (use one of {', '.join(FORMATS)})")
     reader = spark.read
     if fmt == "csv":
-        reader = reader.options(header="true", mode="PERMISSIVE", multiLine="false", ignoreLeadingWhiteSpace="false")
+        reader = reader.options(**CSV, mode="FAILFAST")
     raw = reader.options(**options).format(fmt).load(path)  # a missing path fails here
-    return with_file_order(raw).withColumn(SOURCE, F.lit(source)).transform(all_strings)
+    cells = [c if dict(raw.dtypes)[c] == "string" else f"CAST({_quoted(c)} AS STRING) AS {_quoted(c)}" for c in raw.columns]
+    cells = [_quoted(c) if c in raw.columns else c for c in cells]
+    return with_file_order(raw).selectExpr(*cells, ROW_NUM).withColumn(SOURCE, F.lit(source))
+
+
+def rejects(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(file, line): the CSV rows that do not fit the header, as they stand in the file."""
+    names = spark.read.options(**CSV).options(**options).csv(path).columns
+    schema = StructType([StructField(c, StringType()) for c in [*names, _TORN]])
+    rows = spark.read.options(**CSV).options(**options).options(mode="PERMISSIVE", columnNameOfCorruptRecord=_TORN).schema(schema).csv(path)
+    first = F.col(_quoted(names[0]))  # Spark refuses a scan that asks for the torn rows alone
+    torn = F.col(_TORN).isNotNull() & (first.isNull() | (F.length(first) >= 0))
+    return rows.filter(torn).select(F.col("_metadata.file_path").alias("file"), F.col(_TORN).alias("line"))
+
+
+def _quoted(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
 
 
 def all_strings(df: DataFrame) -> DataFrame:
@@ -64,7 +95,7 @@ def data_columns(df: DataFrame) -> list[str]:
 
 
 def landing(df: DataFrame) -> DataFrame:
-    """Source rows as (source, row_num, raw_json)."""
+    """Source rows as (source, row_num, raw_json); rows of ``read_raw`` land as the file holds them."""
     cells = F.struct(*[F.col(f"`{c}`") for c in data_columns(df)])
     return df.select(F.col(SOURCE).alias("source"), F.col(ROW_NUM).alias("row_num"), F.to_json(cells).alias("raw_json"))
 
