@@ -283,7 +283,9 @@ def read_ids(listed: DataFrame, key: str = "doc_id") -> DataFrame:
                 "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
             last = int(ends[-1])
 
-    listed = listed.filter("documents > 0").select("path", "start", "documents").repartition("path")
+    # A fixed number of parts: the list is short, so that adaptive execution would join them into one task that reads every file.
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = listed.filter("documents > 0").select("path", "start", "documents").repartition(parts, "path")
     return listed.mapInArrow(run, "_key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("_key", key)
 
 
