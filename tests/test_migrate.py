@@ -148,10 +148,10 @@ def test_pilot_style_iso_dates_stay_put(spark):
 def test_two_columns_for_one_target(spark):
     rows = [{"email": f"a{i}@x.com", "e-mail": f"b{i}@x.com", "notes": "free text"} for i in range(5)]
     from tributary.operators.profile import profile
-    d = {r.column: r for r in mapping.decide(profile([hr.frame(spark, rows, "s")]), CONTRACT).collect()}
+    d = {r.column: r for r in mapping.decide(profile([hr.frame(spark, rows, "s")], CONTRACT), CONTRACT).collect()}
     assert d["email"].decision == "ACCEPT" and d["e-mail"].decision == "DUPLICATE_TARGET" and d["e-mail"].mapped_to is None
     assert d["notes"].mapped_to is None
-    forced = mapping.decide(profile([hr.frame(spark, rows, "s")]), CONTRACT, options=MappingOptions(force_review=("notes",)))
+    forced = mapping.decide(profile([hr.frame(spark, rows, "s")], CONTRACT), CONTRACT, options=MappingOptions(force_review=("notes",)))
     assert forced.filter("column = 'notes'").first().decision == "AMBIGUOUS"
 
 

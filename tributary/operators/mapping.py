@@ -52,48 +52,46 @@ def normalize_header(c: Column) -> Column:
 
 def _targets(contract: Contract, aliases: dict) -> Column:
     """The contract as a literal array; exploding it pairs a column with each field."""
-    strings = "array<string>"
     return F.array(*[
         F.struct(
             F.lit(i).alias("ordinal"), F.lit(f.name).alias("target_field"), F.lit(f.type).alias("type"),
             F.lit(f.sensitive).alias("sensitive"),
-            F.array(*[F.lit(x) for x in [f.name.replace("_", " "), *aliases.get(f.name, [])]]).alias("names"),
-            F.array(*[F.lit(w) for w in f.vocabulary()]).cast(strings).alias("words"),
-            F.lit(f.anchored_pattern).cast("string").alias("pattern"))
+            F.array(*[F.lit(x) for x in [f.name.replace("_", " "), *aliases.get(f.name, [])]]).alias("names"))
         for i, f in enumerate(contract.fields)])
 
 
-def type_evidence(field_type: Column, inferred: Column, samples: Column, words: Column) -> Column:
-    hits = F.size(F.filter(samples, lambda v: F.array_contains(words, F.lower(F.trim(v)))))
-    any_at = F.exists(samples, lambda v: F.contains(v, F.lit("@")))
+def type_evidence(field_type: Column, inferred: Column, n: Column, with_at: Column, word_hits: Column) -> Column:
+    """How well a column's ``n`` distinct values fit a field type."""
     # The score of each (field type, inferred type) pair.
     return (
-        F.when(field_type == "email", F.when(inferred == "email", 1.0).when(any_at, 0.9).otherwise(0.1))
+        F.when(field_type == "email", F.when(inferred == "email", 1.0).when(with_at > 0, 0.9).otherwise(0.1))
         .when(field_type == "decimal", F.when(inferred == "decimal", 1.0).otherwise(0.2))
         .when(field_type == "date", F.when(inferred == "date", 1.0).otherwise(0.3))
         .when(field_type == "string", 0.8)
-        .when((field_type == "enum") & (F.size(samples) > 0), F.round(hits / F.size(samples), 2))
+        .when((field_type == "enum") & (n > 0), F.round(word_hits / n, 2))
         .otherwise(0.5))
 
 
 def score_headers(profiles: DataFrame, contract: Contract, options: MappingOptions = MappingOptions()) -> DataFrame:
     """(source, column, target_field) with its evidence and score.
 
-    Works on profiles, one row per source column, never on the data rows.
+    Works on profiles made with the same contract, one row per source column,
+    never on the data rows.
     """
     aliases = ALIASES if options.aliases is None else options.aliases
-    paired = (profiles.select("source", "column", "sample_values", "inferred_type")
+    paired = (profiles.select("source", "column", "distinct_count", "with_at", "hits", "inferred_type")
               .withColumn("header", normalize_header(F.col("column")))
               .withColumn("t", F.explode(_targets(contract, aliases)))
-              .select("source", "column", "header", "sample_values", "inferred_type", "t.*"))
-    samples = F.col("sample_values")
+              .select("source", "column", "header", "distinct_count", "with_at", "hits", "inferred_type", "t.*"))
+    n = F.col("distinct_count")
+
+    def hits(kind: str) -> Column:
+        return F.element_at("hits", F.concat(F.lit(kind + ":"), F.col("target_field")))
     best = F.array_max(F.transform("names", lambda n: indel_ratio(F.col("header"), n))) / 100.0
-    matches = F.size(F.filter(samples, lambda v: F.rlike(F.trim(v), F.col("pattern"))))
     scored = paired.withColumns({
         "best_name": best,
-        "type_compatibility": type_evidence(F.col("type"), F.col("inferred_type"), samples, F.col("words")),
-        "pattern_score": F.when(F.col("pattern").isNotNull() & (F.size(samples) > 0), matches / F.size(samples))
-                          .otherwise(0.5),
+        "type_compatibility": type_evidence(F.col("type"), F.col("inferred_type"), n, F.col("with_at"), hits("words")),
+        "pattern_score": F.when(hits("pattern").isNotNull() & (n > 0), hits("pattern") / n).otherwise(0.5),
     })
     by_name, by_type, by_pattern = WEIGHTS
     return scored.select(

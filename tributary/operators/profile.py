@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tributary.contract import Contract
 from tributary.functions import text
 from tributary.session import materialize
 from tributary.sources.readers import ROW_NUM, SOURCE, data_columns
@@ -35,12 +36,13 @@ def value_counts(cells_df: DataFrame) -> DataFrame:
 
 
 def column_stats(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("source", "column").agg(*_counted()).transform(with_ratios)
+
+
+def _counted() -> list[Column]:
     known = F.col("value").isNotNull()
-    return (counts.groupBy("source", "column")
-            .agg(F.sum("n").alias("total_count"),
-                 F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null_count"),
-                 F.count_if(known).alias("distinct_count"))
-            .transform(with_ratios))
+    return [F.sum("n").alias("total_count"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null_count"),
+            F.count_if(known).alias("distinct_count")]
 
 
 def with_ratios(stats: DataFrame) -> DataFrame:
@@ -76,23 +78,44 @@ def gather_samples(samples: DataFrame) -> DataFrame:
     return samples.groupBy("source", "column").agg(F.transform(pairs, lambda p: p["value"]).alias("sample_values"))
 
 
-def infer_type(samples: Column) -> Column:
-    """email, decimal, date or string, judged on a few sample values."""
-    n = F.size(samples)
-    numbers = F.size(F.filter(samples, lambda v: text.to_number(v).isNotNull()))
-    dates = F.size(F.filter(samples, lambda v: v.rlike(DATE_LIKE)))
+def _looks() -> list[Column]:
+    """How many distinct values of a column look like an address, a number or a date."""
+    value = F.col("value")
+    at = F.contains(value, F.lit("@"))
+    return [F.count_if(at).alias("with_at"), F.count_if(at & F.contains(value, F.lit("."))).alias("emails"),
+            F.count_if(text.to_number(value).isNotNull()).alias("numbers"), F.count_if(value.rlike(DATE_LIKE)).alias("dates")]
+
+
+def _hits(contract: Contract | None) -> Column:
+    """How many distinct values are words of each enum field, and how many fit the pattern of each field that has one."""
+    value, found = F.col("value"), []
+    for f in contract.fields if contract else ():
+        if f.type == "enum":
+            found += [F.lit(f"words:{f.name}"), F.count_if(F.lower(F.trim(value)).isin(*f.vocabulary()))]
+        if f.pattern:
+            found += [F.lit(f"pattern:{f.name}"), F.count_if(F.trim(value).rlike(f.anchored_pattern))]
+    return (F.create_map(*found) if found else F.create_map()).cast("map<string,bigint>").alias("hits")
+
+
+def infer_type() -> Column:
+    """email, decimal, date or string, judged on all distinct values."""
+    n = F.col("distinct_count")
     return (
-        F.when(F.coalesce(n, F.lit(0)) <= 0, "string")
-        .when(F.forall(F.slice(samples, 1, 10), lambda v: F.contains(v, F.lit("@")) & F.contains(v, F.lit("."))), "email")
-        .when(numbers / n >= 0.8, "decimal")
-        .when(dates / n >= 0.7, "date")
+        F.when(n == 0, "string")
+        .when(F.col("emails") == n, "email")
+        .when(F.col("numbers") / n >= 0.8, "decimal")
+        .when(F.col("dates") / n >= 0.7, "date")
         .otherwise("string"))
 
 
-def profile(sources: list[DataFrame]) -> DataFrame:
-    """One row per (source, column) with counts, ratios, samples and type."""
+def profile(sources: list[DataFrame], contract: Contract | None = None) -> DataFrame:
+    """One row per (source, column) with counts, ratios, first samples and type.
+
+    The samples are for display; the type, and with a ``contract`` the hits
+    that mapping scores, come from every distinct value of the column.
+    """
     counts = materialize(value_counts(all_cells(sources)), "value_counts")
     samples = gather_samples(column_samples(counts))
-    out = column_stats(counts).join(samples, ["source", "column"], "left")
-    out = out.withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
-    return out.withColumn("inferred_type", infer_type(F.col("sample_values")))
+    stats = counts.groupBy("source", "column").agg(*_counted(), *_looks(), _hits(contract)).transform(with_ratios)
+    out = stats.withColumn("inferred_type", infer_type()).join(samples, ["source", "column"], "left")
+    return out.withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))

@@ -77,7 +77,7 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
     if rules is not None:  # other clients' decisions say nothing about these sources
         rules = of_client(rules, options.client_id)
     precedence = list(options.precedence or sources)
-    profiles = materialize(profile.profile(list(sources.values())), "profiles")
+    profiles = materialize(profile.profile(list(sources.values()), contract), "profiles")
     decisions = materialize(mapping.decide(profiles, contract, rules, options.mapping), "decisions")
     plan = mapping.accepted(decisions)
     orders = staging.all_date_orders(sources, plan, contract, rules)

@@ -122,17 +122,19 @@ FROM {prefix}counts GROUP BY source, col""", f"{prefix}counts")
     block(f"{prefix}samples", f"""
 SELECT source, col, val, row_number() OVER (PARTITION BY source, col ORDER BY first_row) AS position
 FROM {prefix}counts WHERE val IS NOT NULL QUALIFY position <= 5""", f"{prefix}counts")
+    # The samples are for display; evidence is taken from all distinct values.
     block(f"{prefix}profiles", f"""
-SELECT s.*, coalesce(l.samples, []::VARCHAR[]) AS samples,
-       CASE WHEN l.samples IS NULL THEN 'string'
-            WHEN len(list_filter(samples, lambda v: contains(v, '@') AND contains(v, '.'))) = len(samples) THEN 'email'
-            WHEN len(list_filter(samples, lambda v: TRY_CAST(regexp_replace(v, '[,$]', '', 'g') AS DOUBLE) IS NOT NULL))
-                 >= 0.8 * len(samples) THEN 'decimal'
-            WHEN len(list_filter(samples, lambda v: regexp_matches(v, {quoted(DATE_LIKE)}))) >= 0.7 * len(samples) THEN 'date'
+SELECT s.*, coalesce(l.samples, []::VARCHAR[]) AS samples, coalesce(d.vals, []::VARCHAR[]) AS vals,
+       CASE WHEN d.vals IS NULL THEN 'string'
+            WHEN len(list_filter(d.vals, lambda v: contains(v, '@') AND contains(v, '.'))) = len(d.vals) THEN 'email'
+            WHEN len(list_filter(d.vals, lambda v: TRY_CAST(regexp_replace(v, '[,$]', '', 'g') AS DOUBLE) IS NOT NULL))
+                 >= 0.8 * len(d.vals) THEN 'decimal'
+            WHEN len(list_filter(d.vals, lambda v: regexp_matches(v, {quoted(DATE_LIKE)}))) >= 0.7 * len(d.vals) THEN 'date'
             ELSE 'string' END AS inferred_type
 FROM {prefix}stats s LEFT JOIN
-     (SELECT source, col, list(val ORDER BY position) AS samples FROM {prefix}samples GROUP BY source, col) l USING (source, col)
-""", f"{prefix}stats", f"{prefix}samples")
+     (SELECT source, col, list(val ORDER BY position) AS samples FROM {prefix}samples GROUP BY source, col) l USING (source, col) LEFT JOIN
+     (SELECT source, col, list(val) AS vals FROM {prefix}counts WHERE val IS NOT NULL GROUP BY source, col) d USING (source, col)
+""", f"{prefix}stats", f"{prefix}samples", f"{prefix}counts")
 
 
 profile_blocks("cells", "")
@@ -153,15 +155,15 @@ def mapping_blocks(p: str) -> None:
     SELECT *, round(best * 0.55 + type_compatibility * 0.30 + pattern_score * 0.15, 3) AS score FROM (
       SELECT p.source, p.col, t.target_field, t.ordinal, t.sensitive, n.best,
              CASE t.type WHEN 'email' THEN CASE WHEN inferred_type = 'email' THEN 1.0
-                                                WHEN len(list_filter(samples, lambda v: contains(v, '@'))) > 0 THEN 0.9 ELSE 0.1 END
+                                                WHEN len(list_filter(vals, lambda v: contains(v, '@'))) > 0 THEN 0.9 ELSE 0.1 END
                          WHEN 'decimal' THEN CASE WHEN inferred_type = 'decimal' THEN 1.0 ELSE 0.2 END
                          WHEN 'date' THEN CASE WHEN inferred_type = 'date' THEN 1.0 ELSE 0.3 END
                          WHEN 'string' THEN 0.8
-                         WHEN 'enum' THEN CASE WHEN len(samples) > 0 THEN round(len(list_filter(samples,
-                              lambda v: list_contains(words, lower(trim(v))))) / len(samples)::DOUBLE, 2) ELSE 0.5 END
+                         WHEN 'enum' THEN CASE WHEN len(vals) > 0 THEN round(len(list_filter(vals,
+                              lambda v: list_contains(words, lower(trim(v))))) / len(vals)::DOUBLE, 2) ELSE 0.5 END
                          ELSE 0.5 END::DOUBLE AS type_compatibility,
-             CASE WHEN pattern IS NOT NULL AND len(samples) > 0
-                  THEN len(list_filter(samples, lambda v: regexp_matches(trim(v), pattern))) / len(samples)::DOUBLE
+             CASE WHEN pattern IS NOT NULL AND len(vals) > 0
+                  THEN len(list_filter(vals, lambda v: regexp_matches(trim(v), pattern))) / len(vals)::DOUBLE
                   ELSE 0.5 END::DOUBLE AS pattern_score
       FROM {p}profiles p CROSS JOIN targets t JOIN {p}name_scores n ON n.source = p.source AND n.col = p.col AND n.target_field = t.target_field)
     """, f"{p}profiles", "targets", f"{p}name_scores")

@@ -69,7 +69,7 @@ def stage_autonomy(spark, sf):
     """SELECT source, col AS "column", decision, target_field AS best_field, score FROM table_decisions WHERE decision = 'DROP'""",
     "table_decisions"))
 def dropped_columns(spark, sf):
-    profiles = profile.profile(tables_as_sources(spark, sf))
+    profiles = profile.profile(tables_as_sources(spark, sf), b.CONTRACT)
     return reports.dropped_columns(mapping.decide(profiles, b.CONTRACT))
 
 

@@ -70,7 +70,7 @@ def column_types(spark, sf):
 
 
 def export_profiles(spark, sf) -> DataFrame:
-    return profile.profile(list(b.exports(spark, sf).values()))
+    return profile.profile(list(b.exports(spark, sf).values()), b.CONTRACT)
 
 
 @query("header_scores", o.with_blocks(
