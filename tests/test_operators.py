@@ -1,5 +1,6 @@
 """Sources, ordering, quality, review, rules, delivery, ledger and streams on small inputs."""
 
+import os
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tributary.contract import Contract, employee_contract
 from tributary.operators import delivery, ledger, mapping, ordering, profile, quality, reports, review, rules, skew
-from tributary.session import scratch_path
+from tributary.session import materialize, run_scope, scratch_path
 from tributary.sources import exports, readers
 from tributary.streaming import tail
 
@@ -355,6 +356,18 @@ def test_idempotency_key_follows_content(spark):
     assert keys[0] == keys[2] != keys[1]
 
 
+def test_a_scope_removes_its_own_tables(spark):
+    kept = materialize(spark.range(3))
+    with run_scope(spark) as folder:
+        inner = materialize(spark.range(5))
+        assert inner.count() == 5 and os.path.isdir(folder.removeprefix("file:"))
+        with pytest.raises(ValueError), run_scope(spark) as nested:
+            materialize(spark.range(7))
+            raise ValueError
+        assert not os.path.exists(nested.removeprefix("file:")) and inner.count() == 5
+    assert not os.path.exists(folder.removeprefix("file:")) and kept.count() == 3
+
+
 def test_saving_replaces_only_its_run(spark):
     path = scratch_path(spark, "canonical")
     delivery.save_canonical(records(spark, {}, {}), "r1", path)

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The folder, below the shared one, that the running scope writes its tables to.
+_scope: ContextVar[str] = ContextVar("scope", default="tributary")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
@@ -25,7 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tributary/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{_scope.get()}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside are removed at the end, also after an error.
+
+    Results read those tables, so what is to stay is written elsewhere before
+    the end. Scopes may be nested; each removes its own tables only.
+    """
+    name = f"tributary/run-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}"
+    token = _scope.set(name)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
