@@ -126,3 +126,20 @@ def test_masks_hit_every_passage_of_four_fifths():
     for n, k in ((13, 2), (14, 2), (15, 3), (20, 4)):
         for gone in itertools.combinations(range(n), k):
             assert any(all(c == "0" or p + i not in gone for i, c in enumerate(m)) for m in decontaminate.MASKS for p in range(n - len(m) + 1)), gone
+
+
+def test_decontamination_finds_every_way_to_replace_a_fifth(spark, make_docs, words):
+    """All places of the replaced words, against all stretches of the item: a shorter piece that scores higher hides nothing."""
+    ways = [(n, gone) for n in (5, 6, 9, 10, 12, 13) for gone in itertools.combinations(range(n), n // 5)]
+    ways += [(16, (12,)), (20, (9, 10, 11)), (24, (10, 11, 12, 13)), (24, (9, 10, 11, 12, 13)), (24, (3, 8, 12, 16, 20)), (13, (2, 5, 8))]
+    items = {n: words(n, 100 + n) for n, _ in ways}
+    rows = [(i, " ".join(["before", *("x" if p in gone else w for p, w in enumerate(items[n])), "after"])) for i, (n, gone) in enumerate(ways)]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.overlap_words, r.matched_words) for r in decontaminate.overlaps(make_docs(rows), bench).collect()}
+    want = {}
+    for i, (n, gone) in enumerate(ways):
+        stretches = [(b, e, sum(p not in gone for p in range(b, e))) for e in range(1, n + 1) for b in range(e) if e - b >= min(13, n)]
+        good = [(m * decontaminate.MATCH + (e - b - m) * decontaminate.MISS, e - b, m) for b, e, m in stretches if 5 * m >= 4 * (e - b)]
+        if good:
+            want[i] = (n, *max(good)[1:])
+    assert got == want and len(want) >= len(ways) - 3
