@@ -24,16 +24,23 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows without id stay."""
+    """Of each group of near copies the row with the smallest id, of equal ids the first; rows without id come last.
+
+    Ids may be missing, repeated or shared, so rows get numbers; they are
+    written with them, so that every reader sees the same numbers.
+    """
     importable(spark)
-    groups = simhash.near_duplicates(docs, shingle=3, radius=2)
-    copies = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(materialize(copies, "copies"), "doc_id", "left_anti").select(docs.columns)
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    groups = simhash.near_duplicates(rows.withColumn("_place", place), shingle=3, radius=2, key="_place")
+    copies = groups.filter(F.col("_place._row") != F.col("component_id._row")).select("_place._row")
+    return rows.join(materialize(copies, "copies"), "_row", "left_anti").select(docs.columns)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
-    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark")).select(docs.columns)
+    """Rows that overlap no benchmark item. Rows of one id and one text are judged alike, others of that id by their own text."""
+    rows = docs.withColumn("_place", F.struct("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text")))
+    return decontaminate.clean(rows, read(spark, sf_dir, "benchmark"), key="_place").select(docs.columns)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,3 +161,21 @@ def test_pipeline_of_nothing(spark, make_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, SF))
         assert docs.count() == 0
+
+
+def test_pipeline_stages_judge_rows_not_ids(spark, make_docs, words, tmp_path):
+    a, b, c, d, item = (words(60, 200 + i) for i in range(5))
+    bench = spark.createDataFrame([(1, " ".join(item[:30]))], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = " ".join(a)
+    rows = [(5, near), (5, near), (3, near), (3, near), (9, near.upper()), (None, near),  # repeated rows, copies, a copy without id
+            (9, " ".join(b)),  # shares its id with a copy, but has a text of its own
+            (None, " ".join(c)), (None, " ".join(c)),  # a group without any id
+            (7, " ".join(d))]
+    docs = make_docs(rows)
+    kept = corpus_pipeline.distinct_documents(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(3, near), (9, " ".join(b)), (None, " ".join(c)), (7, " ".join(d))], key=repr)
+    rows = [(1, " ".join(item)), (1, " ".join(a)), (None, " ".join(item)), (None, " ".join(b)), (2, " ".join(c)), (2, " ".join(c))]
+    left = corpus_pipeline.clean_documents(spark, make_docs(rows), str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([rows[1], *rows[3:]], key=repr)
