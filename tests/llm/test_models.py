@@ -126,3 +126,11 @@ def test_fold_is_crc32_of_the_id(spark):
     got = spark.range(50).select("id", fold(F.col("id"), 10).alias("f")).collect()
     con.close()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 10 for r in got)
+
+
+def test_the_registered_model_counts_three_words(spark, monkeypatch):
+    made = []
+    train = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a, **b: made.append(train(*a, **b)) or made[-1])
+    assert QUERIES["op7_lm_score"](spark, SF).count() > 0
+    assert made[0].order >= 3 and made[0].figures[3][5] > 0  # all counts of three words

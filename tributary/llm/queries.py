@@ -87,7 +87,7 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 10) == 0
-    model = lm_score.train(docs.filter(~held_out), order=2)
+    model = lm_score.train(docs.filter(~held_out), order=3)
     return lm_score.scores(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
                                                "base_score", "score")
 
