@@ -143,3 +143,22 @@ def test_decontamination_finds_every_way_to_replace_a_fifth(spark, make_docs, wo
         if good:
             want[i] = (n, *max(good)[1:])
     assert got == want and len(want) >= len(ways) - 3
+
+
+def test_a_pair_with_one_linked_seed_is_looked_at(spark, make_docs, words):
+    """Five equal words in a row hold one seed, the rest of the passage none: every fifth word differs. Against all such pairs."""
+    rows, pairs = [], {}
+    for n in range(20):
+        passage = words(54, 300 + n)
+        changed = ["other" if i < 25 and i % 5 == 4 or i > 29 and i % 5 == 0 else w for i, w in enumerate(passage)]
+        assert sum(a == b for a, b in zip(passage, changed)) >= 0.8 * 54
+        rows += [(2 * n, " ".join(passage)), (2 * n + 1, " ".join(changed))]
+        longest = [h for h in range(50) if passage[h:h + 5] == changed[h:h + 5]]
+        pairs[2 * n, 2 * n + 1] = len(longest)
+    found = {(r.doc_a, r.doc_b) for r in substring_dedup.passages(make_docs(rows)).collect()}
+    chosen = set()
+    for (a, b) in pairs:
+        both = [set(substring_dedup.seeds([rows[i][1].encode()])[2].tolist()) for i in (a, b)]
+        if both[0] & both[1]:
+            chosen.add((a, b))
+    assert chosen and found == chosen
