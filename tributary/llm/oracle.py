@@ -104,3 +104,44 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+# Unsigned crc32 of a decimal id: the register starts with all ones, takes each byte and is shifted eight times.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({id}::VARCHAR, ''),
+  lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+
+_FIELD = "coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_WALK = """SELECT w.id, w.doc_id, w.leaf, w.g, w.level + 1, w.pos // 3, sha256(array_to_string(s.hs[1:w.pos % 3], '') || w.folded || array_to_string(s.hs[w.pos % 3 + 2:], '')),
+         w.proof || array_to_string(s.hs[1:w.pos % 3], '') || array_to_string(s.hs[w.pos % 3 + 2:], '')"""
+MERKLE = f"""
+WITH RECURSIVE
+docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS g, {_LEAF.format(text="text")} AS leaf,
+         CASE WHEN {CRC32.format(id="doc_id")} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS shown
+  FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM docs),
+tree AS (
+  SELECT g, 0 AS level, pos, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (min(n) + 2) // 3 FROM tree WHERE n > 1 GROUP BY g, level, pos // 3),
+runs AS MATERIALIZED (SELECT g, level, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM tree WHERE n > 1 GROUP BY ALL),
+subs AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+toptree AS (
+  SELECT 0 AS level, pos, subroot AS h, n FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (min(n) + 2) // 3 FROM toptree WHERE n > 1 GROUP BY level, pos // 3),
+topruns AS MATERIALIZED (SELECT level, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM toptree WHERE n > 1 GROUP BY ALL),
+walk AS (
+  SELECT id, doc_id, leaf, g, 0 AS level, pos, shown AS folded, '' AS proof FROM placed
+  UNION ALL
+  {_WALK} FROM walk w JOIN runs s ON s.g = w.g AND s.level = w.level AND s.run = w.pos // 3),
+atsub AS MATERIALIZED (SELECT w.*, subs.subroot, subs.pos AS subpos FROM walk w JOIN subs USING (g)
+                       WHERE w.level = (SELECT max(t.level) FROM tree t WHERE t.g = w.g)),
+topwalk AS (
+  SELECT id, doc_id, leaf, subroot AS g, 0 AS level, subpos AS pos, folded, proof FROM atsub
+  UNION ALL
+  {_WALK} FROM topwalk w JOIN topruns s ON s.level = w.level AND s.run = w.pos // 3)
+SELECT doc_id, leaf, g AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM topwalk, (SELECT h AS root FROM toptree WHERE n = 1) WHERE level = (SELECT max(level) FROM toptree)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm import chat_format, decontaminate, lm_score, mixing, nearest, oracle, quality, simhash, substring_dedup, token_files, toxicity
+from tributary.llm import chat_format, decontaminate, lm_score, merkle, mixing, nearest, oracle, quality, simhash, substring_dedup, token_files, toxicity
 from tributary.llm.common import fold, importable, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,14 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_files")
 def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(read(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
+
+
+@query("op13_merkle_manifest", oracle.MERKLE)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every second document (by the crc32 of its id) a copy without line breaks is examined."""
+    tampered = F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 2) == 0)
+    shown = {"text": F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    made = merkle.manifest(read(spark, sf_dir, "documents"), shown)
+    folded = made.withColumn("folded_root", merkle.fold(F.col("presented"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.spelled(F.col("proof"))).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
