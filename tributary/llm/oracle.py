@@ -145,3 +145,28 @@ topwalk AS (
 SELECT doc_id, leaf, g AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM topwalk, (SELECT h AS root FROM toptree WHERE n = 1) WHERE level = (SELECT max(level) FROM toptree)
 """
+
+FILTER_AUDIT = """
+WITH RECURSIVE
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+masks AS MATERIALIZED (
+  SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+cells AS MATERIALIZED (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY 1, 2),
+grown AS (SELECT '' AS o UNION ALL SELECT o || x FROM grown, unnest(['A', 'B', 'C', 'D', 'E']) AS u(x) WHERE NOT contains(o, x)),
+steps AS MATERIALIZED (SELECT o, s::INTEGER AS step, o[s:s] AS own, o[1:s - 1] AS earlier FROM grown, range(1, 6) AS r(s) WHERE length(o) = 5),
+cases AS MATERIALIZED (
+  SELECT part, o, step, own, n, good, toxic, fails, contains(fails, own) AS f, len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 AND earlier <> '' AND fails <> '' AS gone
+  FROM cells, steps),
+rows AS MATERIALIZED (
+  SELECT part, o AS filter_order, step, own, coalesce(sum(n) FILTER (NOT f AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (f AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (f AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (f AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (f AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM cases GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM rows
+"""

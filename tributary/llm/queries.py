@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm import chat_format, decontaminate, lm_score, merkle, mixing, nearest, oracle, quality, simhash, substring_dedup, token_files, toxicity
+from tributary.llm import chat_format, decontaminate, filter_audit, lm_score, merkle, mixing, nearest, oracle, quality, simhash, substring_dedup, token_files, toxicity
 from tributary.llm.common import fold, importable, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,11 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(read(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+@query("op12_filter_audit", oracle.FILTER_AUDIT)
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", read(spark, sf_dir, "labels"))
+
+
 @query("op13_merkle_manifest", oracle.MERKLE)
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every second document (by the crc32 of its id) a copy without line breaks is examined."""
