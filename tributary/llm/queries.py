@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from tributary.llm import chat_format, decontaminate, filter_audit, lm_score, merkle, mixing, nearest, oracle, quality, simhash, substring_dedup, token_files, toxicity
+from tributary.llm import chat_format, decontaminate, filter_audit, language_id, lm_score, merkle, mixing, nearest, oracle, quality, simhash, substring_dedup, token_files, toxicity
 from tributary.llm.common import fold, importable, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,13 @@ def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(read(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+@query("op11_language_id")
+def language_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    network = language_id.fit(docs, fold(F.col("doc_id"), 5) != 0)
+    return language_id.predict(docs, network).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @query("op12_filter_audit", oracle.FILTER_AUDIT)
 def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", read(spark, sf_dir, "labels"))
