@@ -8,6 +8,7 @@ from tributary.functions import dates, text
 from tributary.operators import mapping, profile, staging
 from tributary.plans import oracle as o
 from tributary.plans.registry import query
+from tributary.session import scratch_path
 from tributary.sources import bridge as b, readers
 
 _TABLES = {"customer": "c_custkey", "orders": "o_orderkey", "events": "event_id"}
@@ -38,6 +39,23 @@ def land_source_rows(spark, sf):
     return readers.landing(readers.read_raw(spark, f"{sf}/customer.parquet", "customer"))
 
 
+@query("csv_line_breaks", """
+SELECT row_number() OVER (ORDER BY doc_id) AS row_num, CAST(doc_id AS VARCHAR) AS doc_id, source, text FROM documents""")
+def csv_line_breaks(spark, sf):
+    """Texts with line breaks, commas and quotes, written as CSV and read back by blocks of 256 KB, also on small tables."""
+    path = scratch_path(spark, "texts")
+    quoted = {"header": "true", "escape": '"'}
+    b.table(spark, sf, "documents").select("doc_id", "source", "text").orderBy("doc_id").write.options(
+        **quoted, ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    block = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+    try:
+        rows = readers.read_raw(spark, path, "texts", "csv", multiLine="true", **quoted)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    return rows.select(F.col(readers.ROW_NUM).alias("row_num"), "doc_id", "source", "text")
+
+
 @query("ingest_summary", o.with_blocks(" UNION ALL ".join(
     f"SELECT '{s}' AS source, count(*) AS row_count, {len(c)} AS column_count, '{','.join(c)}' AS columns FROM {s}"
     for s, c in o.EXPORT_COLUMNS.items()), "src_a", "src_b", "src_c"))

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tributary.functions import text
+from tributary.sources.records import Dialect, split_records
 
 SOURCE, ROW_NUM = "_source", "_row_num"
 FORMATS = ("csv", "json", "parquet", "orc")
 # Without column pruning the parser counts the cells of every row, whichever of them a plan needs.
 CSV = {"header": "true", "multiLine": "false", "ignoreLeadingWhiteSpace": "false", "columnPruning": "false"}
-_TORN = "_torn_row"
+_TORN, _FILE = "_torn_row", "_record_file"
 
 
 def read_source(spark: SparkSession, path: str, source: str, fmt: str | None = None, **options) -> DataFrame:
@@ -28,12 +29,21 @@ def read_raw(spark: SparkSession, path: str, source: str, fmt: str | None = None
 
     A CSV row with more or fewer cells than the header is an error, never cut
     or filled; ``rejects`` lists such rows, and ``mode="DROPMALFORMED"`` reads
-    the others. A quoted line break needs ``multiLine="true"``, which gives up
-    splitting a file among tasks; without it the torn row is such an error.
+    the others. Quoted line breaks need ``multiLine="true"``: records are then
+    put together from their lines (``records.split_records``), in as many tasks
+    as the file has blocks; without it the torn row is such an error.
     """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if fmt not in FORMATS:
         raise ValueError(f"source {source}: unsupported format '{fmt}' (use one of {', '.join(FORMATS)})")
+    if fmt == "csv" and _over_lines(options):
+        cells, torn = _parsed_records(spark, path, options)
+        if options.get("mode", "FAILFAST").upper() == "DROPMALFORMED":
+            cells = cells.filter(torn.isNull())
+        elif options.get("mode", "FAILFAST").upper() == "FAILFAST":
+            refused = F.raise_error(F.concat(F.lit("malformed CSV record: "), torn)).cast("long")
+            cells = cells.withColumn(ROW_NUM, F.when(torn.isNull(), F.col(ROW_NUM)).otherwise(refused))
+        return cells.drop(_TORN, _FILE).withColumn(SOURCE, F.lit(source))
     reader = spark.read
     if fmt == "csv":
         reader = reader.options(**CSV, mode="FAILFAST")
@@ -45,6 +55,9 @@ def read_raw(spark: SparkSession, path: str, source: str, fmt: str | None = None
 
 def rejects(spark: SparkSession, path: str, **options) -> DataFrame:
     """(file, line): the CSV rows that do not fit the header, as they stand in the file."""
+    if _over_lines(options):
+        cells, torn = _parsed_records(spark, path, options)
+        return cells.filter(torn.isNotNull()).select(F.col(_FILE).alias("file"), torn.alias("line"))
     names = spark.read.options(**CSV).options(**options).csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in [*names, _TORN]])
     rows = spark.read.options(**CSV).options(**options).options(mode="PERMISSIVE", columnNameOfCorruptRecord=_TORN).schema(schema).csv(path)
@@ -53,6 +66,24 @@ def rejects(spark: SparkSession, path: str, **options) -> DataFrame:
     return rows.filter(torn).select(F.col("_metadata.file_path").alias("file"), F.col(_TORN).alias("line"))
 
 
+def _over_lines(options: dict) -> bool:
+    return str(options.get("multiLine", "false")).lower() == "true"
+
+
+def _parsed_records(spark: SparkSession, path: str, options: dict) -> tuple[DataFrame, Column]:
+    """The cells of all records with ``_row_num``, the file and, of records that do not fit the header, their text."""
+    settings = {**CSV, **options}
+    settings.pop("mode", None)
+    header = str(settings.pop("header")).lower() == "true"
+    dialect = Dialect(**{k: settings.pop(k) for k in ("sep", "quote", "escape") if k in settings})
+    names = spark.read.options(**settings, **dialect.options, header=header).csv(path).columns  # reads the first record only
+    schema = StructType([StructField(c, StringType()) for c in [*names, _TORN]])
+    parsing = {**settings, **dialect.options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _TORN}
+    cells = F.from_csv("record", ", ".join(f"{_quoted(f.name)} STRING" for f in schema), parsing)
+    rows = split_records(spark, path, dialect, header).select(cells.alias("c"), F.col("row_num"), F.col("file"))
+    return rows.select(*[F.col("c." + _quoted(c)).alias(c) for c in [*names, _TORN]], F.col("row_num").alias(ROW_NUM), F.col("file").alias(_FILE)), F.col(_TORN)
+
+
 def _quoted(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
