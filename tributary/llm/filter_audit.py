@@ -11,7 +11,6 @@ counts by the set of filters it fails.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterable, Iterator
 from itertools import permutations
@@ -28,7 +27,7 @@ COPIES = "E"
 #: Micro-batches that the files present at the start are dealt to.
 BATCHES = 4
 #: Texts kept under one key of the state, on average.
-TEXTS_PER_KEY = 128
+TEXTS_PER_KEY = 2048
 
 _CELL = ["part", "mask", "good", "toxic"]
 _HELD = ["text", "doc_id", *_CELL]
@@ -93,18 +92,29 @@ def settle(held: pd.DataFrame, rows: pd.DataFrame, copy_bit: int) -> tuple[pd.Da
     return both[stays].groupby(_HELD, as_index=False)["n"].sum(), deltas
 
 
+def pack(held: pd.DataFrame) -> bytes:
+    table, out = pa.Table.from_pandas(held, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpack(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(packed).read_pandas()[list(_STATE)].astype(_STATE)
+
+
 def update(copy_bit: int):
-    """The stateful step of one key: its texts' holders are kept as columns in JSON."""
+    """The stateful step of one key: its texts' holders are kept as compressed columns."""
     def run(_key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = list(_STATE)
-        held = pd.DataFrame(json.loads(state.get[0]) if state.exists else {c: [] for c in columns}).astype(_STATE)
+        held = unpack(state.get[0]) if state.exists else pd.DataFrame({c: [] for c in columns}).astype(_STATE)
         found = []
         for rows in chunks:
             settled = rows["settled"].astype(bool)
             held, deltas = settle(held, rows.loc[~settled, columns].astype(_STATE), copy_bit)
             changed = pd.concat([deltas, rows[settled]])
             found.append(changed.groupby(_CELL, as_index=False)["n"].sum())
-        state.update((json.dumps(held.to_dict("list")),))
+        state.update((pack(held),))
         deltas = pd.concat(found).groupby(_CELL, as_index=False)["n"].sum()
         yield deltas[deltas["n"] != 0]
     return run
@@ -117,7 +127,8 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, filters=text_fil
     ``path`` is a folder of Parquet files or one file. With ``folder`` the stream's progress and counters are
     kept there: a later call reads only files that came since (with the labels of that time), and a call after
     a failure goes on where the last one stopped. A batch writes its own part of the counters, so one that is
-    run again replaces it.
+    run again replaces it. The state, some 40 bytes a text, is in the session's state store; where the texts of a
+    partition do not fit an executor's memory, set spark.sql.streaming.stateStore.providerClass to RocksDB's.
     """
     table = spark.read.parquet(path)
     letters = sorted([*filters(F.lit("")), COPIES])
@@ -131,20 +142,13 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, filters=text_fil
     docs = stream.select(F.col(f"`{key}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"),
                          F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     rows = judged(docs, labels, filters(F.col("_text")), bits, buckets).mapInArrow(combine(copy_bit), _ROWS)
-    deltas = rows.groupBy("bucket").applyInPandasWithState(update(copy_bit), _DELTAS, "held string", "update", GroupStateTimeout.NoTimeout)
+    deltas = rows.groupBy("bucket").applyInPandasWithState(update(copy_bit), _DELTAS, "held binary", "update", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.groupBy(*_CELL).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/deltas/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    # texts beyond an executor's memory stay on its disk, and in the shared folder
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        query = (deltas.writeStream.foreachBatch(write).outputMode("update").trigger(availableNow=True)
-                 .option("checkpointLocation", f"{folder}/progress").start())
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    query = (deltas.writeStream.foreachBatch(write).outputMode("update").trigger(availableNow=True)
+             .option("checkpointLocation", f"{folder}/progress").start())
     query.awaitTermination()
     written = spark.read.schema(_DELTAS).option("ignoreMissingFiles", "true").parquet(f"{folder}/deltas") if _exists(spark, f"{folder}/deltas") else spark.createDataFrame([], _DELTAS)
     cells = written.groupBy("part", "mask").agg(
