@@ -26,8 +26,9 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 COPIES = "E"
 #: Micro-batches that the files present at the start are dealt to.
 BATCHES = 4
-#: Texts kept under one key of the state, on average.
+#: Texts kept under one key of the state, on average, and keys in one partition of it at least: each costs files in every batch.
 TEXTS_PER_KEY = 2048
+KEYS_PER_PARTITION = 16
 
 _CELL = ["part", "mask", "good", "toxic"]
 _HELD = ["text", "doc_id", *_CELL]
@@ -147,8 +148,14 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, filters=text_fil
     def write(batch: DataFrame, number: int) -> None:
         batch.groupBy(*_CELL).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/deltas/batch={number}")
 
-    query = (deltas.writeStream.foreachBatch(write).outputMode("update").trigger(availableNow=True)
-             .option("checkpointLocation", f"{folder}/progress").start())
+    partitions = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(partitions)
+    spark.conf.set(partitions, str(max(1, min(int(usual), buckets // KEYS_PER_PARTITION))))
+    try:
+        query = (deltas.writeStream.foreachBatch(write).outputMode("update").trigger(availableNow=True)
+                 .option("checkpointLocation", f"{folder}/progress").start())
+    finally:
+        spark.conf.set(partitions, usual)
     query.awaitTermination()
     written = spark.read.schema(_DELTAS).option("ignoreMissingFiles", "true").parquet(f"{folder}/deltas") if _exists(spark, f"{folder}/deltas") else spark.createDataFrame([], _DELTAS)
     cells = written.groupBy("part", "mask").agg(
