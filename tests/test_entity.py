@@ -162,3 +162,39 @@ def test_threshold_bounds(spark):
     node_rows = near_dup.nodes(spark.createDataFrame([("d", "ab")], "block string, name string"))
     with pytest.raises(ValueError):
         near_dup.similar_names(node_rows, 60.0)
+
+
+def far_pairs(spark, names, threshold=90.0):
+    node_rows = near_dup.nodes(spark.createDataFrame([("d", n) for n in names], "block string, name string"))
+    met = near_dup._rarest(node_rows, threshold).agg(F.sum("n")).first()[0]
+    return node_rows, met, near_dup.candidates(node_rows, threshold).count()
+
+
+def shared_first_name(count, seed=3):
+    """Long names with one first name; every fiftieth comes again with its last name edited."""
+    rnd = random.Random(seed)
+    names = set()
+    while len(names) < count:
+        last = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(14, 20)))
+        names.add(f"alexandria {last}")
+        if len(names) % 50 == 0:
+            names.add(f"alexandria {last[:4]}{last[5:9]}x{last[9:]}")
+    return sorted(names)[:count]
+
+
+def test_long_names_with_one_first_name_meet_few_others(spark):
+    """Pairs that are compared letter by letter grow with the names; those that meet are a small part of all pairs."""
+    small, large = (far_pairs(spark, shared_first_name(n)) for n in (1000, 4000))
+    assert large[2] < 6 * small[2] and large[1] < 4000 * 4000 / 20
+    names = shared_first_name(400)
+    got = sorted((r.name_a, r.name_b) for r in near_dup.similar_names(far_pairs(spark, names)[0]).collect())
+    assert got == sorted((a, b) for i, a in enumerate(names) for b in names[i + 1:] if model.ratio(a, b) >= 90.0) and got
+
+
+def test_hashes_that_many_names_meet_on_are_dealt_out(spark, monkeypatch):
+    rows = random_names(7)
+    node_rows = near_dup.nodes(spark.createDataFrame(rows, "block string, name string"))
+    plain = sorted(map(tuple, near_dup.similar_names(node_rows, 80.0).collect()))
+    monkeypatch.setattr(skew, "HOT_ROWS", 4)
+    monkeypatch.setattr(near_dup, "_PAIRS_PER_TASK", 4)
+    assert sorted(map(tuple, near_dup.similar_names(node_rows, 80.0).collect())) == plain

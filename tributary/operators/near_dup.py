@@ -8,12 +8,15 @@ threshold when they share a subsequence of at least r(N, M) letters, and then
 * if N - r <= 2, both contain the same text after dropping N - r and M - r
   letters: nodes meet on that remaining text, and whatever meets there at
   sufficient length is a true pair;
-* otherwise the longer one, cut into one more piece than there can be edits,
-  has a piece standing unchanged in the shorter one near the same place.
+* otherwise the longer one is cut into chunks of a few letters. An edit spoils
+  one chunk at most, so of any (edits + 1) chunks one stands unchanged in the
+  shorter name, near the same place. Each name takes its rarest: those that the
+  fewest names of its birth date have there. A first name that all share is
+  common, so the chunks of the rest are taken.
 
 Neither way pairs up a whole birth date, and no pair is missed. The names of
 one birth date, be it a third of all rows, spread over as many hash keys as
-they have remaining texts.
+they have remaining texts; a hash that many names meet on is dealt out.
 """
 
 from __future__ import annotations
@@ -23,12 +26,17 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.functions.similarity import indel_ratio, sorted_tokens
+from tributary.operators import skew
 from tributary.operators.skew import count_keys, hot_keys, salted_join
 from tributary.session import materialize
 
 DEFAULT_THRESHOLD = 90.0
 MIN_THRESHOLD = 75.0  # below it a name could be cut into more pieces than it has letters
 _MAX_DROPS = 2
+# Letters of a chunk. Single letters serve only where names cannot be cut into enough longer chunks.
+_CHUNKS = (2, 3, 4)
+# Pairs that one task should compare where many names meet on one hash.
+_PAIRS_PER_TASK = 100_000_000
 
 
 def full_name() -> Column:
@@ -43,9 +51,20 @@ def members(merged: DataFrame) -> DataFrame:
             .withColumn("name", sorted_tokens(F.col("display_name"))))
 
 
+def _bag(name: Column) -> Column:
+    """How often each letter stands in a name: a to z, then all others together."""
+    count = [F.length(name) - F.length(F.replace(name, F.lit(x))) for x in "abcdefghijklmnopqrstuvwxyz"]
+    return F.array(*count, F.length(F.regexp_replace(name, "[a-z]", "")))
+
+
+def _common(bag: Column, other: Column) -> Column:
+    """No fewer than the letters that two names can have in common."""
+    return F.aggregate(F.zip_with(bag, other, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+
+
 def nodes(member_rows: DataFrame) -> DataFrame:
-    """One numbered row per distinct (block, name): node, block, name, len, n."""
-    found = member_rows.groupBy("block", "name").agg(F.count(F.lit(1)).alias("n")).withColumn("len", F.length("name"))
+    """One numbered row per distinct (block, name): node, block, name, len, n, bag."""
+    found = member_rows.groupBy("block", "name").agg(F.count(F.lit(1)).alias("n")).withColumns({"len": F.length("name"), "bag": _bag(F.col("name"))})
     return materialize(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
@@ -118,15 +137,21 @@ def _pairs_by_remainder(node_rows: DataFrame, t: float) -> DataFrame:
         sigs.groupBy("sig").agg(F.min("node").alias("node_a"), F.max("node").alias("node_b"),
                                 F.count(F.lit(1)).alias("times")).filter("node_a < node_b"), "met")
     often = sigs.join(met.filter("times > 2").select("sig"), "sig", "left_semi").distinct()
-    a, b = often.alias("a"), often.alias("b")
-    need = shared_needed(F.col("a.len"), F.col("b.len"), t)
-    crowded = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") < F.col("b.node"))
-                     & (F.col("a.kept") == F.col("b.kept")) & (F.col("a.kept") >= need)) \
-               .select(F.col("a.node").alias("node_a"), F.col("b.node").alias("node_b"))
-    return met.select("node_a", "node_b").unionByName(crowded)
+    other = often.select("sig", *[F.col(c).alias(f"other_{c}") for c in ("node", "len", "kept")])
+    hot = _hot(met.select("sig", F.col("times").alias("a"), F.col("times").alias("b")))
+    need = shared_needed(F.col("len"), F.col("other_len"), t)
+    crowded = salted_join(often, other, ["sig"], hot, "node").filter(
+        (F.col("node") < F.col("other_node")) & (F.col("kept") == F.col("other_kept")) & (F.col("kept") >= need))
+    return met.select("node_a", "node_b").unionByName(crowded.select(F.col("node").alias("node_a"), F.col("other_node").alias("node_b")))
 
 
-def _shortest_far(t: float) -> int:
+def _hot(met: DataFrame) -> DataFrame | None:
+    """Which hashes of (sig, a, b) take more than one task, where a rows meet b others."""
+    share = skew.HOT_ROWS / _PAIRS_PER_TASK
+    return hot_keys(met.select("sig", (F.col("a") * F.col("b") * share).alias("n")), ["sig"])
+
+
+def _shortest_far_partner(t: float) -> int:
     """Shortest name with a partner outside the reach of the remainders."""
     n = 1
     while not any(max(n, m) - _needed(n, m, t) > _MAX_DROPS for m in _partners(n, t)):
@@ -145,37 +170,94 @@ def _edits(n: Column, t: float) -> Column:
         (m <= n) & _far(n, m, t), F.greatest(acc, n + m - F.lit(2) * shared_needed(n, m, t))).otherwise(acc))
 
 
-def _piece_bounds(n: Column, pieces: Column) -> Column:
-    """Start (1-based) and size of each of the near-equal pieces of a text of length n."""
-    return F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(
-        i.alias("i"), (F.floor(i * n / pieces) + 1).cast("int").alias("at"),
-        (F.floor((i + 1) * n / pieces) - F.floor(i * n / pieces)).cast("int").alias("size")))
+def _reach(m: Column, t: float) -> Column:
+    """How far a chunk of a longer far partner can move in a name of length m: (back, on) letters."""
+    def wider(acc: Column, n: Column) -> Column:
+        r = shared_needed(n, m, t)
+        wide = F.struct(F.greatest(acc["back"], n - r).alias("back"), F.greatest(acc["on"], m - r).alias("on"))
+        return F.when((n >= m) & _far(n, m, t), wide).otherwise(acc)
+
+    return F.aggregate(_partner_lengths(m, t), F.struct(F.lit(-1).alias("back"), F.lit(-1).alias("on")), wider)
+
+
+def _sizes(n: Column, k: Column) -> Column:
+    """Chunk sizes that cut a name of length n into more than k chunks."""
+    usable = F.filter(F.array(*map(F.lit, _CHUNKS)), lambda q: F.floor(n / q) > k)
+    return F.when(F.size(usable) > 0, usable).otherwise(F.array(F.lit(1)))
+
+
+def _single_letters(t: float) -> bool:
+    """Are there lengths whose chunks must be single letters?"""
+    def edits(n: int) -> int:
+        return max((n + m - 2 * _needed(n, m, t) for m in _partners(n, t) if m <= n and n - _needed(n, m, t) > _MAX_DROPS), default=-1)
+
+    return any(n // min(_CHUNKS) <= edits(n) for n in range(1, 200))
+
+
+def _sig(size: str, place: str, at: str) -> Column:
+    return F.xxhash64("block", size, place, F.substring("name", F.col(at), F.col(size)))
+
 
+def _chunks(node_rows: DataFrame, t: float) -> DataFrame:
+    """(node, len, k, q, p, sig): the chunks of names as the longer one of a far pair, in all sizes that serve."""
+    n = F.col("len")
+    cut = node_rows.withColumn("k", _edits(n, t)).filter("k >= 0").withColumn("q", F.explode(_sizes(n, F.col("k"))))
+    cut = cut.withColumn("p", F.explode(F.sequence(F.lit(1), (n - F.col("q") + 1).cast("int"), F.col("q"))))
+    return cut.select("node", "len", "k", "q", "p", _sig("q", "p", "p").alias("sig"))
 
-def _pairs_by_piece(node_rows: DataFrame, t: float) -> DataFrame:
+
+def _grams(node_rows: DataFrame, t: float) -> DataFrame:
+    """(partner, m, at, sig): where names as the shorter one of a far pair can show a chunk, for every place it may have come from."""
+    sizes = ((1,) if _single_letters(t) else ()) + _CHUNKS
+    rows = node_rows.withColumn("reach", _reach(F.col("len"), t)).filter("reach.back >= 0")
+    rows = rows.withColumn("q", F.explode(F.array(*map(F.lit, sizes)))).filter("q <= len")
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("len") - F.col("q") + 1)))
+    first = F.ceil(F.greatest(F.lit(0), F.col("at") - F.col("reach.on") - 1) / F.col("q"))
+    last = F.floor((F.col("at") + F.col("reach.back") - 1) / F.col("q"))
+    rows = rows.withColumns({"first": first, "last": last}).filter("first <= last")
+    rows = rows.withColumn("i", F.explode(F.sequence("first", "last"))).withColumn("p", (F.col("i") * F.col("q") + 1).cast("int"))
+    return rows.select(F.col("node").alias("partner"), F.col("len").alias("m"), "at", _sig("q", "p", "at").alias("sig"))
+
+
+def _rarest(node_rows: DataFrame, t: float) -> DataFrame:
+    """(node, len, rank, p, sig, n): of each name one chunk more than there can be edits, those that the fewest names show.
+
+    Sizes are compared by how many rows their chunks would meet; ``n`` is that number. ``rank`` counts from 0, the rarest.
+    """
+    counts = materialize(count_keys(_grams(node_rows, t), ["sig"]), "grams")
+    counted = salted_join(_chunks(node_rows, t), counts, ["sig"], hot_keys(counts, ["sig"]), "node", "left")
+    counted = counted.withColumn("n", F.coalesce("n", F.lit(0)))
+    cut = counted.groupBy("node", "len", "q").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "p", "sig"))), F.lit(1), F.first("k") + 1).alias("kept"))
+    load = F.aggregate("kept", F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    best = cut.groupBy("node", "len").agg(F.min_by("kept", F.struct(load, "q")).alias("kept"))
+    return best.select("node", "len", F.posexplode("kept").alias("rank", "c")).select("node", "len", "rank", "c.p", "c.sig", "c.n")
+
+
+def _pairs_by_chunk(node_rows: DataFrame, t: float) -> DataFrame:
     """Candidate pairs (node_a < node_b) of names too long or too unequal for the remainders."""
     if t >= 100:
         return node_rows.select(F.col("node").alias("node_a"), F.col("node").alias("node_b")).limit(0)
-    n, name = F.col("len"), F.col("name")
-    node_rows = node_rows.filter(n >= _shortest_far(t))
-    long_side = (node_rows.withColumn("k", _edits(n, t)).filter("k >= 0")
-                 .select("block", "name", "node", "len", F.explode(_piece_bounds(n, F.col("k") + 1)).alias("p"))
-                 .select("node", F.xxhash64("block", "len", "p.i", F.substring(name, F.col("p.at"), F.col("p.size"))).alias("sig")))
-    # A partner of length m looks for the pieces of every longer length it can pair with.
-    probes = (node_rows.select("block", "name", "node", F.col("len").alias("m"),
-                               F.explode(F.filter(_partner_lengths(n, t), lambda x: (x >= n) & _far(x, n, t))).alias("big"))
-              .withColumn("k", _edits(F.col("big"), t))
-              .withColumn("need", shared_needed(F.col("big"), F.col("m"), t))
-              .select("block", "name", "node", "m", "big", "need",
-                      F.explode(_piece_bounds(F.col("big"), F.col("k") + 1)).alias("p"))
-              .select("block", "name", "node", "m", "big", "p",
-                      F.explode(F.sequence(F.greatest(F.lit(1), F.col("p.at") - (F.col("big") - F.col("need"))),
-                                           F.greatest(F.lit(1), F.col("p.at") + (F.col("m") - F.col("need"))))).alias("at"))
-              .filter(F.col("at") + F.col("p.size") - 1 <= F.col("m"))
-              .select("node", F.xxhash64("block", "big", "p.i", F.substring("name", F.col("at"), F.col("p.size"))).alias("sig")))
-    a, b = long_side.alias("a"), probes.alias("b")
-    found = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") != F.col("b.node")))
-    return found.select(F.least("a.node", "b.node").alias("node_a"), F.greatest("a.node", "b.node").alias("node_b"))
+    node_rows = node_rows.filter(F.col("len") >= _shortest_far_partner(t))
+    chosen = materialize(_rarest(node_rows, t).filter("n > 0"), "chunks")
+    met = chosen.groupBy("sig").agg(F.first("n").alias("a"), F.count(F.lit(1)).alias("b"))
+    n, m, need = F.col("len"), F.col("m"), shared_needed(F.col("len"), F.col("m"), t)
+    found = salted_join(_grams(node_rows, t), chosen.drop("n"), ["sig"], _hot(met), "partner").filter(
+        (F.col("node") != F.col("partner")) & (m <= n) & _far(n, m, t) & (need <= m)
+        # partners of this length can differ by fewer edits than others: so many of the rarest chunks and one more serve
+        & (F.col("rank") <= n + m - 2 * need) & F.col("at").between(F.col("p") - (n - need), F.col("p") + (m - need)))
+    return found.select(F.least("node", "partner").alias("node_a"), F.greatest("node", "partner").alias("node_b"))
+
+
+def candidates(node_rows: DataFrame, t: float) -> DataFrame:
+    """(node_a, node_b, block, name_a, name_b, n_a, n_b): pairs that meet and have letters enough in common; every similar pair is one."""
+    met = _pairs_by_remainder(node_rows, t).unionByName(_pairs_by_chunk(node_rows, t)).distinct()
+
+    def side(s):
+        return node_rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "block", "name", "len", "bag", "n")])
+
+    pairs = met.join(side("a"), "node_a").join(side("b"), "node_b").filter("block_a = block_b AND name_a <> name_b")
+    pairs = pairs.filter(_common(F.col("bag_a"), F.col("bag_b")) >= shared_needed(F.col("len_a"), F.col("len_b"), t))
+    return pairs.select("node_a", "node_b", F.col("block_a").alias("block"), "name_a", "name_b", "n_a", "n_b")
 
 
 def similar_names(node_rows: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -186,17 +268,10 @@ def similar_names(node_rows: DataFrame, threshold: float = DEFAULT_THRESHOLD) ->
     """
     if not MIN_THRESHOLD <= threshold <= 100:
         raise ValueError(f"threshold must lie between {MIN_THRESHOLD} and 100")
-    candidates = _pairs_by_remainder(node_rows, threshold).unionByName(_pairs_by_piece(node_rows, threshold)).distinct()
-
-    def side(s):
-        return node_rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "block", "name", "n")])
-    pairs = (candidates.join(side("a"), "node_a").join(side("b"), "node_b")
-             .filter("block_a = block_b AND name_a <> name_b")
-             .withColumn("similarity", indel_ratio(F.col("name_a"), F.col("name_b")))
-             .filter(F.col("similarity") >= threshold))
+    pairs = candidates(node_rows, threshold).withColumn("similarity", indel_ratio(F.col("name_a"), F.col("name_b"))).filter(F.col("similarity") >= threshold)
     first = F.col("name_a") < F.col("name_b")
     return pairs.select(
-        F.col("block_a").alias("block"), F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"),
+        "block", F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"),
         "similarity", F.when(first, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
         F.when(first, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
 
