@@ -191,6 +191,14 @@ def test_long_names_with_one_first_name_meet_few_others(spark):
     assert got == sorted((a, b) for i, a in enumerate(names) for b in names[i + 1:] if model.ratio(a, b) >= 90.0) and got
 
 
+@pytest.mark.parametrize("threshold", [80.0, 90.0])
+def test_names_of_two_tables_equal_brute_force(spark, threshold):
+    left, right = random_names(11), random_names(12)[:150] + random_names(11)[::7]
+    tables = [near_dup.nodes(spark.createDataFrame(rows, "block string, name string")) for rows in (left, right)]
+    got = sorted((r.block, r.name_a, r.name_b) for r in near_dup.similar_between(*tables, threshold).collect())
+    assert got == sorted({(x, a, b) for x, a in left for y, b in right if x == y and a != b and model.ratio(a, b) >= threshold})
+
+
 def test_hashes_that_many_names_meet_on_are_dealt_out(spark, monkeypatch):
     rows = random_names(7)
     node_rows = near_dup.nodes(spark.createDataFrame(rows, "block string, name string"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tributary.contract import Contract
 from tributary.functions.similarity import indel_ratio
+from tributary.operators.rules import current
 from tributary.operators.skew import count_keys, hot_keys, salted_join
 
 # Header words that name each employee field.
@@ -152,7 +153,7 @@ def decide(profiles: DataFrame, contract: Contract, rules: DataFrame | None = No
 def _learned(top: DataFrame, rules: DataFrame | None) -> DataFrame:
     if rules is None:
         return top.withColumn("rule_target", F.lit(None).cast("string"))
-    learned = rules.filter(F.col("enabled") & (F.col("kind") == "mapping")).select(
+    learned = current(rules, "mapping").select(
         F.col("fingerprint").alias("_fp"), F.get_json_object("action", "$.target_field").alias("rule_target"))
     return top.join(learned, F.concat_ws(":", "source", "column") == F.col("_fp"), "left").drop("_fp")
 

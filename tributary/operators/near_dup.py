@@ -219,12 +219,12 @@ def _grams(node_rows: DataFrame, t: float) -> DataFrame:
     return rows.select(F.col("node").alias("partner"), F.col("len").alias("m"), "at", _sig("q", "p", "at").alias("sig"))
 
 
-def _rarest(node_rows: DataFrame, t: float) -> DataFrame:
-    """(node, len, rank, p, sig, n): of each name one chunk more than there can be edits, those that the fewest names show.
+def _rarest(node_rows: DataFrame, t: float, shorter: DataFrame | None = None) -> DataFrame:
+    """(node, len, rank, p, sig, n): of each name one chunk more than there can be edits, those that the fewest ``shorter`` names show.
 
     Sizes are compared by how many rows their chunks would meet; ``n`` is that number. ``rank`` counts from 0, the rarest.
     """
-    counts = materialize(count_keys(_grams(node_rows, t), ["sig"]), "grams")
+    counts = materialize(count_keys(_grams(node_rows if shorter is None else shorter, t), ["sig"]), "grams")
     counted = salted_join(_chunks(node_rows, t), counts, ["sig"], hot_keys(counts, ["sig"]), "node", "left")
     counted = counted.withColumn("n", F.coalesce("n", F.lit(0)))
     cut = counted.groupBy("node", "len", "q").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "p", "sig"))), F.lit(1), F.first("k") + 1).alias("kept"))
@@ -233,42 +233,74 @@ def _rarest(node_rows: DataFrame, t: float) -> DataFrame:
     return best.select("node", "len", F.posexplode("kept").alias("rank", "c")).select("node", "len", "rank", "c.p", "c.sig", "c.n")
 
 
-def _pairs_by_chunk(node_rows: DataFrame, t: float) -> DataFrame:
-    """Candidate pairs (node_a < node_b) of names too long or too unequal for the remainders."""
+def _pairs_by_chunk(longer: DataFrame, shorter: DataFrame, t: float) -> DataFrame:
+    """(node, partner): candidates of names too long or too unequal for the remainders, partner being no longer than node."""
     if t >= 100:
-        return node_rows.select(F.col("node").alias("node_a"), F.col("node").alias("node_b")).limit(0)
-    node_rows = node_rows.filter(F.col("len") >= _shortest_far_partner(t))
-    chosen = materialize(_rarest(node_rows, t).filter("n > 0"), "chunks")
+        return longer.select("node", F.col("node").alias("partner")).limit(0)
+    longer, shorter = (rows.filter(F.col("len") >= _shortest_far_partner(t)) for rows in (longer, shorter))
+    chosen = materialize(_rarest(longer, t, shorter).filter("n > 0"), "chunks")
     met = chosen.groupBy("sig").agg(F.first("n").alias("a"), F.count(F.lit(1)).alias("b"))
     n, m, need = F.col("len"), F.col("m"), shared_needed(F.col("len"), F.col("m"), t)
-    found = salted_join(_grams(node_rows, t), chosen.drop("n"), ["sig"], _hot(met), "partner").filter(
-        (F.col("node") != F.col("partner")) & (m <= n) & _far(n, m, t) & (need <= m)
+    found = salted_join(_grams(shorter, t), chosen.drop("n"), ["sig"], _hot(met), "partner").filter(
+        (m <= n) & _far(n, m, t) & (need <= m)
         # partners of this length can differ by fewer edits than others: so many of the rarest chunks and one more serve
         & (F.col("rank") <= n + m - 2 * need) & F.col("at").between(F.col("p") - (n - need), F.col("p") + (m - need)))
-    return found.select(F.least("node", "partner").alias("node_a"), F.greatest("node", "partner").alias("node_b"))
+    return found.select("node", "partner")
 
 
-def candidates(node_rows: DataFrame, t: float) -> DataFrame:
-    """(node_a, node_b, block, name_a, name_b, n_a, n_b): pairs that meet and have letters enough in common; every similar pair is one."""
-    met = _pairs_by_remainder(node_rows, t).unionByName(_pairs_by_chunk(node_rows, t)).distinct()
+def _pairs_between_by_remainder(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
+    """(node_a, node_b): candidates from two tables of names that share a remaining text."""
+    a = _remainders(left, t)
+    b = _remainders(right, t).select("sig", *[F.col(c).alias(f"other_{c}") for c in ("node", "len", "kept")])
+    met = materialize(count_keys(a, ["sig"]).withColumnRenamed("n", "a").join(count_keys(b, ["sig"]).withColumnRenamed("n", "b"), "sig"), "met")
+    need = shared_needed(F.col("len"), F.col("other_len"), t)
+    found = salted_join(a, b, ["sig"], _hot(met), "node").filter((F.col("kept") == F.col("other_kept")) & (F.col("kept") >= need))
+    return found.select(F.col("node").alias("node_a"), F.col("other_node").alias("node_b"))
 
-    def side(s):
-        return node_rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "block", "name", "len", "bag", "n")])
 
-    pairs = met.join(side("a"), "node_a").join(side("b"), "node_b").filter("block_a = block_b AND name_a <> name_b")
+def _named(met: DataFrame, left: DataFrame, right: DataFrame, t: float) -> DataFrame:
+    """Pairs of one block that meet and have letters enough in common, with both names."""
+    def side(rows, s):
+        return rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "block", "name", "len", "bag", "n")])
+
+    pairs = met.join(side(left, "a"), "node_a").join(side(right, "b"), "node_b").filter("block_a = block_b AND name_a <> name_b")
     pairs = pairs.filter(_common(F.col("bag_a"), F.col("bag_b")) >= shared_needed(F.col("len_a"), F.col("len_b"), t))
     return pairs.select("node_a", "node_b", F.col("block_a").alias("block"), "name_a", "name_b", "n_a", "n_b")
 
 
+def _checked(threshold: float) -> float:
+    if not MIN_THRESHOLD <= threshold <= 100:
+        raise ValueError(f"threshold must lie between {MIN_THRESHOLD} and 100")
+    return threshold
+
+
+def candidates(node_rows: DataFrame, t: float) -> DataFrame:
+    """(node_a, node_b, block, name_a, name_b, n_a, n_b): pairs that meet and have letters enough in common; every similar pair is one."""
+    far = _pairs_by_chunk(node_rows, node_rows, t).filter("node <> partner")
+    far = far.select(F.least("node", "partner").alias("node_a"), F.greatest("node", "partner").alias("node_b"))
+    return _named(_pairs_by_remainder(node_rows, t).unionByName(far).distinct(), node_rows, node_rows, t)
+
+
+def similar_between(left: DataFrame, right: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """(block, name_a, name_b, similarity): names of ``left`` and different names of ``right`` of one block at or above the threshold.
+
+    Both are tables of ``nodes``; names of one table are not compared with each other.
+    """
+    t = _checked(threshold)
+    met = _pairs_between_by_remainder(left, right, t)
+    met = met.unionByName(_pairs_by_chunk(left, right, t).select(F.col("node").alias("node_a"), F.col("partner").alias("node_b")))
+    met = met.unionByName(_pairs_by_chunk(right, left, t).select(F.col("partner").alias("node_a"), F.col("node").alias("node_b")))
+    pairs = _named(met.distinct(), left, right, t).withColumn("similarity", indel_ratio(F.col("name_a"), F.col("name_b")))
+    return pairs.filter(F.col("similarity") >= t).select("block", "name_a", "name_b", "similarity")
+
+
 def similar_names(node_rows: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """(block, name_a, name_b, similarity, n_a, n_b) for distinct names of one block at or above the threshold.
 
     Candidates meet on 64-bit hashes; block and similarity are checked on the
     names themselves, so a chance collision cannot add a pair.
     """
-    if not MIN_THRESHOLD <= threshold <= 100:
-        raise ValueError(f"threshold must lie between {MIN_THRESHOLD} and 100")
-    pairs = candidates(node_rows, threshold).withColumn("similarity", indel_ratio(F.col("name_a"), F.col("name_b"))).filter(F.col("similarity") >= threshold)
+    pairs = candidates(node_rows, _checked(threshold)).withColumn("similarity", indel_ratio(F.col("name_a"), F.col("name_b"))).filter(F.col("similarity") >= threshold)
     first = F.col("name_a") < F.col("name_b")
     return pairs.select(
         "block", F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"),

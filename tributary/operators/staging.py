@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.contract import Contract, Field
 from tributary.functions import dates, text
+from tributary.operators import fuzzy
 from tributary.operators.mapping import FULL_NAME
+from tributary.operators.rules import current
 from tributary.operators.skew import lookup
+from tributary.session import materialize
 from tributary.sources.readers import ROW_NUM, SOURCE
 
 LINEAGE = ["source", "source_ord", "row_num", "seq"]
@@ -49,7 +54,7 @@ def column_date_orders(df: DataFrame, source: str, date_columns: list[str],
              .select(F.lit(source).alias("source"), "column", "date_order"))
     if rules is None:
         return found.withColumn("decided_by", F.lit("agent"))
-    learned = rules.filter(F.col("enabled") & (F.col("kind") == "date_format")).select(
+    learned = current(rules, "date_format").select(
         F.col("fingerprint").alias("_fp"), F.get_json_object("action", "$.format").alias("_rule"))
     return (found.join(learned, F.concat_ws(":", "source", "column") == F.col("_fp"), "left")
             .select("source", "column", F.coalesce("_rule", "date_order").alias("date_order"),
@@ -69,11 +74,17 @@ def enum_value(c: Column, f: Field, contract: Contract, learned: Column | None =
 
 
 def normalize(staged: DataFrame, contract: Contract, orders: dict[str, str | None] | None = None,
-              rules: DataFrame | None = None, phone_region: str = "IN") -> DataFrame:
-    """Normalize every contract field by its type; ``orders`` gives the date order of each date field."""
+              rules: DataFrame | None = None, phone_region: str = "IN", near_words: DataFrame | None = None) -> DataFrame:
+    """Normalize every contract field by its type; ``orders`` gives the date order of each date field.
+
+    An enum cell is looked up among the contract's words, then among the
+    learned values of ``rules`` (one client's), then in ``near_words``
+    (see ``near_enum_words``).
+    """
     orders = orders or {}
-    if rules is not None:
-        staged = _with_learned_enums(staged, contract, rules)
+    learned = learned_enums(rules, near_words)
+    if learned is not None:
+        staged = _with_learned_enums(staged, contract, learned)
     out = []
     for f in contract.fields:
         c = F.col(f.name)
@@ -88,23 +99,42 @@ def normalize(staged: DataFrame, contract: Contract, orders: dict[str, str | Non
         elif f.type == "date":
             c = dates.to_iso(c, F.lit(orders.get(f.name)).cast("string"))
         elif f.type == "enum":
-            c = enum_value(c, f, contract, F.col(f"_learned_{f.name}") if rules is not None else None)
+            c = enum_value(c, f, contract, F.col(f"_learned_{f.name}") if learned is not None else None)
         out.append(c.alias(f.name))
     return staged.select(*LINEAGE, *out)
 
 
-def _with_learned_enums(staged: DataFrame, contract: Contract, rules: DataFrame) -> DataFrame:
-    learned = rules.filter(F.col("enabled") & (F.col("kind") == "enum_value"))
+def learned_enums(rules: DataFrame | None, near_words: DataFrame | None = None) -> DataFrame | None:
+    """(fingerprint, canonical) of learned values and, where there is no rule, of almost known ones; each fingerprint once."""
+    parts = []
+    if rules is not None:
+        parts.append(current(rules, "enum_value").select("fingerprint", F.get_json_object("action", "$.canonical_value").alias("canonical")))
+    if near_words is not None:
+        near = near_words.select(F.concat_ws(":", "field", F.upper("value")).alias("fingerprint"), "canonical")
+        near = near.groupBy("fingerprint").agg(F.min("canonical").alias("canonical"))
+        parts.append(near.join(parts[0].select("fingerprint"), "fingerprint", "left_anti") if parts else near)
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _with_learned_enums(staged: DataFrame, contract: Contract, learned: DataFrame) -> DataFrame:
     for f in contract.of_type("enum"):
         mine = learned.filter(F.startswith("fingerprint", F.lit(f.name + ":"))).select(
             F.substring("fingerprint", F.lit(len(f.name) + 2), F.length("fingerprint")).alias("_raw"),
-            F.get_json_object("action", "$.canonical_value").alias(f"_learned_{f.name}"))
+            F.col("canonical").alias(f"_learned_{f.name}"))
         # Words of the contract need no rule, so only the others are looked up.
         unknown = F.element_at(contract.literal_map(f.vocabulary()), F.lower(f.name)).isNull()
         staged = lookup(staged.withColumn("_raw", F.when(unknown, F.upper(f.name))), mine, "_raw", "seq").drop("_raw")
     return staged
 
 
+def near_enum_words(raw: list[DataFrame], contract: Contract, threshold: float) -> DataFrame:
+    """(field, value, canonical, word, similarity) for the distinct unknown enum values of mapped rows; a written table."""
+    fields = contract.of_type("enum")
+    cells = F.explode(F.array(*[F.struct(F.lit(f.name).alias("field"), F.col(f.name).alias("value")) for f in fields]))
+    values = reduce(DataFrame.unionByName, [rows.select(cells.alias("c")).select("c.*").filter("value IS NOT NULL").distinct() for rows in raw])
+    return materialize(fuzzy.closest_words(values, fuzzy.vocabulary(contract, values), threshold), "near_words")
+
+
 def all_date_orders(sources: dict[str, DataFrame], mappings: dict[str, dict[str, str]], contract: Contract,
                     rules: DataFrame | None = None) -> DataFrame | None:
     """The date orders of all sources; NULL when no date column is mapped."""
@@ -118,9 +148,13 @@ def all_date_orders(sources: dict[str, DataFrame], mappings: dict[str, dict[str,
 
 def stage(sources: dict[str, DataFrame], mappings: dict[str, dict[str, str]], contract: Contract,
           rules: DataFrame | None = None, default_date_order: str | None = None,
-          phone_region: str = "IN", orders: DataFrame | None = None) -> DataFrame:
+          phone_region: str = "IN", orders: DataFrame | None = None, enum_threshold: float | None = None) -> DataFrame:
     """All sources, in the given order, as one table of normalized contract rows.
 
+    With ``enum_threshold`` an enum value that is neither a word nor learned
+    becomes that of the one word it is most like, at this similarity in percent
+    or more. ``rules`` are one client's.
+
     The date orders (one row per date column) come to the driver, so that the
     row expressions hold only the branch each column needs; ``orders`` passes
     them in when they are known already.
@@ -128,16 +162,18 @@ def stage(sources: dict[str, DataFrame], mappings: dict[str, dict[str, str]], co
     if orders is None:
         orders = all_date_orders(sources, mappings, contract, rules)
     known = {(r["source"], r["column"]): r["date_order"] for r in orders.collect()} if orders is not None else {}
+    raw = {name: apply_mapping(df, i, mappings[name], contract) for i, (name, df) in enumerate(sources.items()) if mappings.get(name)}
+    near = None
+    if enum_threshold is not None and raw and contract.of_type("enum"):
+        near = near_enum_words(list(raw.values()), contract, enum_threshold)
     out = None
-    for i, (name, df) in enumerate(sources.items()):
-        mapping = mappings.get(name)
-        if not mapping:
-            continue
+    for name, rows in raw.items():
+        mapping = mappings[name]
         by_field = {}
         for column, target in mapping.items():
             order = known.get((name, column))
             by_field[target] = default_date_order if order == dates.AMBIGUOUS and default_date_order else order
-        part = normalize(apply_mapping(df, i, mapping, contract), contract, by_field, rules, phone_region)
+        part = normalize(rows, contract, by_field, rules, phone_region, near)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no source has a mapped column")

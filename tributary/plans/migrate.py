@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tributary.contract import Contract
 from tributary.operators import entity, ledger, mapping, near_dup, profile, quality, review, staging
 from tributary.operators.mapping import MappingOptions
-from tributary.operators.rules import of_client
+from tributary.operators.rules import current, of_client
 from tributary.operators.skew import lookup
 from tributary.session import materialize
 from tributary.sources.readers import ROW_NUM, data_columns
@@ -28,6 +28,7 @@ class Options:
     max_groups: int = 20
     max_ratio: float = 0.30
     phone_region: str = "IN"
+    enum_threshold: float | None = None  # similarity in percent from which an unknown enum value is its nearest word; off by default
     check_dates: bool = False
     check_phones: bool = False
 
@@ -83,7 +84,7 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
     orders = staging.all_date_orders(sources, plan, contract, rules)
     orders = None if orders is None else materialize(orders, "date_orders")
     staged = materialize(
-        staging.stage(sources, plan, contract, rules, options.default_date_order, options.phone_region, orders), "staged")
+        staging.stage(sources, plan, contract, rules, options.default_date_order, options.phone_region, orders, options.enum_threshold), "staged")
     links = materialize(entity.link(staged, options.forbid_conflicting_ids), "links")
     merged = materialize(entity.merge(staged, links, contract, precedence), "merged")
 
@@ -141,7 +142,7 @@ def _applications(decisions, orders, sources, plan, contract, rules) -> DataFram
         used = used.unionByName(orders.filter(F.col("decided_by") == "rule").select(
             F.lit("date_format").alias("kind"), column.alias("fingerprint"), F.lit(None).cast("string").alias("cell")))
     if rules is not None:
-        enum_rules = rules.filter(F.col("enabled") & (F.col("kind") == "enum_value")).select("fingerprint", F.lit(1).alias("_hit"))
+        enum_rules = current(rules, "enum_value").select("fingerprint", F.lit(1).alias("_hit"))
         for name, df in sources.items():
             for source_column, target in plan.get(name, {}).items():
                 if target in contract and contract[target].type == "enum":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tributary.functions import dates, text
-from tributary.operators import mapping, profile, staging
+from tributary.operators import fuzzy, mapping, profile, staging
 from tributary.plans import oracle as o
 from tributary.plans.registry import query
 from tributary.session import scratch_path
@@ -270,3 +270,28 @@ def order_status_enum(spark, sf):
     return b.table(spark, sf, "orders").select(
         "o_orderkey", staging.enum_value(text.clean("o_orderstatus"), status, b.CONTRACT).alias("status"),
         F.col("o_orderpriority").alias("priority"))
+
+
+# Product names as people type them: letters lost, doubled, replaced or swapped for capitals.
+_TYPED = """SELECT p_partkey, CAST('product' AS STRING) AS field, CASE p_partkey % 8
+  WHEN 0 THEN word WHEN 1 THEN substr(word, 1, i) || substr(word, i + 2) WHEN 2 THEN substr(word, 1, i) || substr(word, i)
+  WHEN 3 THEN substr(word, 1, i) || 'x' || substr(word, i + 2) WHEN 4 THEN upper(substr(word, 1, i)) || substr(word, i + 2)
+  WHEN 5 THEN substr(word, 3) WHEN 6 THEN word || 'sy' ELSE 'no. ' || CAST(p_partkey AS STRING) END AS value
+FROM (SELECT p_partkey, word, CAST(1 + p_partkey % length(word) AS INT) AS i
+      FROM (SELECT p_partkey, lower(p_type) || ' ' || p_name AS word FROM part))"""
+_PRODUCTS = "SELECT DISTINCT CAST('product' AS STRING) AS field, lower(p_type) || ' ' || p_name AS word, upper(lower(p_type) || ' ' || p_name) AS canonical FROM part"
+
+
+@query("enum_fuzzy", f"""
+WITH typed AS MATERIALIZED ({_TYPED.replace('STRING', 'VARCHAR')}), words AS MATERIALIZED ({_PRODUCTS.replace('STRING', 'VARCHAR')}),
+unknown AS MATERIALIZED (SELECT DISTINCT field, lower(trim(value)) AS value FROM typed WHERE lower(trim(value)) NOT IN (SELECT word FROM words)),
+near AS MATERIALIZED (SELECT field, value, word, canonical, similarity FROM (
+  SELECT u.field, value, word, canonical, {o.ratio('value', 'word')} AS similarity FROM unknown u JOIN words w ON u.field = w.field
+  WHERE 2.0 * least(length(value), length(word)) / (length(value) + length(word)) >= 0.9) WHERE similarity >= 90),
+best AS (SELECT field, value, arg_min(canonical, word) AS canonical, min(word) AS word, any_value(similarity) AS similarity
+         FROM (SELECT *, max(similarity) OVER (PARTITION BY field, value) AS most FROM near) WHERE similarity = most
+         GROUP BY field, value HAVING count(DISTINCT canonical) = 1)
+SELECT field, value, canonical, word, round(similarity, 4) AS similarity FROM best""")
+def enum_fuzzy(spark, sf):
+    typed, words = (b.view(spark, sf, sql, "part") for sql in (_TYPED, _PRODUCTS))
+    return fuzzy.closest_words(typed.select("field", "value"), words).withColumn("similarity", F.round("similarity", 4))
