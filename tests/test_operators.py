@@ -428,7 +428,7 @@ def test_delivery_stream_answers_each_request_once(spark):
     run()
     answers = {r.request_seq: r.outcome for r in spark.read.parquet(base + "/answers").collect()}
     assert answers == {1: "created", 2: "created", 3: "already_processed", 4: "already_processed", 5: "conflict", 6: "created"}
-    assert sorted(r.employee_id for r in spark.read.parquet(base + "/store").collect()) == ["E1", "E2", "E3"]
+    assert sorted(r.employee_id for r in tail.delivered_store(spark, base + "/store").all().collect()) == ["E1", "E2", "E3"]
 
 
 def test_record_and_audit_exports(spark, tmp_path):

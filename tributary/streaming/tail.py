@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tributary.operators.delivery import accept
+from tributary.operators.keyed_store import KeyedStore
 from tributary.operators.ledger import LEDGER_SCHEMA
-from tributary.session import scratch_path
+from tributary.session import materialize, scratch_path
 
 
 def read_events(spark: SparkSession, path: str, schema=LEDGER_SCHEMA, files_per_trigger: int = 100, **options) -> DataFrame:
@@ -33,29 +34,30 @@ def drain(stream: DataFrame, out: str | None = None, checkpoint: str | None = No
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def deliver(requests: DataFrame, store: str, answers: str, checkpoint: str):
+def delivered_store(spark: SparkSession, path: str, parts: int = 1024) -> KeyedStore:
+    """The accepted records by employee id."""
+    return KeyedStore(spark, path, "employee_id", "employee_id string, idempotency_key string, payload string", parts).open()
+
+
+def deliver(requests: DataFrame, store: str, answers: str, checkpoint: str, parts: int = 1024):
     """Answer a stream of delivery requests against a store of accepted records.
 
-    requests: (request_seq, employee_id, idempotency_key, payload). Each
-    micro-batch writes its own batch folder in both tables, so a batch that is
-    retried after a failure replaces its earlier output and nothing is
-    delivered twice.
+    requests: (request_seq, employee_id, idempotency_key, payload). A
+    micro-batch reads and writes only the parts of the store that its ids fall
+    in. Each writes its own slots there and its own folder of answers, so a
+    batch that is retried after a failure replaces its earlier output and
+    nothing is delivered twice.
     """
+    held = delivered_store(requests.sparkSession, store, parts)
+
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.schema("employee_id string, idempotency_key string, payload string, batch_id long") \
-                     .option("ignoreMissingFiles", "true").parquet(store) if _exists(spark, store) else None
-        earlier = None if known is None else known.filter(F.col("batch_id") < batch_id)
+        asked = materialize(batch, "requests")
         out = f"{answers}/batch_id={batch_id}"
-        accept(batch, earlier).write.mode("overwrite").parquet(out)
-        created = spark.read.parquet(out).filter(F.col("outcome") == "created")
-        created.select("employee_id", "idempotency_key", "payload").write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        accept(asked, held.read(held.touched(asked), before=batch_id)).write.mode("overwrite").parquet(out)
+        held.append(spark.read.parquet(out).filter(F.col("outcome") == "created"), batch_id)
+        if batch_id and batch_id % held.slots == 0:
+            held.vacuum(before=batch_id)  # earlier batches are committed
 
     return (requests.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
