@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.contract import Contract
+from tributary.operators import graph
 from tributary.operators.entity import canonical_key
 from tributary.operators.ledger import as_json
 from tributary.operators.skew import count_keys, hot_keys, salted_join
@@ -206,8 +207,8 @@ def apply_resolutions(canonical: DataFrame, resolved: DataFrame, item_members: D
     the item is about), an approval sets the proposed value, a rejection
     rejects the record. Records that failed checks or were refused by the
     target re-enter as ``ready``; other items leave the status alone.
-    ``value = 'merge'`` on a near duplicate drops all but the first key of
-    the group. Each record gets at most one value per field.
+    ``value = 'merge'`` on a near duplicate folds its records into one (see
+    ``merge_records``). Each record gets at most one value per field.
     """
     decided = resolved.filter((F.col("status") == "resolved") & ~F.col("type").isin(*COLUMN_LEVEL))
     field = F.coalesce("field", F.get_json_object("context", "$.field"))
@@ -226,16 +227,60 @@ def apply_resolutions(canonical: DataFrame, resolved: DataFrame, item_members: D
     outcome = facts.groupBy("run_id", "canonical_key").agg(
         F.max(F.col("action") == "reject").alias("_rejected"),
         F.count_if((F.col("action") != "reject") & F.col("type").isin(*REENTERING)).alias("_accepted"))
-    merges = facts.filter((F.col("type") == "NEAR_DUPLICATE_RECORD") & (F.col("value") == "merge"))
-    first = merges.groupBy("run_id", "group_key").agg(F.min("canonical_key").alias("_keep"))
-    merged_away = (salted_join(merges, first, group, hot, "canonical_key").filter(F.col("canonical_key") != F.col("_keep"))
-                   .select("run_id", "canonical_key").distinct())
     key = ["run_id", "canonical_key"]
-    out = canonical.join(merged_away, key, "left_anti").join(values, key, "left").join(outcome, key, "left")
+    out = canonical.join(values, key, "left").join(outcome, key, "left")
     cells = [F.coalesce(F.element_at("_values", F.lit(n)), F.col(n)).alias(n) for n in contract.names]
     status = F.when(F.col("_rejected"), "rejected").when(F.col("_accepted") > 0, "ready").otherwise(F.col("status"))
     rest = [c for c in canonical.columns if c not in (*key, *contract.names, "status")]
-    return out.select(*key, *cells, status.alias("status"), *rest)
+    if "provenance" in rest:
+        said = F.transform_values(F.coalesce("_values", F.create_map().cast("map<string,string>")), lambda k, v: F.lit("review"))
+        rest[rest.index("provenance")] = F.map_concat(F.map_filter("provenance", lambda k, v: ~F.map_contains_key(said, k)), said).alias("provenance")
+    overlaid = out.select(*key, *cells, status.alias("status"), *rest)
+    return merge_records(overlaid, merge_groups(resolved, item_members), contract).select(*canonical.columns)
+
+
+def merge_groups(resolved: DataFrame, item_members: DataFrame) -> DataFrame:
+    """(run_id, canonical_key, keep): records that decisions put together, and the first key of those that hang together.
+
+    Groups overlap: whoever merges a with b and b with c has merged all three.
+    """
+    group = ["run_id", "group_key"]
+    decided = resolved.filter((F.col("status") == "resolved") & (F.col("type") == "NEAR_DUPLICATE_RECORD") & (F.col("value") == "merge") & (F.col("action") != "reject"))
+    hot = hot_keys(decided, group, "affected_count")
+    members_of = salted_join(item_members, decided.select(*group), group, hot, "affected_id").select(
+        *group, F.struct("run_id", canonical_key(F.col("affected_id")).alias("canonical_key")).alias("node"))
+    first = members_of.groupBy(*group).agg(F.min("node").alias("first"))
+    pairs = salted_join(members_of, first, group, hot, "node").select("node", "first")
+    return graph.connected(pairs, "node", "first").select("node.run_id", "node.canonical_key", F.col("group.canonical_key").alias("keep"))
+
+
+def merge_records(records: DataFrame, groups: DataFrame, contract: Contract) -> DataFrame:
+    """Each group's records as one: that of its first key present, whose blanks are filled from the others in the order of their keys.
+
+    Provenance goes with the values, row counts add up; everything else is the
+    first record's. Each field is one minimum, combined before the shuffle.
+    """
+    key = ["run_id", "canonical_key"]
+    rest = [c for c in records.columns if c not in (*key, *contract.names, "provenance", "row_count")]
+    placed = records.join(groups, key, "left")
+    alone = placed.filter("keep IS NULL").drop("keep")
+    origin = {n: F.element_at("provenance", F.lit(n)) if "provenance" in records.columns else F.lit(None).cast("string") for n in contract.names}
+    cells = [F.min(F.when(F.trim(F.col(n)) != "", F.struct("canonical_key", F.col(n).alias("value"), origin[n].alias("origin")))).alias(f"_{n}") for n in contract.names]
+    counts = [F.sum("row_count").alias("row_count")] if "row_count" in records.columns else []
+    folded = placed.filter("keep IS NOT NULL").groupBy("run_id", "keep").agg(
+        F.min("canonical_key").alias("canonical_key"), *cells, *counts, F.min_by(F.struct(*rest), "canonical_key").alias("_rest"))
+    out = [*key, *[F.col(f"_{n}.value").alias(n) for n in contract.names], *[F.col(f"_rest.{c}").alias(c) for c in rest]]
+    if "provenance" in records.columns:
+        known = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"_{n}.origin").alias("value")) for n in contract.names]), lambda e: e["value"].isNotNull())
+        out.append(F.map_from_entries(known).alias("provenance"))
+    if counts:
+        out.append(F.col("row_count"))
+    return alone.select(*records.columns).unionByName(folded.select(*out).select(*records.columns))
+
+
+def merged_by_people(groups: DataFrame) -> DataFrame:
+    """(run_id, canonical_key, merged_key): which record took which one up, for the ledger."""
+    return groups.filter(F.col("canonical_key") != F.col("keep")).select("run_id", F.col("keep").alias("canonical_key"), F.col("canonical_key").alias("merged_key"))
 
 
 def withheld_keys(item_rows: DataFrame, item_members: DataFrame) -> DataFrame:

@@ -127,25 +127,45 @@ def record_resolutions(items: DataFrame) -> DataFrame:
                 .filter(F.col("action").isNotNull())
 
 
-@query("apply_resolutions", o.with_blocks("""
-SELECT c.run_id, c.canonical_key, CASE WHEN v.field = 'email' THEN lower(c.canonical_key) || '@fixed.example.com' ELSE c.email END AS email,
+# Records that merge decisions put together, closed over shared records, and the key that stays.
+o.block("merge_groups", """
+WITH RECURSIVE members AS MATERIALIZED (
+  SELECT DISTINCT date_of_birth || '_' || name_a || '_' || name_b AS g, canonical_key AS k FROM near_dups JOIN persons ON block = date_of_birth AND name IN (name_a, name_b)),
+edges AS MATERIALIZED (SELECT DISTINCT a.k AS a, b.k AS b FROM members a JOIN members b USING (g)),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT a AS canonical_key, min(b) AS keep FROM reach GROUP BY a""", "near_dups", "persons")
+o.block("decided_records", """
+SELECT c.canonical_key, coalesce(g.keep, c.canonical_key) AS keep, c.first_name, c.last_name, c.phone, c.department,
+       CASE WHEN v.field = 'email' THEN lower(c.canonical_key) || '@fixed.example.com' ELSE c.email END AS email,
        CASE WHEN v.field = 'employment_status' THEN 'On Leave' ELSE c.employment_status END AS employment_status,
-       coalesce(s.kept_value, c.salary) AS salary,
+       coalesce(s.kept_value, c.salary) AS salary, c.row_count,
        CASE WHEN v.field = 'salary' THEN 'rejected' WHEN v.field IN ('email', 'employment_status') THEN 'ready' ELSE c.status END AS status
 FROM canonical c
 LEFT JOIN (SELECT canonical_key, CASE WHEN len(errors) = 1 THEN split_part(errors[1], ':', 2) END AS field FROM canonical WHERE outcome = 'quarantined') v
        ON v.canonical_key = c.canonical_key
 LEFT JOIN (SELECT * FROM sensitive_conflicts WHERE field = 'salary') s ON s.canonical_key = c.canonical_key
-WHERE c.canonical_key NOT IN (
-  SELECT canonical_key FROM (SELECT canonical_key, min(canonical_key) OVER (PARTITION BY date_of_birth, name_a, name_b) AS keep
-                             FROM near_dups JOIN persons ON block = date_of_birth AND name IN (name_a, name_b)) WHERE canonical_key <> keep)
-""", "canonical", "sensitive_conflicts", "near_dups", "persons"))
+LEFT JOIN merge_groups g ON g.canonical_key = c.canonical_key""", "canonical", "sensitive_conflicts", "merge_groups")
+
+
+@query("apply_resolutions", o.with_blocks("""
+SELECT 'run_0' AS run_id, keep AS canonical_key, """ + ", ".join(
+    f"arg_min({f}, canonical_key) FILTER ({f} IS NOT NULL) AS {f}" for f in ("email", "phone", "department", "employment_status", "salary")) + """,
+       arg_min(status, canonical_key) AS status, sum(row_count)::BIGINT AS row_count
+FROM decided_records GROUP BY keep""", "decided_records"))
 def apply_resolutions(spark, sf):
     found, canonical = record_findings(spark, sf)
     items = review.items(found)
     resolved = review.resolve(items, record_resolutions(items))
     return review.apply_resolutions(canonical, resolved, review.members(found), b.CONTRACT).select(
-        "run_id", "canonical_key", "email", "employment_status", "salary", "status")
+        "run_id", "canonical_key", "email", "phone", "department", "employment_status", "salary", "status", "row_count")
+
+
+@query("human_merges", o.with_blocks(
+    "SELECT 'run_0' AS run_id, keep AS canonical_key, canonical_key AS merged_key FROM merge_groups WHERE canonical_key <> keep", "merge_groups"))
+def human_merges(spark, sf):
+    found, _ = record_findings(spark, sf)
+    items = review.items(found)
+    return review.merged_by_people(review.merge_groups(review.resolve(items, record_resolutions(items)), review.members(found)))
 
 
 @query("withheld_records", o.with_blocks(
