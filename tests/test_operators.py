@@ -486,3 +486,20 @@ def test_export_keys_of_many_customers_stay_apart(spark):
         assert rows.count() == rows.select("row_num").distinct().count()
     ids = [r["emp_no"] for r in spark.sql(bridge.SRC_A.replace("FROM customer", f"FROM {keys}")).collect()]
     assert len(set(ids)) == 8 and {"E000001", "E1499999", "E97000012"} <= set(ids)
+
+
+def test_delivery_events_tell_what_happened(spark):
+    codes = {"a": [503, 201], "b": [422], "c": [503, 503, 503], "d": [503, 503, 503], "e": [201], "f": [503, 503, 503], "g": [201]}
+    rows, n = [], 0
+    for record, tries in codes.items():
+        for attempt, code in enumerate(tries, 1):
+            rows.append((n := n + 1, "r", record, attempt, code))
+    rows.append((99, "other", "a", 1, 201))
+    df = spark.createDataFrame(rows, "id long, run_id string, record_id string, attempt int, http_status int")
+    made = ledger.number_events(delivery.delivery_events(df, "r", limit=2, batch_size=3)).collect()
+    told = sorted((r.type, r.entity_id, r.field) for r in made)
+    assert [t for t in told if t[0] in ("PUSH_SUCCEEDED", "PUSH_FAILED", "BATCH_ROLLED_BACK")] == [
+        ("PUSH_FAILED", "b", None), ("PUSH_FAILED", "c", None), ("PUSH_FAILED", "d", None), ("PUSH_SUCCEEDED", "a", None)]
+    assert ("PUSH_RETRIED", "a", "1") in told and sum(t[0] == "PUSH_ATTEMPT" for t in told) == 9 and sum(t[0] == "PUSH_RETRIED" for t in told) == 5
+    rolled = ledger.number_events(delivery.delivery_events(df, "r", limit=2, batch_size=4)).filter("type = 'BATCH_ROLLED_BACK'").collect()
+    assert [(r.entity_id, r.after, r.actor) for r in rolled] == [("0", "1", "system")]

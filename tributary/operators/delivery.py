@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tributary.operators.ordering import CHUNK, POS, ROW, carry_in, number_rows
 from tributary.operators.review import findings
 from tributary.operators.skew import hot_keys, salted_join
-from tributary.operators.ledger import as_json
+from tributary.operators.ledger import as_json, events
 from tributary.session import materialize
 
 SUCCESS_CODES = (200, 201)
@@ -177,6 +177,29 @@ def rejected_findings(statuses: DataFrame, run_id: str, missing_id_codes: tuple[
                          canonical_value=F.when(missing, suggested_id(F.col("record_id")))))
 
 
+def delivery_events(attempts: DataFrame, run_id: str, limit: int = 3, batch_size: int = 10, max_retries: int = 3) -> list[DataFrame]:
+    """The run's delivery as ledger events: each attempt, each wait, how each record ended, and the batch an outage rolls back.
+
+    What comes after the deciding attempt of a record, or after the outage, did not happen.
+    """
+    mine = attempts.filter(F.col("run_id") == run_id)
+    final = materialize(compensate(outage_scan(attempt_status(mine), limit, batch_size)), "delivered").filter("final_status <> 'not_attempted'")
+    record = F.col("record_id").cast("string")
+
+    def emit(rows: DataFrame, type: str, actor: str = "agent", entity: Column = record, **parts) -> DataFrame:
+        return events(rows, run_id=run_id, stage="push", type=type, actor=actor, entity_type="record", entity_id=entity, **parts)
+
+    counts = final.withColumn("n", F.col("attempts_used"))
+    hot = hot_keys(counts, ["record_id"])  # the attempts of a record are few, but the log does not say so
+    made = salted_join(backoff(mine, max_retries=max_retries), final.select("record_id", "attempts_used"), ["record_id"], hot, "id").filter("attempt <= attempts_used")
+    rolled = final.filter("final_status = 'rolled_back'").groupBy("run_id", "batch").agg(F.count(F.lit(1)).alias("n"))
+    return [emit(made, "PUSH_ATTEMPT", field=F.col("attempt")),
+            emit(made.filter("wait_s IS NOT NULL AND attempt < attempts_used"), "PUSH_RETRIED", field=F.col("attempt"), reason=F.concat(F.lit("HTTP "), F.col("http_status")), score=F.col("wait_s")),
+            emit(final.filter("status = 'pushed'"), "PUSH_SUCCEEDED", reason=F.concat(F.lit("HTTP "), F.col("http_status"))),
+            emit(final.filter("status IN ('rejected', 'failed')"), "PUSH_FAILED", reason=F.concat(F.lit("HTTP "), F.col("http_status"))),
+            emit(rolled, "BATCH_ROLLED_BACK", "system", F.col("batch").cast("string"), after=F.col("n"))]
+
+
 def save_canonical(valid: DataFrame, run_id: str, path: str) -> None:
     """Store a run's records as ``ready`` in the run's own partition, replacing what an earlier try left, even by nothing."""
     name = re.sub(r"""["#%'*/:=?\\{\[\]^\x00-\x1f\x7f]""", lambda m: f"%{ord(m[0]):02X}", run_id)

@@ -21,7 +21,7 @@ EVENT_TYPES = (
     "CIRCUIT_BREAKER_TRIPPED", "RUN_COMPLETED",
 )
 ACTORS = ("agent", "rule", "human", "system")
-STAGES = ("run", "ingest", "profile", "mapping", "normalize", "reconcile", "validate", "escalation", "rules", "push")
+STAGES = ("run", "ingest", "profile", "mapping", "normalize", "reconcile", "validate", "escalation", "rules", "push", "complete")
 
 
 def _text(value) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.operators import delivery, review
+from tributary.operators import delivery, ledger, review
 from tributary.plans import oracle as o
 from tributary.plans.registry import query
+from tributary.session import scratch_path
 from tributary.sources import bridge as b
+from tributary.streaming import tail
 
 _PAYLOAD = ["o_custkey", "o_orderpriority", "o_orderstatus"]
 _KEY_SQL = ("sha256(CAST({key} AS VARCHAR) || ':' || CAST(to_json({{'o_custkey': CAST(o_custkey AS VARCHAR), "
@@ -136,3 +138,32 @@ def rejected_items(spark, sf):
     found = delivery.rejected_findings(delivery.attempt_status(b.attempts(spark, sf)), "run_0", missing_id_codes=(422,))
     return review.items(found).select("group_key", "type", "affected_count",
                                       F.get_json_object("proposal", "$.canonical_value").alias("suggested_id"))
+
+
+@query("delivery_ledger", o.with_blocks("""
+WITH ends AS (SELECT * FROM final_statuses WHERE run_id = 'run_0' AND final_status <> 'not_attempted'),
+made AS (SELECT a.*, e.attempts_used FROM attempts a JOIN ends e USING (run_id, record_id) WHERE a.attempt <= e.attempts_used)
+SELECT 'PUSH_ATTEMPT' AS type, 'agent' AS actor, record_id::VARCHAR AS entity_id, attempt::VARCHAR AS field, NULL AS reason FROM made
+UNION ALL SELECT 'PUSH_RETRIED', 'agent', record_id::VARCHAR, attempt::VARCHAR, 'HTTP ' || http_status FROM made WHERE http_status >= 500 AND attempt < 3 AND attempt < attempts_used
+UNION ALL SELECT CASE status WHEN 'pushed' THEN 'PUSH_SUCCEEDED' ELSE 'PUSH_FAILED' END, 'agent', record_id::VARCHAR, NULL, 'HTTP ' || http_status FROM ends
+UNION ALL SELECT DISTINCT 'BATCH_ROLLED_BACK', 'system', batch::VARCHAR, NULL, NULL FROM ends WHERE final_status = 'rolled_back'""".replace("WITH ends", "SELECT * FROM (WITH ends") + ")",
+    "final_statuses", "attempts"))
+def delivery_ledger(spark, sf):
+    return ledger.number_events(delivery.delivery_events(b.attempts(spark, sf), "run_0")).select("type", "actor", "entity_id", "field", "reason")
+
+
+@query("delivery_stream", o.with_blocks("SELECT request_seq, employee_id, outcome FROM answers", "answers"))
+def delivery_stream(spark, sf):
+    """All requests in four files one after the other; each is answered when it comes, from the store that the earlier ones left."""
+    orders = _orders_as_text(spark, sf)
+    requests = orders.select(
+        F.col("o_orderkey").alias("request_seq"), F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("E"), "o_custkey")).alias("employee_id"),
+        delivery.idempotency_key(F.col("o_custkey"), _PAYLOAD).alias("idempotency_key"), F.col("o_orderstatus").alias("payload"))
+    last = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    base = scratch_path(spark, "delivery")
+    for part in range(4):
+        mine = F.floor(F.col("request_seq") * 4 / (last + 1)) == part
+        requests.filter(mine).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(requests.schema).parquet(f"{base}/in")
+        tail.deliver(stream, f"{base}/store", f"{base}/answers", f"{base}/progress", parts=16).awaitTermination()
+    return spark.read.parquet(f"{base}/answers").select("request_seq", "employee_id", "outcome")

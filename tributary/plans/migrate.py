@@ -1,4 +1,4 @@
-"""A whole migration as one function of sources, contract, rules and resolutions."""
+"""A whole migration as one function of sources, contract and rules; ``resume`` applies decisions to a saved one."""
 
 from __future__ import annotations
 
@@ -89,15 +89,7 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
     merged = materialize(entity.merge(staged, links, contract, precedence), "merged")
 
     unrecognized = staging.unrecognized_enums(staged, contract)
-    excused = merged
-    if options.excuse_reviewed_enums:
-        # A value that already has its own item is not reported again on the record.
-        fields = unrecognized.join(links, "seq").select("entity_seq", "field").distinct()
-        under_review = fields.groupBy("entity_seq").agg(F.collect_set("field").alias("_excused"))
-        excused = merged.join(under_review, "entity_seq", "left")
-    checked = quality.ladder(excused, contract, check_dates=options.check_dates, check_phones=options.check_phones,
-                             excused_enums=F.col("_excused") if options.excuse_reviewed_enums else None)
-    checked = materialize(checked, "checked")
+    checked = materialize(check_records(unrecognized, links, merged, contract, options), "checked")
 
     conflicts = entity.conflicts(staged, links, merged, contract)
     sensitive = entity.sensitive_conflicts(staged, links, merged, contract)
@@ -130,7 +122,19 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
         items=items, members=members, breaker=tripped, gate=gate,
         rule_applications=applications,
         events=_events(run, sources, profiles, decisions, orders, applications,
-                       entity.merge_events(staged, links, merged), conflicts, checked, items))
+                       entity.merge_events(staged, links, merged), conflicts, checked, items, gate, tripped))
+
+
+def check_records(unrecognized: DataFrame, links: DataFrame, merged: DataFrame, contract: Contract, options: Options) -> DataFrame:
+    """Merged entities with repairs, errors and outcome."""
+    excused = merged
+    if options.excuse_reviewed_enums:
+        # A value that already has its own item is not reported again on the record.
+        fields = unrecognized.join(links, "seq").select("entity_seq", "field").distinct()
+        under_review = fields.groupBy("entity_seq").agg(F.collect_set("field").alias("_excused"))
+        excused = merged.join(under_review, "entity_seq", "left")
+    return quality.ladder(excused, contract, check_dates=options.check_dates, check_phones=options.check_phones,
+                          excused_enums=F.col("_excused") if options.excuse_reviewed_enums else None).drop("_excused")
 
 
 def _applications(decisions, orders, sources, plan, contract, rules) -> DataFrame:
@@ -154,12 +158,15 @@ def _applications(decisions, orders, sources, plan, contract, rules) -> DataFram
     return used
 
 
-def _events(run, sources, profiles, decisions, orders, applications, merges, conflicts, checked, items) -> list[DataFrame]:
+def _events(run, sources, profiles, decisions, orders, applications, merges, conflicts, checked, items, gate, tripped) -> list[DataFrame]:
     def emit(df, stage, type, actor="agent", **parts):
         return ledger.events(df, run_id=run, stage=stage, type=type, actor=actor, **parts)
 
     column = F.concat_ws(":", "source", "column")
-    out = []
+    out = [emit(gate, "run", "RUN_STARTED", entity_type="run", entity_id=run, after=ledger.as_json(sources=F.lit(",".join(sources)))),
+           emit(tripped.filter("tripped"), "escalation", "CIRCUIT_BREAKER_TRIPPED", "system", entity_type="run", entity_id=run,
+                after=ledger.as_json(groups=F.col("group_count"), affected_ratio=F.col("affected_ratio"))),
+           emit(gate.filter("run_status = 'completed'"), "complete", "RUN_COMPLETED", entity_type="run", entity_id=run)]
     for name, df in sources.items():
         counted = df.agg(F.count(F.lit(1)).alias("n"))
         out.append(emit(counted, "ingest", "FILE_INGESTED", entity_type="file", entity_id=name,

@@ -19,6 +19,10 @@ def block(name: str, sql: str, *needs: str) -> None:
     _BLOCKS[name] = (needs, sql)
 
 
+def sql_of(name: str) -> str:
+    return _BLOCKS[name][1]
+
+
 def with_blocks(select: str, *names: str) -> str:
     """``WITH`` all named blocks and what they depend on, then the select."""
     ordered: list[str] = []
@@ -30,7 +34,7 @@ def with_blocks(select: str, *names: str) -> str:
             ordered.append(n)
     for n in names:
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({_BLOCKS[n][1]})" for n in ordered) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_BLOCKS[n][1]})" for n in ordered) + "\n" + select
 
 
 def quoted(text) -> str:

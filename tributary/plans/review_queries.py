@@ -10,8 +10,9 @@ from tributary.operators.ordering import ROW, number_rows
 from tributary.plans import oracle as o
 from tributary.plans.migrate import Options, migrate
 from tributary.plans.registry import query
+from tributary.plans.resume import Resumed, SavedRun, resume, save
 from tributary.plans.source_queries import export_date_orders, export_profiles
-from tributary.session import materialize
+from tributary.session import materialize, scratch_path
 from tributary.sources import bridge as b
 
 RUN, CLIENT = "run_0", "client"
@@ -327,3 +328,64 @@ FROM (SELECT type, count(*) FILTER (WHERE run_id = 'run_0') AS first_items, coun
       FROM ledger WHERE run_id IN ('run_0', 'run_1') GROUP BY type)""", "ledger"))
 def run_delta(spark, sf):
     return rules.run_delta(b.ledger(spark, sf), "run_0", "run_1")
+
+
+# -- a run taken up again ----------------------------------------------------------------------
+
+# The staged rows as the remembered decisions leave them: two enum values learned, the payroll dates month first.
+o.block("staged_again", """
+SELECT s.* REPLACE (CASE WHEN upper(employment_status) = 'LOA' THEN 'On Leave' ELSE employment_status END AS employment_status,
+                    CASE WHEN upper(department) = 'TECH' THEN 'MACHINERY' ELSE department END AS department,
+                    CASE WHEN s.source = 'src_b' THEN strftime(try_strptime(b.doj, '%m/%d/%Y'), '%Y-%m-%d') ELSE hire_date END AS hire_date)
+FROM staged s LEFT JOIN src_b b ON s.source = 'src_b' AND b.row_num = s.row_num""", "staged", "src_b")
+for _name, _of, _more in (("merged", "staged", ("links", "identity")), ("checked", "merged", ()), ("canonical", "checked", ())):
+    o.block(f"{_name}_again", o.sql_of(_name).replace(f"FROM {_of}", f"FROM {_of}_again"), f"{_of}_again", *_more)
+o.block("decided_again", o.sql_of("decided_records").replace("FROM canonical c", "FROM canonical_again c").replace("c.first_name", "c.hire_date, c.first_name"),
+        "canonical", "canonical_again", "sensitive_conflicts", "merge_groups")
+
+
+def resumed_run(spark, sf) -> Resumed:
+    """A saved run whose items, all but the one about mapping, were decided."""
+    options = Options(run_id=RUN, client_id=CLIENT, precedence=tuple(b.PRECEDENCE), default_date_order=b.DATE_ORDER, excuse_reviewed_enums=False)
+    exports = b.exports(spark, sf)
+    run = migrate(exports, b.CONTRACT, options=options)
+    saved = SavedRun(spark, scratch_path(spark, "saved"))
+    save(run, saved.path, RUN)
+    columns = column_resolutions(run.items.filter(F.col("type").isin("ENUM_VALUE_AMBIGUOUS", "DATE_FORMAT_AMBIGUOUS"))).join(
+        run.items.select("run_id", "group_key", "type"), ["run_id", "group_key"])
+    dated = F.col("type") == "DATE_FORMAT_AMBIGUOUS"
+    columns = columns.withColumns({"action": F.when(dated, "correct").otherwise(F.col("action")), "value": F.when(dated, "MDY").otherwise(F.col("value"))}).drop("type")
+    said = materialize(columns.unionByName(record_resolutions(run.items)), "said")
+    return resume(saved, said, b.CONTRACT, exports, options)
+
+
+_AGAIN = ("email", "phone", "department", "employment_status", "hire_date", "salary")
+
+
+@query("resumed_records", o.with_blocks("SELECT keep AS canonical_key, " + ", ".join(
+    f"arg_min({f}, canonical_key) FILTER ({f} IS NOT NULL) AS {f}" for f in _AGAIN) + """,
+       arg_min(status, canonical_key) AS status, sum(row_count)::BIGINT AS row_count
+FROM decided_again GROUP BY keep""", "decided_again"))
+def resumed_records(spark, sf):
+    return resumed_run(spark, sf).run.records().select("canonical_key", *_AGAIN, "status", "row_count")
+
+
+@query("run_ledger", o.with_blocks("""
+WITH items AS MATERIALIZED (SELECT DISTINCT type, group_key, affected_id FROM all_findings),
+failed AS (SELECT canonical_key, CASE WHEN len(errors) = 1 THEN split_part(errors[1], ':', 2) END AS field FROM canonical WHERE outcome = 'quarantined')
+SELECT 'escalation' AS stage, 'HUMAN_RESOLVED' AS type, 'human' AS actor, group_key AS entity_id, NULL AS field, NULL AS before, NULL AS after
+FROM (SELECT DISTINCT type, group_key, CASE WHEN type = 'VALIDATION_FAILED_TWICE' THEN affected_id END AS k FROM items) i LEFT JOIN failed ON k = canonical_key
+WHERE type IN ('ENUM_VALUE_AMBIGUOUS', 'DATE_FORMAT_AMBIGUOUS', 'SENSITIVE_FIELD_CONFLICT', 'NEAR_DUPLICATE_RECORD') OR field IN ('email', 'employment_status', 'salary')
+UNION ALL SELECT DISTINCT 'rules', 'RULE_CREATED', 'human', CASE type WHEN 'ENUM_VALUE_AMBIGUOUS' THEN substr(group_key, 6) ELSE affected_id END,
+       CASE type WHEN 'ENUM_VALUE_AMBIGUOUS' THEN 'enum_value' ELSE 'date_format' END, NULL, NULL
+FROM items WHERE type IN ('ENUM_VALUE_AMBIGUOUS', 'DATE_FORMAT_AMBIGUOUS')
+UNION ALL SELECT 'normalize', 'VALUE_NORMALIZED', 'rule', s.seq::VARCHAR, field, before, after FROM staged s JOIN staged_again a USING (seq), LATERAL (
+  SELECT unnest(['department', 'employment_status', 'hire_date']) AS field, unnest([s.department, s.employment_status, s.hire_date]) AS before,
+         unnest([a.department, a.employment_status, a.hire_date]) AS after) WHERE before IS DISTINCT FROM after
+UNION ALL SELECT 'reconcile', 'RECORDS_MERGED', 'human', keep, NULL, canonical_key, NULL FROM merge_groups WHERE canonical_key <> keep""".replace("WITH items", "SELECT * FROM (WITH items") + ")",
+    "all_findings", "canonical", "staged", "staged_again", "merge_groups"))
+def run_ledger(spark, sf):
+    """What a resume adds to the ledger."""
+    done = resumed_run(spark, sf)
+    told = F.col("type").isin("VALUE_NORMALIZED", "RECORDS_MERGED")
+    return done.ledger(1).select("stage", "type", "actor", "entity_id", "field", F.when(told, F.col("before")).alias("before"), F.when(told, F.col("after")).alias("after"))
