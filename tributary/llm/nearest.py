@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from tributary.llm.common import materialize
 
 QUERIES, CANDIDATES = 1024, 4096  # vectors of a block
+LEAST, MOST = 1e-280, 1e280  # products of two vectors' largest components between which double precision follows the bounds
 SLACK = 1e-9  # rounding of the bounds themselves, relative to the lengths of the two vectors
 
 
@@ -87,9 +88,13 @@ def products(q: Block, c: Block) -> tuple[np.ndarray, np.ndarray]:
 def survivors(q: Block, c: Block, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, candidate number, exact score) of all pairs that may be among a query's k best; floor: scores already beaten k times."""
     about, off = products(q, c)
-    scale = np.outer(q.scales, c.scales)
-    about *= scale
-    off *= scale
+    with np.errstate(over="ignore", under="ignore"):
+        scale = np.outer(q.scales, c.scales)
+        about *= scale
+        off *= scale
+    # where double precision may overflow or vanish, its scores do not follow the bounds: such pairs bound nothing and all survive
+    wild = ~((scale > LEAST) & (scale < MOST))
+    about[wild], off[wild] = 0, np.inf
     low = np.where(q.ids[:, None] == c.ids[None, :], -np.inf, about - off)  # a vector is no candidate of its own
     if low.shape[1] >= k:
         floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
@@ -97,7 +102,8 @@ def survivors(q: Block, c: Block, k: int, floor: np.ndarray) -> tuple[np.ndarray
     exact = np.empty(len(i))
     for at in range(0, len(i), 1 << 15):
         s = slice(at, at + (1 << 15))
-        exact[s] = np.cumsum(q.x[i[s]] * c.x[j[s]], axis=1)[:, -1]  # added in the order of the components
+        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+            exact[s] = np.cumsum(q.x[i[s]] * c.x[j[s]], axis=1)[:, -1]  # added in the order of the components
     return i, j, exact
 
 
@@ -110,7 +116,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, key: str = "v
     fewer than k candidates all are returned. Of equal vectors only the k + 1
     with the smallest keys can be among the best, so of a large group of copies
     no more are compared; that is exact. Repeated keys with equal vectors count
-    once.
+    once. Scores are those of double precision: where components are so large
+    that it overflows they are infinite, or not a number, which ranks first.
     """
     found = usable(candidates, key, vector).distinct()
     same = Window.partitionBy("v").orderBy("id")
@@ -125,7 +132,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, key: str = "v
     tiles = q.join(c.hint("shuffle_hash"), ["g", "dim"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {}
+        best: dict[int, list[tuple[bool, float, int]]] = {}
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {n: batch.column(n)[at].as_py() for n in batch.schema.names}
@@ -135,18 +142,19 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 20, key: str = "v
                     best = {}
         yield out(best)
 
-    def tile(q: Block, c: Block, best: dict[int, list[tuple[float, int]]]) -> None:
-        floor = np.array([best[i][0][0] if len(best.get(i, ())) == k else -np.inf for i in q.ids.tolist()])
+    def tile(q: Block, c: Block, best: dict[int, list[tuple[bool, float, int]]]) -> None:
+        floor = np.array([best[i][0][1] if len(best.get(i, ())) == k else -np.inf for i in q.ids.tolist()])
         i, j, exact = survivors(q, c, k, floor)
         for a, other, score in zip(q.ids[i].tolist(), (-c.ids[j]).tolist(), exact.tolist()):
             heap = best.setdefault(a, [])
+            found = (True, np.inf, other) if score != score else (False, score, other)
             if len(heap) < k:
-                heapq.heappush(heap, (score, other))
-            elif (score, other) > heap[0]:
-                heapq.heapreplace(heap, (score, other))
+                heapq.heappush(heap, found)
+            elif found > heap[0]:
+                heapq.heapreplace(heap, found)
 
-    def out(best: dict[int, list[tuple[float, int]]]) -> pa.RecordBatch:
-        rows = [(q, -other, score) for q, heap in best.items() for score, other in heap]
+    def out(best: dict[int, list[tuple[bool, float, int]]]) -> pa.RecordBatch:
+        rows = [(q, -other, np.nan if none else score) for q, heap in best.items() for none, score, other in heap]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
                                           ["query_id", "id", "score"])
 
