@@ -81,6 +81,25 @@ def test_nearest_equals_brute_force(spark):
     assert nearest.search(table.limit(0), table, k=3).count() == 0 and nearest.search(table, table.limit(0), k=3).count() == 0
 
 
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    """Scores that overflow or vanish rank as double precision has them: not a number first, then by size, ties by key."""
+    rng = np.random.default_rng(6)
+    size = [1.0, 1e200, 1e-200, 1e150, 1e-160, 1e308]
+    rows = [(i, (rng.integers(-3, 4, 4) * size[i % 6] * rng.random(4).round(2)).tolist()) for i in range(180)]
+    rows += [(200 + i, [1e200, -1e200, 1.0, 0.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df.filter("vec_id % 5 = 0"), df, k=20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    good = {i: np.array(v) for i, v in rows if np.any(v) and np.isfinite(v).all()}
+    with np.errstate(all="ignore"):
+        for i in [i for i in good if i % 5 == 0]:
+            scores = [(j, float(np.cumsum(good[i] * v)[-1])) for j, v in good.items() if j != i]
+            want = sorted(scores, key=lambda x: (not math.isnan(x[1]), 0 if math.isnan(x[1]) else -x[1], x[0]))[:20]
+            assert [(r, j, str(s)) for r, j, s in sorted(got[i])] == [(n + 1, j, str(s)) for n, (j, s) in enumerate(want)]
+    assert set(got) == {i for i in good if i % 5 == 0}
+
+
 def test_mixing_meets_its_targets(make_docs):
     sizes = {"a": 300, "b": 60, "c": 20, None: 5}
     rows = [(i, "w " * (1 + i % 7), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))] + [(900, "", "empty"), (None, "w w", "a"), (900, None, "a")]
@@ -128,11 +147,32 @@ def test_elias_fano():
         for top in (0, 7, 10 ** 9):
             values = np.sort(rng.integers(0, top + 1, n))
             made = token_files.EliasFano.of(values)
-            assert np.array_equal(np.concatenate([np.zeros(0), *made.all(step=16)]), values)
+            assert np.array_equal(made.run(0, n), values)
+            assert all(np.array_equal(made.run(a, b), values[a:b]) for a, b in [sorted(rng.integers(0, n + 1, 2)) for _ in range(20)])
             assert all(made.select(i) == values[i] for i in range(0, n, max(1, n // 200)))
             assert n < 100 or 8 * (made.low.nbytes + made.high.nbytes) <= n * (4 + max(0, math.log2(max(top, 1) / n)))
 
 
+def test_many_small_documents_after_a_very_long_one(tmp_path, spark):
+    """The high bits of the boundaries hold a gap longer than any run that is read at once."""
+    path, n = str(tmp_path / "f.ids"), 50_000
+    long = np.arange(3_000_000, dtype="<u2").tobytes()
+    token_files.write_file(path, [([None, 5], [long, b"\1\0"]), (list(range(6, 6 + n)), [b"\2\0"] * n)], 2)
+    listed = spark.createDataFrame([(0, path, n + 2, 3_000_001 + n, 0)], "file long, path string, documents long, n_ids long, start long")
+    got = sorted(token_files.read_ids(listed).collect(), key=lambda r: r.start)
+    assert [r.n_tokens for r in got] == [3_000_000] + [1] * (n + 1) and [r.doc_id for r in got] == [None, *range(5, 6 + n)]
+    assert [r.start for r in got][:3] == [0, 3_000_000, 3_000_001]
+
+
+def test_another_vocabulary_goes_through_the_library():
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Two  spaces\nand Capitals", "", "é😀 x"]
+    encode, width = token_files._encoder(path, 2)
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(e, f"<u{width}").tolist() for e in encode([t.encode() for t in texts])] == [w.ids + [2] for w in want]
+
+
 def test_encoder_equals_the_library_on_every_text(spark):
     encode, width = token_files._encoder(TOKENIZER, 2)
     texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]

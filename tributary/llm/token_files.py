@@ -31,6 +31,7 @@ from tributary.llm.common import materialize, mounted, scratch_path, text_bytes,
 MAGIC = b"TRBIDS01"
 SAMPLE = 256
 CACHED_WORDS = 600_000
+DOCUMENTS = 4096  # read together
 
 
 class EliasFano:
@@ -71,18 +72,22 @@ class EliasFano:
         window = int.from_bytes(self.low[first // 8:(first + self.low_bits + 7) // 8].tobytes(), "little")
         return window >> first % 8 & ((1 << self.low_bits) - 1)
 
-    def all(self, step: int = 1 << 16) -> Iterator[np.ndarray]:
-        """All values, in runs."""
-        found = 0
-        for byte in range(0, len(self.high), step):
-            ones = np.flatnonzero(np.unpackbits(self.high[byte:byte + step], bitorder="little")) + byte * 8
-            i = np.arange(found, found + len(ones))
-            found += len(ones)
-            values = (ones - i).astype(np.uint64) << np.uint64(self.low_bits)
-            for bit in range(self.low_bits):
-                where = i * self.low_bits + bit
-                values |= (self.low[where // 8] >> (where % 8).astype(np.uint8) & 1).astype(np.uint64) << np.uint64(bit)
-            yield values
+    def run(self, first: int, stop: int) -> np.ndarray:
+        """Values first to stop - 1, selected together: from the sample before the first to the one after the last."""
+        if not 0 <= first <= stop <= self.n:
+            raise IndexError((first, stop))
+        if first == stop:
+            return np.zeros(0, dtype=np.uint64)
+        after = (stop - 1) // SAMPLE + 1
+        begin, end = int(self.samples[first // SAMPLE]), int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin // 8:end // 8 + 1], bitorder="little")) + begin // 8 * 8
+        skip = int(np.searchsorted(ones, begin)) + first % SAMPLE
+        i = np.arange(first, stop)
+        values = (ones[skip:skip + stop - first] - i).astype(np.uint64) << np.uint64(self.low_bits)
+        for bit in range(self.low_bits):
+            where = i * self.low_bits + bit
+            values |= (self.low[where // 8] >> (where % 8).astype(np.uint8) & 1).astype(np.uint64) << np.uint64(bit)
+        return values
 
     def parts(self) -> list[bytes]:
         return [self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()]
@@ -145,6 +150,11 @@ def write_file(path: str, rows: Iterable[tuple[list[int | None], list[bytes]]],
     return len(bounds) - 1, int(bounds[-1]), nulls, first
 
 
+# The rules, as a vocabulary file states them, under which parts between white space can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 # The pattern that splits lower-case text in the vocabulary's file, with its letters and digits limited
 # to ASCII, Latin-1 and Latin Extended-A. No character of these composes with another, and each has one lower-case form.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u0148\u014a-\u017f]+|[0-9]|[^\sa-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+")
@@ -161,6 +171,20 @@ def _byte_letters() -> list[str]:
 _encoders: dict[tuple[str, int], tuple[Callable[[list[bytes]], list[bytes]], int]] = {}
 
 
+class _Memory(dict):
+    """Results by argument, worked out when first asked for; emptied when it is full."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
 def _encoder(path: str, end_id: int) -> tuple[Callable[[list[bytes]], list[bytes]], int]:
     """(texts -> ids as little-endian bytes, bytes of an id); kept by a worker from task to task.
 
@@ -170,7 +194,8 @@ def _encoder(path: str, end_id: int) -> tuple[Callable[[list[bytes]], list[bytes
     encoded again. A new part of common Latin characters is split by the
     vocabulary's own pattern and its pieces go to the library's model, once
     each; any other part goes through the whole library. Both memories are
-    emptied when they are full.
+    emptied when they are full. All this holds for a vocabulary with the rules
+    above; whole texts of any other go through the library.
     """
     from tokenizers import Tokenizer
 
@@ -182,40 +207,36 @@ def _encoder(path: str, end_id: int) -> tuple[Callable[[list[bytes]], list[bytes
     last = np.array([end_id], dtype=kind).tobytes()
     tokenize, letters = tokenizer.model.tokenize, _byte_letters()
     special = any(not t.content.startswith("<|") for t in tokenizer.get_added_tokens_decoder().values())
-    known: dict[bytes, bytes] = {}
-    pieces: dict[str, bytes] = {}
-
     spelling = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size())]
 
-    def piece(text: str) -> bytes:
-        found = pieces.get(text)
-        if found is None:
-            if len(pieces) >= CACHED_WORDS:
-                pieces.clear()
-            spelled = text if text.isascii() else "".join(letters[b] for b in text.encode())
-            found = pieces[text] = b"".join([spelling[t.id] for t in tokenize(spelled)])
-        return found
+    def ids_of_piece(text: str) -> bytes:
+        spelled = text if text.isascii() else "".join(letters[b] for b in text.encode())
+        return b"".join([spelling[t.id] for t in tokenize(spelled)])
+
+    with open(path, encoding="utf-8") as file:
+        stated = json.load(file)
+    if (stated["normalizer"], stated["pre_tokenizer"], special) != (NORMALIZER, PRE_TOKENIZER, False):
+        def whole(texts: list[bytes]) -> list[bytes]:
+            found = tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, dtype=kind).tobytes() + last for e in found]
+
+        _encoders[path, end_id] = whole, width
+        return _encoders[path, end_id]
+
+    pieces = _Memory(ids_of_piece)
+    piece = pieces.__getitem__
+
+    def ids_of_part(part: bytes) -> bytes:
+        text = part.decode()
+        if b"<|" in part or not PLAIN.fullmatch(text):
+            return b"".join([spelling[i] for i in tokenizer.encode(text, add_special_tokens=False).ids])
+        text = text.lower()
+        return piece(text) if text.isalpha() and text.isascii() else b"".join(map(piece, PIECES.findall(text)))
 
-    def learn(parts: list[bytes]) -> None:
-        rest = []
-        for p in parts:
-            text = p.decode()
-            if not special and b"<|" not in p and PLAIN.fullmatch(text):
-                known[p] = b"".join(map(piece, PIECES.findall(text.lower())))
-            else:
-                rest.append(p)
-        for p, e in zip(rest, tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)):
-            known[p] = b"".join([spelling[i] for i in e.ids])
+    part = _Memory(ids_of_part).__getitem__
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        found = [list(map(known.get, some)) for some in parts]
-        new = {p for some, ids in zip(parts, found) if None in ids for p, i in zip(some, ids) if i is None}
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-        learn(list(new))
-        return [b"".join([*([known[p] if i is None else i for p, i in zip(some, ids)] if None in ids else ids), last])
-                for some, ids in zip(parts, found)]
+        return [b"".join([*map(part, t.split()), last]) for t in texts]
 
     _encoders[path, end_id] = encode, width
     return _encoders[path, end_id]
@@ -267,21 +288,15 @@ def read_ids(listed: DataFrame, key: str = "doc_id") -> DataFrame:
                     yield from rows(IdFile(path), start)
 
     def rows(file: IdFile, start: int) -> Iterator[pa.RecordBatch]:
-        keys = ([None] * file.null_keys, *((k.astype(np.int64) + file.first_key).tolist() for k in file.keys.all()))
-        name = (k for run in keys for k in run)
-        last = 0
-        for bounds in file.bounds.all():
-            ends = bounds.astype(np.int64)
-            if not last:
-                ends, last = ends[1:], 0
-            starts = np.concatenate(([last], ends[:-1])) if len(ends) else ends
-            if not len(ends):
-                continue
-            crc = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends)]
+        for first in range(0, len(file), DOCUMENTS):
+            stop = min(first + DOCUMENTS, len(file))
+            bounds = file.bounds.run(first, stop + 1).astype(np.int64)
+            named = file.keys.run(max(0, first - file.null_keys), max(0, stop - file.null_keys)).astype(np.int64)
+            keys = [None] * (stop - first - len(named)) + [k + file.first_key for k in named.tolist()]
+            crc = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_pydict({
-                "_key": pa.array([next(name) for _ in crc], pa.int64()), "start": pa.array(starts + start, pa.int64()),
-                "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
-            last = int(ends[-1])
+                "_key": pa.array(keys, pa.int64()), "start": pa.array(bounds[:-1] + start, pa.int64()),
+                "n_tokens": pa.array(np.diff(bounds), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     # A fixed number of parts: the list is short, so that adaptive execution would join them into one task that reads every file.
     parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
