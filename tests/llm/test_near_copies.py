@@ -84,7 +84,7 @@ def test_shared_passages(spark, make_docs, words):
             (None, " ".join(shared)), (10, " ".join(shared).upper())] + [(20 + i, " ".join(words(20, 50 + i) + words(60, 8))) for i in range(40)]
     found = [r.asDict() for r in substring_dedup.passages(make_docs(rows)).collect()]
     paired = {d for r in found for d in (r["doc_a"], r["doc_b"])}
-    assert paired == {1, 2, 3, 10, *range(20, 60)}  # one word over and over is no passage
+    assert paired == {1, 2, 3, 8, 9, 10, *range(20, 60)}  # 200 times one word stand in both 8 and 9
     text = {i: (t or "").lower().split() for i, t in rows}
     for r in found:
         assert r["doc_a"] < r["doc_b"] and r["n_words"] >= 50 and r["similarity"] >= 0.8
@@ -95,6 +95,21 @@ def test_shared_passages(spark, make_docs, words):
     assert len([r for r in found if r["doc_a"] >= 20]) <= 2 * 40  # never all pairs of those that share
 
 
+def test_rows_that_share_a_key_lend_each_other_no_passage(make_docs, words):
+    shared = words(60, 9)
+    rows = [(1, " ".join(words(2, 1) + shared)), (1, " ".join(words(70, 2))), (2, " ".join(shared)), (3, " ".join(words(90, 3)))]
+    found = substring_dedup.passages(make_docs(rows)).collect()
+    assert [(r.doc_a, r.doc_b, r.start_a, r.end_a, r.n_words) for r in found] == [(1, 2, 2, 62, 60)]
+
+
+def test_a_stretch_that_is_long_enough_is_not_hidden_by_a_better_shorter_one(make_docs, words):
+    """Twelve equal words, then every fifth replaced: 60 words agree in four fifths, the best-scored stretch is far shorter."""
+    shared = words(60, 9)
+    edited = [w if i < 12 or i % 5 else "other" for i, w in enumerate(shared)]
+    found = substring_dedup.passages(make_docs([(1, " ".join(words(30, 1) + shared + words(30, 2))), (2, " ".join(words(9, 3) + edited))])).collect()
+    assert [(r.doc_a, r.doc_b) for r in found] == [(1, 2)] and found[0].n_words >= 50 and found[0].similarity >= 0.8
+
+
 def test_chains_equal_the_quadratic_recurrence():
     rng = np.random.default_rng(2)
     for _ in range(30):

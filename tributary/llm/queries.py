@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from tributary.llm import chat_format, decontaminate, filter_audit, language_id, lm_score, merkle, mixing, nearest, oracle, quality, simhash, substring_dedup, token_files, toxicity
@@ -52,7 +52,13 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_substring_dedup")
 def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.passages(read(spark, sf_dir, "documents"))
+    """Each passage twice, once from either document's side."""
+    def side(a: str, b: str) -> Column:
+        return F.struct(*[F.col(f"{c}_{x}").alias(n) for x, names in ((a, ("doc_id", "start", "end")), (b, ("other_id", "other_start", "other_end")))
+                          for c, n in zip(("doc", "start", "end"), names)], "n_words", "similarity")
+
+    found = substring_dedup.passages(read(spark, sf_dir, "documents"))
+    return found.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s")).select("s.*")
 
 
 @query("op3_decontamination", oracle.decontamination(decontaminate.MASKS, decontaminate.MIN_WORDS, decontaminate.SIMILARITY,
