@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tributary.functions import dates, text
-from tributary.operators import fuzzy, mapping, profile, staging
+from tributary.operators import fuzzy, mapping, profile, sketches, staging
 from tributary.plans import oracle as o
 from tributary.plans.registry import query
 from tributary.session import scratch_path
@@ -295,3 +295,21 @@ SELECT field, value, canonical, word, round(similarity, 4) AS similarity FROM be
 def enum_fuzzy(spark, sf):
     typed, words = (b.view(spark, sf, sql, "part") for sql in (_TYPED, _PRODUCTS))
     return fuzzy.closest_words(typed.select("field", "value"), words).withColumn("similarity", F.round("similarity", 4))
+
+
+@query("profile_sketches", o.with_blocks("""
+SELECT source, col AS "column", total_count, non_null_count, inferred_type, true AS distinct_is_near,
+       CASE WHEN non_null_count > 0 THEN round(1.0 - non_null_count / total_count::DOUBLE, 3) ELSE 1.0 END AS null_rate
+FROM table_profiles WHERE source IN ('customer', 'orders')""", "table_profiles"))
+def profile_sketches(spark, sf):
+    """Profiles merged from sketches of the table files; the estimate of the distinct values is held against their number."""
+    store = scratch_path(spark, "sketches")
+    tables = ("customer", "orders")
+    for name in tables:
+        sketches.load(spark, f"{sf.rstrip('/')}/{name}.parquet", name, "parquet", store)
+        sketches.load(spark, f"{sf.rstrip('/')}/{name}.parquet", name, "parquet", store)  # nothing new
+    made = sketches.profiles(spark, store)
+    cells = profile.all_cells([d for t, d in zip(_TABLES, tables_as_sources(spark, sf)) if t in tables])
+    counted = profile.column_stats(profile.value_counts(cells)).select("source", "column", F.col("distinct_count").alias("counted"))
+    near = F.abs(F.col("distinct_count") - F.col("counted")) <= 0.05 * F.col("counted")
+    return made.join(counted, ["source", "column"]).select("source", "column", "total_count", "non_null_count", "inferred_type", near.alias("distinct_is_near"), "null_rate")
