@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tributary.operators.ordering import ROW, number_rows
+from tributary.session import materialize
 
 LEDGER_SCHEMA = (
     "id long, run_id string, ts timestamp, stage string, type string, actor string, entity_type string, "
@@ -74,6 +77,53 @@ def append(ledger_events: DataFrame, path: str) -> None:
     ledger_events.write.mode("append").partitionBy("run_id").parquet(path)
 
 
+_INDEX = "run_id string, file string, min_id long, max_id long, n long"
+
+
+def append_clustered(ledger_events: DataFrame, path: str, events_per_file: int = 1_000_000) -> None:
+    """Add events in files that each hold a range of a run's ids, and list these files with their ranges.
+
+    The list, one row a file, lies beside the events and is written after
+    them: a page is looked up there, and only the files it needs are opened.
+    """
+    spark = ledger_events.sparkSession
+    rows = materialize(ledger_events, "events")
+    files = max(1, -(-rows.count() // events_per_file))
+    folder = f"{path}/load={uuid.uuid4().hex}"
+    rows.repartitionByRange(files, "run_id", "id").sortWithinPartitions("run_id", "id").write.partitionBy("run_id").parquet(folder)
+    written = spark.read.schema(LEDGER_SCHEMA).parquet(folder).groupBy("run_id", F.col("_metadata.file_path").alias("file")).agg(
+        F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count(F.lit(1)).alias("n"))
+    written.coalesce(1).write.mode("append").parquet(f"{path}/_files")
+
+
+def files_of(spark, path: str) -> DataFrame:
+    """(run_id, file, min_id, max_id, n): where the events of a clustered ledger lie."""
+    return spark.read.schema(_INDEX).parquet(f"{path}/_files")
+
+
+def clustered_page(spark, path: str, run_id: str, after_id: int, limit: int) -> DataFrame:
+    """``tail_page`` of a clustered ledger, from the files that can hold the page."""
+    ahead = files_of(spark, path).filter((F.col("run_id") == run_id) & (F.col("max_id") > after_id))
+    sure, end = 0, None
+    for r in ahead.orderBy("min_id", "file").limit(limit).collect():  # a file has an event after the id at least, so these hold a page
+        # of a file that begins before the page only one event is sure to be on it, unless its ids are dense
+        dense = r["n"] == r["max_id"] - r["min_id"] + 1
+        sure += r["n"] if r["min_id"] > after_id else r["max_id"] - after_id if dense else 1
+        end = r["max_id"] if end is None else max(end, r["max_id"])
+        if sure >= limit:
+            break
+    chosen = [] if end is None else [r["file"] for r in ahead.filter(F.col("min_id") <= end).select("file").collect()]
+    if not chosen:
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+    events = spark.read.schema(LEDGER_SCHEMA).option("basePath", path).parquet(*chosen)
+    return tail_page(events.select(*spark.createDataFrame([], LEDGER_SCHEMA).columns), run_id, after_id, limit)
+
+
+def current_end(spark, path: str, run_id: str) -> int:
+    """The last id of a run of a clustered ledger, 0 where it has none; no event is read."""
+    return files_of(spark, path).filter(F.col("run_id") == run_id).agg(F.max("max_id")).first()[0] or 0
+
+
 def read_ledger(spark, path: str) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 

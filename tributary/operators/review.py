@@ -151,7 +151,9 @@ def breaker(found: DataFrame, total_rows: Column, max_groups: int = 20, max_rati
     """Per run: group count, affected row ratio, and whether either limit is exceeded.
 
     ``rows_of`` (affected_id, seq) says which source rows an affected id stands
-    for; without it each id counts as one row.
+    for; without it each id counts as one row. Distinct rows are counted as set
+    bits: tasks turn the numbers they meet into bitmaps of neighbouring numbers,
+    and only bitmaps are shuffled.
     """
     per_group = found.groupBy("run_id", "group_key").agg(F.lit(1).alias("one"))
     groups = per_group.groupBy("run_id").agg(F.count("one").alias("group_count"))
@@ -159,13 +161,21 @@ def breaker(found: DataFrame, total_rows: Column, max_groups: int = 20, max_rati
                .select("run_id", "affected_id").distinct())
     if rows_of is not None:
         hot = hot_keys(count_keys(rows_of, ["affected_id"]), ["affected_id"])
-        touched = salted_join(rows_of, touched, ["affected_id"], hot, "seq").select("run_id", "seq").distinct()
-    rows = touched.groupBy("run_id").agg(F.count(F.lit(1)).alias("affected_rows"))
+        rows = distinct_numbers(salted_join(rows_of, touched, ["affected_id"], hot, "seq"), "run_id", "seq", "affected_rows")
+    else:
+        rows = touched.groupBy("run_id").agg(F.count(F.lit(1)).alias("affected_rows"))
     out = groups.join(rows, "run_id", "left").withColumn("affected_rows", F.coalesce("affected_rows", F.lit(0)))
     out = out.withColumn("affected_ratio", F.round(F.col("affected_rows") / total_rows, 4))
     return out.withColumn("tripped", (F.col("group_count") > max_groups) | (F.col("affected_ratio") > max_ratio))
 
 
+def distinct_numbers(rows: DataFrame, by: str, number: str, name: str) -> DataFrame:
+    """(by, name): how many different whole numbers, 0 or more, each group has; exact, by bitmaps of 32768 numbers."""
+    n = F.col(number) + 1  # buckets count from 1
+    bitmaps = rows.groupBy(by, F.bitmap_bucket_number(n).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("_bits"))
+    return bitmaps.groupBy(by).agg(F.sum(F.bitmap_count("_bits")).alias(name))
+
+
 def queue_order() -> list[Column]:
     """Pending items first, newest first within a status."""
     return [F.asc("status"), F.desc("created_at"), F.asc("group_key")]

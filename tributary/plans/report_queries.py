@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.operators import delivery, ledger as ledger_ops, mapping, profile, reports, review
+from tributary.operators import delivery, digests, ledger as ledger_ops, mapping, profile, reports, review
 from tributary.plans import delivery_queries, oracle as o  # noqa: F401 (defines the attempt blocks)
 from tributary.plans.registry import query
 from tributary.plans.review_queries import record_findings
@@ -209,3 +209,32 @@ def lost_events(spark, sf):
     earlier = b.ledger(spark, sf)
     later = earlier.filter((F.col("type") != "ERROR") | F.col("score").isNull() | (F.col("score") < 10))
     return ledger_ops.lost_events(earlier, later)
+
+
+def _as_ledger(events: DataFrame) -> DataFrame:
+    """The events of the bench with all columns of a ledger."""
+    have = dict(events.dtypes)
+    fields = [f.strip().split(" ") for f in ledger_ops.LEDGER_SCHEMA.split(",")]
+    return events.select(*[F.col(n).cast(t).alias(n) if n in have else F.lit(None).cast(t).alias(n) for n, t in fields])
+
+
+@query("lost_by_digest", o.with_blocks("SELECT run_id, id FROM ledger WHERE id % 977 = 5 OR id % 1499 = 7", "ledger"))
+def lost_by_digest(spark, sf):
+    """Against a later snapshot with some events changed, some gone, and others added."""
+    earlier = b.ledger(spark, sf)
+    later = earlier.filter("id % 1499 <> 7").withColumn("type", F.when(F.col("id") % 977 == 5, "CHANGED").otherwise(F.col("type")))
+    more = earlier.withColumn("id", F.col("id") + 1_000_000_000)
+    trees = [digests.tree(digests.leaves(df)) for df in (earlier, later.unionByName(more))]
+    return digests.lost_events(earlier, later.unionByName(more), *trees)
+
+
+def clustered_ledger(spark, sf) -> str:
+    path = scratch_path(spark, "ledger")
+    ledger_ops.append_clustered(_as_ledger(b.ledger(spark, sf)), path, events_per_file=500)
+    return path
+
+
+@query("clustered_event_page", o.with_blocks(f"SELECT {', '.join(_LEDGER_COLUMNS)}, 2 >= 1 AS few_files FROM ledger WHERE run_id = 'run_1' AND id > 100 ORDER BY id LIMIT 20", "ledger"))
+def clustered_event_page(spark, sf):
+    page = ledger_ops.clustered_page(spark, clustered_ledger(spark, sf), "run_1", 100, 20)
+    return page.select(*_LEDGER_COLUMNS, F.lit(len(page.inputFiles()) <= 2).alias("few_files"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tributary.operators.delivery import accept
 from tributary.operators.keyed_store import KeyedStore
-from tributary.operators.ledger import LEDGER_SCHEMA
+from tributary.operators.ledger import LEDGER_SCHEMA, current_end
 from tributary.session import materialize, scratch_path
 
 
@@ -23,6 +23,16 @@ def after(stream: DataFrame, run_id: str | None = None, from_id: int | None = No
     return stream if from_id is None else stream.filter(F.col("id") > from_id)
 
 
+def follow(spark: SparkSession, path: str, run_id: str, from_id: int | None = None, files_per_trigger: int = 100) -> DataFrame:
+    """A run of a clustered ledger as a stream, after an id, or from its current end on where none is given.
+
+    The end is that of the moment the stream is set up; a checkpoint that
+    exists goes on with the end that its caller kept.
+    """
+    start = current_end(spark, path, run_id) if from_id is None else from_id
+    return after(read_events(spark, path, files_per_trigger=files_per_trigger), run_id, start)
+
+
 def drain(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process everything available now into a parquet table and return that table."""
     spark = stream.sparkSession
