@@ -88,7 +88,11 @@ def audit_view(ledger: DataFrame, run_id: str, actor: str | None = None, limit:
 
 def search(canonical: DataFrame, text: str, tab: str = "all") -> DataFrame:
     """Records whose key, name, email or department contains the text; ``tab`` is all, pushed or other."""
-    rows = manifest(canonical)
+    return matching(manifest(canonical), text, tab)
+
+
+def matching(rows: DataFrame, text: str, tab: str = "all") -> DataFrame:
+    """``search`` among rows of ``manifest``."""
     q = text.strip().lower()
     hit = F.lit(not q)
     for c in ("canonical_key", "name", "email", "department"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tributary.operators import delivery, digests, ledger as ledger_ops, mapping, profile, reports, review
+from tributary.operators.search_index import SearchIndex
 from tributary.plans import delivery_queries, oracle as o  # noqa: F401 (defines the attempt blocks)
 from tributary.plans.registry import query
 from tributary.plans.review_queries import record_findings
@@ -170,6 +171,25 @@ def record_search(spark, sf):
     return reports.search(b.canonical(b.merged(spark, sf)[2]), " CD ", tab="other")
 
 
+@query("indexed_search", o.with_blocks("""
+SELECT text, canonical_key, name, email, department, status FROM (
+  SELECT canonical_key, trim(concat_ws(' ', first_name, last_name)) AS name, coalesce(email, '') AS email, coalesce(department, '') AS department, status FROM canonical),
+  (SELECT unnest(['cd', 'famb', '@example.com', 'E00012', 'zzz', 'nab fam']) AS text)
+WHERE contains(lower(canonical_key), lower(text)) OR contains(lower(name), lower(text)) OR contains(lower(email), lower(text)) OR contains(lower(department), lower(text))
+""", "canonical"))
+def indexed_search(spark, sf):
+    """Several texts looked for through postings; the records were taken up in two loads, the second with newer versions of some."""
+    canonical = b.canonical(b.merged(spark, sf)[2])
+    index = SearchIndex(spark, scratch_path(spark, "search"), parts=16)
+    index.add(canonical.withColumn("status", F.when(F.col("status") == "ready", "old").otherwise(F.col("status"))), 1)
+    index.add(canonical.filter("status = 'ready'"), 2)
+    out = None
+    for text in ("cd", "famb", "@example.com", "E00012", "zzz", "nab fam"):
+        found = index.search(text).select(F.lit(text).alias("text"), "canonical_key", "name", "email", "department", "status")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("latest_run", o.with_blocks("""
 SELECT run_id, CAST(min(ts) AS VARCHAR) AS started_at FROM ledger GROUP BY run_id ORDER BY min(ts) DESC, run_id DESC LIMIT 1""", "ledger"))
 def latest_run(spark, sf):
