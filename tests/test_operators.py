@@ -265,7 +265,7 @@ def test_rule_upsert_lookup_toggle_and_listing(spark):
     assert rules.find(old, "c", "enum_value").count() == 1 and rules.find(old, "other", "enum_value").count() == 0
     off = rules.toggle(rules.upsert(old, new), "id_b_2024-01-01")
     assert {r.fingerprint: r.enabled for r in off.collect()} == {"a": True, "b": False}
-    assert [r.action_display for r in rules.listing(old, "c").orderBy("fingerprint").collect()] == ["Set enum value 'X'", "Set enum value 'Y'"]
+    assert [r.action_display for r in rules.listing(old, "c").orderBy("fingerprint").collect()] == ["value means X", "value means Y"]
     assert mapping.empty_rules(spark).count() == 0
 
 
@@ -296,7 +296,7 @@ def test_attempt_outcomes(spark):
     assert {r.record_id for r in delivery.rollback_set(df, "r").collect()} == {"a", "d"}
     assert {r.record_id for r in delivery.retry_set(delivery.attempt_status(df)).collect()} == {"b", "c"}
     item = review.items(delivery.rejected_findings(delivery.attempt_status(df), "r", missing_id_codes=(422,))).first()
-    assert item.group_key == "push_4xx_b" and '"canonical_value":"E' in item.proposal
+    assert item.group_key == "refused/b" and '"canonical_value":"E' in item.proposal
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -146,9 +146,9 @@ def outage_findings(scanned: DataFrame, run_id: str) -> DataFrame:
     final = compensate(scanned.filter(F.col("run_id") == run_id))
     waiting = final.filter(F.col("final_status").isin("rolled_back", "not_attempted"))
     return findings(
-        waiting, run_id=run_id, type="TARGET_OUTAGE_HALT", group_key=F.lit(f"outage_{run_id}"),
+        waiting, run_id=run_id, type="TARGET_OUTAGE_HALT", group_key=F.lit(f"outage/{run_id}"),
         affected=F.col("record_id"), order=F.col("position"), context=as_json(first_position=F.col("position")),
-        proposal=as_json(action=F.lit("deliver_again")))
+        proposal=as_json(answers=F.lit("deliver, leave")))
 
 
 def rollback_set(attempts: DataFrame, run_id: str) -> DataFrame:
@@ -171,9 +171,9 @@ def rejected_findings(statuses: DataFrame, run_id: str, missing_id_codes: tuple[
     key = F.col("record_id").cast("string")
     return findings(
         statuses.filter(F.col("status") == "rejected"), run_id=run_id, type="PUSH_REJECTED_4XX",
-        group_key=F.concat(F.lit("push_4xx_"), key), affected=key,
+        group_key=F.concat(F.lit("refused/"), key), affected=key,
         context=as_json(status_code=F.col("http_status"), field=F.when(missing, F.lit("employee_id"))),
-        proposal=as_json(action=F.when(missing, F.lit("assign_id_and_repush")).otherwise(F.lit("correct_and_repush")),
+        proposal=as_json(answers=F.when(missing, F.lit("new id, reject")).otherwise(F.lit("correct, reject")),
                          canonical_value=F.when(missing, suggested_id(F.col("record_id")))))
 
 

@@ -63,7 +63,7 @@ def mapping_findings(decisions: DataFrame, run_id: str) -> DataFrame:
     unclear = decisions.filter(F.col("decision") == "AMBIGUOUS")
     return findings(
         unclear, run_id=run_id, type="MAPPING_AMBIGUITY",
-        group_key=F.concat_ws("_", F.lit("mapping"), "source", "column"),
+        group_key=F.concat_ws("/", F.lit("column"), "source", "column"),
         affected=F.concat_ws(":", "source", "column"),
         context=as_json(file=F.col("source"), column=F.col("column"), runner_up=F.col("runner_up"), margin=F.col("margin")),
         proposal=as_json(target_field=F.col("target_field"), confidence=F.col("score")))
@@ -72,26 +72,25 @@ def mapping_findings(decisions: DataFrame, run_id: str) -> DataFrame:
 def sensitive_findings(columns: DataFrame, run_id: str, client_id: str) -> DataFrame:
     text = F.concat(F.col("source"), F.lit("."), F.col("column"), F.lit(" -> "), F.col("mapped_to"))
     return findings(
-        columns, run_id=run_id, type="CONFIRM_SENSITIVE_MAPPINGS", group_key=F.lit(f"sensitive_mappings_{client_id}"),
-        affected=text, context=as_json(file=F.lit("all_sources"), column=F.lit("sensitive_fields")),
-        proposal=as_json(action=F.lit("approve_sensitive_mappings"), confidence=F.lit(1.0)))
+        columns, run_id=run_id, type="CONFIRM_SENSITIVE_MAPPINGS", group_key=F.lit(f"sensitive/{client_id}"),
+        affected=text, context=as_json(first=text), proposal=as_json(answers=F.lit("approve, reject")))
 
 
 def date_findings(orders: DataFrame, run_id: str) -> DataFrame:
     unclear = orders.filter(F.col("date_order") == "AMBIGUOUS")
     return findings(
         unclear, run_id=run_id, type="DATE_FORMAT_AMBIGUOUS",
-        group_key=F.concat_ws("_", F.lit("date_fmt"), "source", "column"),
+        group_key=F.concat_ws("/", F.lit("dates"), "source", "column"),
         affected=F.concat_ws(":", "source", "column"),
         context=as_json(file=F.col("source"), column=F.col("column")),
-        proposal=as_json(action=F.lit("choose_format"), suggested_format=F.lit("DMY")))
+        proposal=as_json(order=F.lit("DMY")))
 
 
 def enum_findings(unrecognized: DataFrame, run_id: str, proposal: Column | None = None) -> DataFrame:
     raw = F.upper("value")
     return findings(
         unrecognized, run_id=run_id, type="ENUM_VALUE_AMBIGUOUS",
-        group_key=F.concat(F.lit("enum_"), F.col("fingerprint")),
+        group_key=F.concat(F.lit("value/"), F.col("fingerprint")),
         affected=F.concat(F.col("source"), F.lit(":row_"), F.col("row_num").cast("string")),
         context=as_json(field=F.col("field"), raw_value=raw), proposal=proposal, order=F.col("seq"))
 
@@ -99,11 +98,10 @@ def enum_findings(unrecognized: DataFrame, run_id: str, proposal: Column | None
 def conflict_findings(sensitive: DataFrame, run_id: str) -> DataFrame:
     return findings(
         sensitive, run_id=run_id, type="SENSITIVE_FIELD_CONFLICT",
-        group_key=F.concat_ws("_", F.lit("conflict"), "canonical_key", "field"), affected=F.col("canonical_key"),
+        group_key=F.concat_ws("/", F.lit("differs"), "canonical_key", "field"), affected=F.col("canonical_key"),
         context=as_json(field=F.col("field"), kept_source=F.col("kept_source"), kept_value=F.col("kept_value"),
                         other_source=F.col("other_source"), other_value=F.col("other_value")),
-        proposal=as_json(action=F.lit("choose_source"), suggested_source=F.col("kept_source"),
-                         canonical_value=F.col("kept_value")))
+        proposal=as_json(source=F.col("kept_source"), canonical_value=F.col("kept_value")))
 
 
 def near_dup_findings(groups: DataFrame, group_members: DataFrame, run_id: str) -> DataFrame:
@@ -112,11 +110,11 @@ def near_dup_findings(groups: DataFrame, group_members: DataFrame, run_id: str)
     rows = salted_join(group_members, groups, key, hot, "canonical_key")
     return findings(
         rows, run_id=run_id, type="NEAR_DUPLICATE_RECORD",
-        group_key=F.concat_ws("_", F.lit("near_dup"), "date_of_birth", "name_a", "name_b"),
+        group_key=F.concat_ws("/", F.lit("alike"), "date_of_birth", "name_a", "name_b"),
         affected=F.col("canonical_key"),
         context=as_json(name_a=F.col("name_a"), name_b=F.col("name_b"), similarity=F.col("similarity"),
-                        shared_dob=F.col("date_of_birth")),
-        proposal=as_json(action=F.lit("review_merge_or_separate")))
+                        born=F.col("date_of_birth")),
+        proposal=as_json(answers=F.lit("merge, separate")))
 
 
 def validation_findings(checked: DataFrame, run_id: str) -> DataFrame:
@@ -124,15 +122,15 @@ def validation_findings(checked: DataFrame, run_id: str) -> DataFrame:
     only_error = F.when(F.size("errors") == 1, F.substring_index(F.col("errors")[0], ":", -1))
     return findings(
         failed, run_id=run_id, type="VALIDATION_FAILED_TWICE",
-        group_key=F.concat(F.lit("val_fail_"), F.col("canonical_key")), affected=F.col("canonical_key"),
+        group_key=F.concat(F.lit("fails/"), F.col("canonical_key")), affected=F.col("canonical_key"),
         context=as_json(field=only_error, errors=F.col("errors")),
-        proposal=as_json(action=F.lit("correct_and_retry")))
+        proposal=as_json(answers=F.lit("correct, reject")))
 
 
 def identity_findings(conflicting: DataFrame, run_id: str) -> DataFrame:
     return findings(
         conflicting, run_id=run_id, type="IDENTITY_CONFLICT",
-        group_key=F.concat_ws("_", F.lit("identity"), "canonical_key"), affected=F.col("canonical_key"),
+        group_key=F.concat_ws("/", F.lit("ids"), "canonical_key"), affected=F.col("canonical_key"),
         context=as_json(first_id=F.col("first_id"), last_id=F.col("last_id")))
 
 

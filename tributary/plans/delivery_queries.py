@@ -112,7 +112,7 @@ def batch_compensation(spark, sf):
 
 
 @query("outage_items", o.with_blocks("""
-SELECT 'outage_' || run_id AS group_key, 'TARGET_OUTAGE_HALT' AS type, count(*) AS affected_count
+SELECT 'outage/' || run_id AS group_key, 'TARGET_OUTAGE_HALT' AS type, count(*) AS affected_count
 FROM final_statuses WHERE run_id = 'run_1' AND final_status IN ('rolled_back', 'not_attempted') GROUP BY run_id""", "final_statuses"))
 def outage_items(spark, sf):
     scanned = delivery.outage_scan(delivery.attempt_status(b.attempts(spark, sf)))
@@ -131,7 +131,7 @@ def retry_set(spark, sf):
 
 
 @query("rejected_items", o.with_blocks("""
-SELECT 'push_4xx_' || CAST(record_id AS VARCHAR) AS group_key, 'PUSH_REJECTED_4XX' AS type, 1::BIGINT AS affected_count,
+SELECT 'refused/' || CAST(record_id AS VARCHAR) AS group_key, 'PUSH_REJECTED_4XX' AS type, 1::BIGINT AS affected_count,
        'E' || CAST(CAST('0x' || substr(sha256(CAST(record_id AS VARCHAR)), 1, 8) AS BIGINT) % 8999 + 1000 AS VARCHAR) AS suggested_id
 FROM statuses WHERE status = 'rejected'""", "statuses"))
 def rejected_items(spark, sf):

@@ -47,18 +47,18 @@ def _record_findings(rows: DataFrame, links: DataFrame, merged: DataFrame) -> tu
 
 
 o.block("column_findings", """
-SELECT 'MAPPING_AMBIGUITY' AS type, 'mapping_' || source || '_' || col AS group_key, source || ':' || col AS affected_id
+SELECT 'MAPPING_AMBIGUITY' AS type, 'column/' || source || '/' || col AS group_key, source || ':' || col AS affected_id
 FROM decisions WHERE decision = 'AMBIGUOUS'
-UNION ALL SELECT 'CONFIRM_SENSITIVE_MAPPINGS', 'sensitive_mappings_client', source || '.' || col || ' -> ' || mapped_to
+UNION ALL SELECT 'CONFIRM_SENSITIVE_MAPPINGS', 'sensitive/client', source || '.' || col || ' -> ' || mapped_to
 FROM decisions WHERE decision = 'ACCEPT' AND sensitive
-UNION ALL SELECT 'DATE_FORMAT_AMBIGUOUS', 'date_fmt_' || source || '_' || "column", source || ':' || "column" FROM date_orders WHERE date_order = 'AMBIGUOUS'
-UNION ALL SELECT 'ENUM_VALUE_AMBIGUOUS', 'enum_' || fingerprint, source || ':row_' || row_num FROM unrecognized""",
+UNION ALL SELECT 'DATE_FORMAT_AMBIGUOUS', 'dates/' || source || '/' || "column", source || ':' || "column" FROM date_orders WHERE date_order = 'AMBIGUOUS'
+UNION ALL SELECT 'ENUM_VALUE_AMBIGUOUS', 'value/' || fingerprint, source || ':row_' || row_num FROM unrecognized""",
         "decisions", "date_orders", "unrecognized")
 o.block("record_findings", """
-SELECT 'SENSITIVE_FIELD_CONFLICT' AS type, 'conflict_' || canonical_key || '_' || field AS group_key, canonical_key AS affected_id FROM sensitive_conflicts
-UNION ALL SELECT 'NEAR_DUPLICATE_RECORD', 'near_dup_' || date_of_birth || '_' || name_a || '_' || name_b, canonical_key
+SELECT 'SENSITIVE_FIELD_CONFLICT' AS type, 'differs/' || canonical_key || '/' || field AS group_key, canonical_key AS affected_id FROM sensitive_conflicts
+UNION ALL SELECT 'NEAR_DUPLICATE_RECORD', 'alike/' || date_of_birth || '/' || name_a || '/' || name_b, canonical_key
 FROM near_dups JOIN persons ON block = date_of_birth AND name IN (name_a, name_b)
-UNION ALL SELECT 'VALIDATION_FAILED_TWICE', 'val_fail_' || canonical_key, canonical_key FROM canonical WHERE outcome = 'quarantined'""",
+UNION ALL SELECT 'VALIDATION_FAILED_TWICE', 'fails/' || canonical_key, canonical_key FROM canonical WHERE outcome = 'quarantined'""",
         "sensitive_conflicts", "near_dups", "persons", "canonical")
 o.block("all_findings", "SELECT * FROM column_findings UNION ALL SELECT * FROM record_findings", "column_findings", "record_findings")
 _ITEMS = ("SELECT 'run_0' AS run_id, group_key, any_value(type) AS type, 'pending' AS status, "
@@ -121,7 +121,7 @@ def record_resolutions(items: DataFrame) -> DataFrame:
                               ("VALIDATION_FAILED_TWICE", "SENSITIVE_FIELD_CONFLICT", "NEAR_DUPLICATE_RECORD"))
     action = (F.when(conflict, "approve").when(twin, "correct").when(failed & salary, "reject")
               .when(failed & (email | status), "correct"))
-    address = F.concat(F.lower(F.replace("group_key", F.lit("val_fail_"), F.lit(""))), F.lit("@fixed.example.com"))
+    address = F.concat(F.lower(F.replace("group_key", F.lit("fails/"), F.lit(""))), F.lit("@fixed.example.com"))
     value = F.when(twin, "merge").when(failed & email, address).when(failed & status, "On Leave")
     return items.select("run_id", "group_key", action.alias("action"), F.when(failed, field).alias("field"), value.alias("value"),
                         F.lit(True).alias("remember"), F.to_timestamp(F.lit(_WHEN)).alias("resolved_at")) \
@@ -189,7 +189,7 @@ def column_resolutions(items: DataFrame) -> DataFrame:
 SELECT 'client' AS client_id, kind, fingerprint, action, source_item FROM (
   SELECT DISTINCT CASE type WHEN 'MAPPING_AMBIGUITY' THEN 'mapping' WHEN 'ENUM_VALUE_AMBIGUOUS' THEN 'enum_value'
                             WHEN 'DATE_FORMAT_AMBIGUOUS' THEN 'date_format' ELSE 'sensitive_mapping_confirmed' END AS kind,
-         CASE type WHEN 'MAPPING_AMBIGUITY' THEN affected_id WHEN 'ENUM_VALUE_AMBIGUOUS' THEN substr(group_key, 6)
+         CASE type WHEN 'MAPPING_AMBIGUITY' THEN affected_id WHEN 'ENUM_VALUE_AMBIGUOUS' THEN substr(group_key, 7)
                    WHEN 'DATE_FORMAT_AMBIGUOUS' THEN affected_id ELSE 'all_sensitive' END AS fingerprint,
          CASE type WHEN 'MAPPING_AMBIGUITY' THEN '{"target_field":"employee_id"}'
                    WHEN 'ENUM_VALUE_AMBIGUOUS' THEN CASE WHEN group_key LIKE '%:TECH' THEN '{"canonical_value":"MACHINERY"}' ELSE '{"canonical_value":"On Leave"}' END
@@ -268,9 +268,9 @@ def rules_applied(spark, sf):
 
 @query("rules_listing", o.with_blocks("""
 SELECT rule_id, kind, fingerprint, times_applied, enabled,
-       CASE kind WHEN 'mapping' THEN 'Map to ''' || json_extract_string(action, '$.target_field') || ''''
-                 WHEN 'enum_value' THEN 'Set enum value ''' || json_extract_string(action, '$.canonical_value') || ''''
-                 ELSE 'Apply format ''' || json_extract_string(action, '$.format') || '''' END AS action_display
+       CASE kind WHEN 'mapping' THEN 'column feeds ' || json_extract_string(action, '$.target_field')
+                 WHEN 'enum_value' THEN 'value means ' || json_extract_string(action, '$.canonical_value')
+                 ELSE 'dates are ' || json_extract_string(action, '$.format') END AS action_display
 FROM upserted WHERE client_id = 'client_2'""", "upserted"))
 def rules_listing(spark, sf):
     return rules.listing(rules.upsert(*order_rules(spark, sf)), "client_2").drop("created_at")
@@ -376,7 +376,7 @@ failed AS (SELECT canonical_key, CASE WHEN len(errors) = 1 THEN split_part(error
 SELECT 'escalation' AS stage, 'HUMAN_RESOLVED' AS type, 'human' AS actor, group_key AS entity_id, NULL AS field, NULL AS before, NULL AS after
 FROM (SELECT DISTINCT type, group_key, CASE WHEN type = 'VALIDATION_FAILED_TWICE' THEN affected_id END AS k FROM items) i LEFT JOIN failed ON k = canonical_key
 WHERE type IN ('ENUM_VALUE_AMBIGUOUS', 'DATE_FORMAT_AMBIGUOUS', 'SENSITIVE_FIELD_CONFLICT', 'NEAR_DUPLICATE_RECORD') OR field IN ('email', 'employment_status', 'salary')
-UNION ALL SELECT DISTINCT 'rules', 'RULE_CREATED', 'human', CASE type WHEN 'ENUM_VALUE_AMBIGUOUS' THEN substr(group_key, 6) ELSE affected_id END,
+UNION ALL SELECT DISTINCT 'rules', 'RULE_CREATED', 'human', CASE type WHEN 'ENUM_VALUE_AMBIGUOUS' THEN substr(group_key, 7) ELSE affected_id END,
        CASE type WHEN 'ENUM_VALUE_AMBIGUOUS' THEN 'enum_value' ELSE 'date_format' END, NULL, NULL
 FROM items WHERE type IN ('ENUM_VALUE_AMBIGUOUS', 'DATE_FORMAT_AMBIGUOUS')
 UNION ALL SELECT 'normalize', 'VALUE_NORMALIZED', 'rule', s.seq::VARCHAR, field, before, after FROM staged s JOIN staged_again a USING (seq), LATERAL (
