@@ -54,7 +54,7 @@ COLUMN = ("ENUM_VALUE_AMBIGUOUS", "DATE_FORMAT_AMBIGUOUS", "CONFIRM_SENSITIVE_MA
 RECORD = ("SENSITIVE_FIELD_CONFLICT", "NEAR_DUPLICATE_RECORD", "VALIDATION_FAILED_TWICE")
 
 
-@pytest.mark.parametrize("types", [COLUMN + RECORD, ("ENUM_VALUE_AMBIGUOUS",), RECORD], ids=["all", "enum", "records"])
+@pytest.mark.parametrize("types", [COLUMN + RECORD, ("ENUM_VALUE_AMBIGUOUS", *RECORD)], ids=["all", "no dates"])
 def test_resume_equals_a_full_run(spark, run1, types):
     path = scratch_path(spark, "saved")
     save(run1, path, "run1")
@@ -75,11 +75,11 @@ def test_steps_add_up(spark, run1):
     for p in (path, at_once):
         save(run1, p, "run1")
     run = SavedRun(spark, path)
-    for step, t in enumerate([*RECORD, *COLUMN], 1):
-        done = resume(run, answers(spark, say(run1, (t,))), CONTRACT, hr.sources(spark), options())
+    for step, types in enumerate([RECORD, COLUMN[:1], COLUMN[1:]], 1):
+        done = resume(run, answers(spark, say(run1, types)), CONTRACT, hr.sources(spark), options())
         assert done.step == step
-    assert run.last_step() == 6
-    resume(run, answers(spark, say(run1, (COLUMN[-1],))), CONTRACT, hr.sources(spark), options(), step=6)
+    assert run.last_step() == 3
+    resume(run, answers(spark, say(run1, COLUMN[1:])), CONTRACT, hr.sources(spark), options(), step=3)
     together = resume(SavedRun(spark, at_once), answers(spark, say(run1, RECORD + COLUMN)), CONTRACT, hr.sources(spark), options())
     assert rows_of(run.records()) == rows_of(together.run.records())
     statuses = {(r.type, r.status) for r in run.table("items").collect()}

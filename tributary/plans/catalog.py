@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tributary.plans import delivery_queries, entity_queries, report_queries, review_queries, source_queries  # noqa: F401
+from tributary.plans import delivery_queries, entity_queries, planted_queries, report_queries, review_queries, source_queries  # noqa: F401
 from tributary.plans import oracle as o
 from tributary.plans.registry import query
 from tributary.sources import bridge as b

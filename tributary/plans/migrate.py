@@ -75,6 +75,7 @@ def migrate(sources: dict[str, DataFrame], contract: Contract, rules: DataFrame
     resolutions are passed in, so a re-run with more rules decides more.
     """
     run = options.run_id
+    sources = {name: materialize(df, "landed") for name, df in sources.items()}  # parsed once, read column by column from here on
     if rules is not None:  # other clients' decisions say nothing about these sources
         rules = of_client(rules, options.client_id)
     precedence = list(options.precedence or sources)

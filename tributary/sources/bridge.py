@@ -95,7 +95,7 @@ ATTEMPTS = """
 SELECT event_id AS id, 'run_' || CAST(CAST(floor(event_id / 600.0) AS BIGINT) % 2 AS STRING) AS run_id,
        CAST(floor(event_id / 3.0) AS BIGINT) AS record_id,
        CAST(1 + event_id % 3 AS INT) AS attempt,
-       CASE WHEN CAST(floor(event_id / 3.0) AS BIGINT) % 500 BETWEEN 290 AND 295 THEN 503
+       CASE WHEN CAST(floor(event_id / 3.0) AS BIGINT) % 500 BETWEEN 294 AND 299 THEN 503
             WHEN event_type = 'purchase' THEN 201 WHEN event_type = 'signup' THEN 200 WHEN event_type = 'click' THEN 422
             ELSE 503 END AS http_status
 FROM events"""
