@@ -177,3 +177,41 @@ def test_a_pair_with_one_linked_seed_is_looked_at(spark, make_docs, words):
         if both[0] & both[1]:
             chosen.add((a, b))
     assert chosen and found == chosen
+
+
+def test_a_long_passage_of_frequent_lines_is_found(spark, make_docs, words, monkeypatch):
+    """Two lines that many documents hold stand next to each other in a few: their 60 words are a passage of those, whoever else holds a line."""
+    x, y = words(30, 7), words(30, 8)
+    rows = [(1, " ".join(x + words(40, 1))), (2, " ".join(y + words(40, 2)))]
+    rows += [(i, " ".join([*x, *words(20, 100 + i), *y])) for i in range(10, 40)]
+    rows += [(i, " ".join([*words(15, 200 + i), *x, *y, *words(15, 300 + i)])) for i in (5, 9, 50, 70)]
+    for often in (3, 64):
+        monkeypatch.setattr(substring_dedup, "OFTEN", often)
+        for parts in (1, 3, 8):
+            found = substring_dedup.passages(make_docs(rows).repartition(parts)).collect()
+            assert {d for r in found for d in (r.doc_a, r.doc_b)} == {5, 9, 50, 70}, (often, parts)
+
+
+def test_documents_with_exact_passages_are_those_of_brute_force(spark, make_docs, words):
+    """Passages of 51 to 90 words dealt over documents, by several, with lines of 20 words everywhere; in any number of parts."""
+    import random
+    rng = random.Random(9)
+    passages = [words(rng.randrange(51, 91), 500 + i) for i in range(12)]
+    lines = [words(20, 700 + i) for i in range(5)]
+    rows, held = [], {}
+    for d in range(70):
+        mine = rng.sample(range(12), rng.choice([0, 0, 1, 2]))
+        body = []
+        for p in mine:
+            body += words(rng.randrange(5, 40), 1000 + 13 * d + p) + passages[p] + rng.choice(lines)
+        rows.append((d, " ".join(body + words(30, 3000 + d) + rng.choice(lines))))
+        for p in mine:
+            held.setdefault(p, set()).add(d)
+    want = {d for docs in held.values() if len(docs) > 1 for d in docs}
+    for parts in (1, 2, 5):
+        found = substring_dedup.passages(make_docs(rows).repartition(parts)).collect()
+        assert {d for r in found for d in (r.doc_a, r.doc_b)} == want
+        text = dict(rows)
+        for r in found:
+            a, b = text[r.doc_a].split()[r.start_a:r.end_a], text[r.doc_b].split()[r.start_b:r.end_b]
+            assert r.n_words >= 50 and r.similarity >= 0.8 and (r.similarity < 1 or a == b)
