@@ -117,11 +117,19 @@ def test_mixing_meets_its_targets(make_docs):
         spread = -sum(w * math.log(w) for w in share.values()) / math.log(len(share))
         most = max(share[s] * total / words[s] for s in words)
         assert abs(spread - 0.9) < 1e-6 if target.entropy else abs(most - 3) < 1e-6
-        assert all(r.place == hashlib.md5(f"{r['pass']}:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest() for r in taken)
+        name = lambda r: "-" + hashlib.md5((r.text or "").encode()).hexdigest() if r.doc_id is None else r.doc_id
+        assert all(r.place == hashlib.md5(f"{r['pass']}:{name(r)}".encode()).hexdigest() for r in taken)
     few = mixing.mix(docs, mixing.Target(entropy=0.9), budget=200).count()
     assert 0 < few < len(rows) and mixing.mix(make_docs([]), mixing.Target(entropy=0.9)).count() == 0
 
 
+def test_rows_without_id_keep_to_a_budget(make_docs):
+    """Fifty texts without id are fifty documents: of 600 words some 300 are taken."""
+    rows = [(None, f"word{i} " + "w " * 9, "a") for i in range(50)] + [(None, f"other{i} " + "w " * 9, "b") for i in range(10)]
+    taken = mixing.mix(make_docs(rows), mixing.Target(entropy=0.5), budget=300).select("row.*").collect()
+    assert 290 <= sum(len(r.text.split()) for r in taken) <= 320
+
+
 def test_id_files_round_trip(spark, make_docs):
     rows = [(i * 3, f"Don't stop {i} café <|endoftext|> x_y 12") for i in range(60)] + [(7, None), (8, ""), (9, "a " * 50_000), (9, "twin"), (9, "twin"), (None, "no id"), (-4, "ŉ İ ſ é")]
     listed = token_files.write_ids(make_docs(rows), TOKENIZER, files=3)

@@ -45,9 +45,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def unit(key: str, text: str) -> Column:
+    """What names a document: its key, of a row without key the hash of its text."""
+    return F.coalesce(F.col(f"`{key}`").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))))
+
+
 def units(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(source, key, n): words of each document; rows that share source and key are one document, a null source is the empty one."""
-    return materialize(docs.groupBy(F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), F.col(f"`{key}`").alias("key"))
+    """(source, key, n): words of each document; rows that share source and key (of null keys: the text) are one document, a null source is the empty one."""
+    return materialize(docs.groupBy(F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), unit(key, text).alias("key"))
                        .agg(F.sum(n_words(F.col(f"`{text}`"))).alias("n")), "units")
 
 
@@ -113,7 +118,7 @@ def small(sources: DataFrame) -> DataFrame:
 
 def place(epoch: Column, key: Column) -> Column:
     """Where a document stands in the permutation of a pass."""
-    return F.md5(F.concat(epoch.cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.md5(F.concat(epoch.cast("string"), F.lit(":"), key))
 
 
 def _cutoffs(found: DataFrame, shares: DataFrame) -> DataFrame:
@@ -140,13 +145,13 @@ def _cutoffs(found: DataFrame, shares: DataFrame) -> DataFrame:
     return inside.withColumn("before", through - F.col("n")).filter(F.col("before") < F.col("left")).groupBy("source").agg(F.max("h").alias("cutoff"))
 
 
-def realise(docs: DataFrame, mixture: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+def realise(docs: DataFrame, mixture: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(row, epoch, place): every row of ``docs``, all its columns as one, once for each pass that takes it.
 
     Documents of a source without words are taken once. Rows sorted by
     (epoch, place) are the passes in their permuted order.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), F.col(f"`{key}`").alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), unit(key, text).alias("key"))
     joined = rows.join(small(mixture.select("source", "epochs", "cutoff")), "source", "left")
     partial = (place(F.col("epochs"), F.col("key")) <= F.col("cutoff")).cast("long")
     counted = joined.withColumn("copies", F.coalesce(F.col("epochs") + partial, F.lit(1))).filter("copies > 0")
@@ -156,4 +161,4 @@ def realise(docs: DataFrame, mixture: DataFrame, key: str = "doc_id", source: st
 
 def mix(docs: DataFrame, target: Target, budget: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` mixed to the target weights: see ``plan`` and ``realise``. An empty table gives an empty result."""
-    return realise(docs, plan(units(docs, key, text, source), target, budget), key, source)
+    return realise(docs, plan(units(docs, key, text, source), target, budget), key, text, source)
