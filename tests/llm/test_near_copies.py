@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tributary.llm import decontaminate, simhash, substring_dedup
@@ -137,6 +138,17 @@ def test_decontamination_finds_passages_with_replaced_words(spark, make_docs, wo
     assert sorted((r.doc_id for r in left.collect()), key=str) == [4, 5, 6, 7, None] and "epoch" in left.columns
 
 
+def test_short_items_and_options_are_honoured(spark, make_docs):
+    bench = spark.createDataFrame([(1, "what is two plus"), (2, "three small words"), (3, "one")], "item_id long, text string")
+    docs = make_docs([(1, "so What is two, plus?"), (2, "what is two minus"), (3, "these three small words"), (4, "no one here")])
+    found = lambda **o: sorted((r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench, **o).collect())
+    assert found() == [] and found(min_words=4) == [(1, 1)] and found(min_words=3) == [(1, 1), (2, 1), (3, 2)]
+    assert found(min_words=1)[-1] == (4, 3)
+    for wrong in ({"similarity": 0.6}, {"min_words": 0}, {"similarity": 1.2}):
+        with pytest.raises(ValueError):
+            decontaminate.overlaps(docs, bench, **wrong)
+
+
 def test_masks_hit_every_passage_of_four_fifths():
     for n, k in ((13, 2), (14, 2), (15, 3), (20, 4)):
         for gone in itertools.combinations(range(n), k):

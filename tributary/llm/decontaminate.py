@@ -47,18 +47,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     """(key, item, overlap_words, matched_words, similarity): the best overlap of each contaminated document and item.
 
     An overlap is a stretch of the item that stands in the document with at
-    ``min_words`` words, five or more (all of a shorter item), of which at least the
+    ``min_words`` words (all of a shorter item), of which at least the
     share ``similarity``, 0.8 or more, agree in place. Of several the best-scored counts, then the
     longest; a shorter stretch that scores higher does not hide one that is long enough. A text is
-    taken whole; null and empty texts overlap nothing, nor do items of fewer than five words. Rows that share a key are one document. Repeated
+    taken whole; null and empty texts overlap nothing, nor do items of fewer than five words, or of fewer than ``min_words`` where that is less. Rows that share a key are one document. Repeated
     items and extra columns change nothing.
     """
+    if min_words < 1 or not 0.8 <= similarity <= 1:
+        raise ValueError("the masks find overlaps of one word or more that agree in 0.8 or more")
+    shortest = min(min_words, len(MASKS[0]))
     items = (benchmark.select(F.col(f"`{item}`").alias("item"), words(F.col(f"`{item_text}`")).alias("w"))
              .distinct().withColumn("item_no", F.xxhash64("item", "w")).withColumn("item_words", F.size("w")))
-    items = materialize(items.filter(F.col("item_words") >= len(MASKS[0])), "items")
+    items = materialize(items.filter(F.col("item_words") >= shortest), "items")
     least = F.least(F.lit(min_words), F.col("item_words"))
     short = items.agg(F.min(least)).first()[0]
     masks = MASKS if short is None or short >= MIN_WORDS else MASKS + SHORT_MASKS
+    if shortest < 4:  # of fewer than five words all must agree
+        masks += ("1" * shortest,)
     looked_up = materialize(seeds(items.select("w", "item_no", "item_words"), masks).select("seed", "item_no", "item_words", F.col("pos").alias("item_pos")).distinct(), "seeds")
     blocks = max(1, -(-looked_up.count() // BLOCK_SEEDS))
     text_rows = docs.select(F.col(f"`{key}`").alias("key"), words(F.col(f"`{text}`")).alias("w"))

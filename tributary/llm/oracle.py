@@ -65,20 +65,15 @@ dl AS MATERIALIZED (SELECT *, {leads.format(by='doc_id')} FROM dw),
 il AS MATERIALIZED (SELECT *, {leads.format(by='item_id')} FROM iw),
 ds AS ({seeds('dl')}), bs AS ({seeds('il')}),
 hits AS MATERIALIZED (SELECT DISTINCT ds.doc_id, bs.item_id, bs.item_words, ds.pos - bs.pos AS start FROM ds JOIN bs USING (seed)),
-laid AS (SELECT h.doc_id, h.item_id, h.item_words, h.start, iw.pos, CASE WHEN iw.w = dw.w THEN {match} ELSE {miss} END AS v
+laid AS (SELECT h.doc_id, h.item_id, h.item_words, h.start, iw.pos, (iw.w = dw.w)::INT AS same
          FROM hits h JOIN iw USING (item_id) JOIN dw ON dw.doc_id = h.doc_id AND dw.pos = h.start + iw.pos),
-sums AS (SELECT *, sum(v) OVER (PARTITION BY doc_id, item_id, start ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS s FROM laid),
--- the lowest sum before, the last of equal ones: where the best stretch that ends here begins
-lows AS (SELECT *, min((s - v) * 100000 - pos) OVER (PARTITION BY doc_id, item_id, start ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS low FROM sums),
-ends AS (SELECT doc_id, item_id, item_words, start, pos AS last, ceil(low / 100000.0)::BIGINT AS base, s FROM lows),
-runs AS (SELECT doc_id, item_id, item_words, start, last, s - base AS score,
-                (SELECT max(l.pos) FROM lows l WHERE l.doc_id = e.doc_id AND l.item_id = e.item_id AND l.start = e.start AND l.pos <= e.last AND l.s - l.v = e.base) AS first
-         FROM ends e),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, start ORDER BY score DESC, last) AS k FROM runs WHERE score > 0),
-rated AS (SELECT doc_id, item_id, score, (last - first + 1)::INTEGER AS overlap_words, item_words,
-                 ((score - ({miss}) * (last - first + 1)) // ({match} - ({miss})))::INTEGER AS matched_words FROM best WHERE k = 1),
+sums AS MATERIALIZED (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, start ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS s FROM laid),
+-- every stretch that is long enough
+rated AS (SELECT e.doc_id, e.item_id, e.item_words, (e.pos - b.pos + 1)::INTEGER AS overlap_words, (e.s - b.s + b.same)::INTEGER AS matched_words,
+                 ({match} - ({miss})) * (e.s - b.s + b.same) + ({miss}) * (e.pos - b.pos + 1) AS score
+          FROM sums b JOIN sums e ON b.doc_id IS NOT DISTINCT FROM e.doc_id AND b.item_id = e.item_id AND b.start = e.start AND e.pos - b.pos + 1 >= least({min_words}, e.item_words)),
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, overlap_words DESC, matched_words DESC) AS r FROM rated
-        WHERE overlap_words >= least({min_words}, item_words) AND matched_words >= {similarity} * overlap_words)
+        WHERE matched_words >= {similarity} * overlap_words)
 SELECT doc_id, item_id, overlap_words, matched_words, matched_words / overlap_words AS similarity FROM top WHERE r = 1
 """
 
