@@ -156,6 +156,23 @@ def audit_export(spark, sf):
     return exports.audit_table(b.ledger(spark, sf), RUN, _LEDGER_COLUMNS)
 
 
+@query("audit_csv", o.with_blocks("""
+SELECT row_number() OVER (ORDER BY id) AS row_num, id::VARCHAR AS id, run_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, stage, type, actor, 'user' AS entity_type, entity_id,
+       lower(type) AS field, CASE WHEN actor = 'human' THEN 'said "no", then' || chr(10) || 'yes' END AS before, stage || ',' || actor AS after,
+       CASE WHEN type = 'ERROR' THEN 'told' END AS reason, (id % 7)::DOUBLE::VARCHAR AS score
+FROM ledger WHERE run_id = 'run_0'""", "ledger"))
+def audit_csv(spark, sf):
+    """The audit export with all its columns, written as CSV and read as a source; some cells hold quotes, commas and line breaks."""
+    told = F.when(F.col("actor") == "human", F.concat(F.lit('said "no", then'), F.lit("\n"), F.lit("yes")))
+    events = b.ledger(spark, sf).withColumns({
+        "ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "entity_type": F.lit("user"), "field": F.lower("type"), "before": told,
+        "after": F.concat_ws(",", "stage", "actor"), "reason": F.when(F.col("type") == "ERROR", "told"), "score": (F.col("id") % 7).cast("double")})
+    path = scratch_path(spark, "audit")
+    exports.write_audit_csv(events, "run_0", path)
+    rows = readers.read_source(spark, path, "audit", "csv", multiLine="true")
+    return rows.select(F.col(readers.ROW_NUM).alias("row_num"), *exports.AUDIT_COLUMNS)
+
+
 @query("event_page", o.with_blocks(
     f"SELECT {', '.join(_LEDGER_COLUMNS)} FROM ledger WHERE run_id = 'run_1' AND id > 100 ORDER BY id LIMIT 20", "ledger"))
 def event_page(spark, sf):

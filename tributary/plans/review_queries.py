@@ -19,16 +19,18 @@ RUN, CLIENT = "run_0", "client"
 _WHEN = "2024-02-01 00:00:00"
 
 
-def column_findings(spark, sf) -> DataFrame:
-    """Everything undecided about columns and enum values of the exports."""
-    decisions = materialize(mapping.decide(export_profiles(spark, sf), b.CONTRACT), "decisions")
-    unknown = staging.unrecognized_enums(b.staged(spark, sf), b.CONTRACT)
+def column_findings(spark, sf, learned: DataFrame | None = None, run: str = RUN) -> DataFrame:
+    """Everything undecided about columns and enum values of the exports, with the rules learned so far."""
+    decisions = materialize(mapping.decide(export_profiles(spark, sf), b.CONTRACT, learned), "decisions")
+    staged = b.staged(spark, sf) if learned is None else staging.stage(b.exports(spark, sf), b.MAPPINGS, b.CONTRACT, learned, default_date_order=b.DATE_ORDER)
+    unknown = staging.unrecognized_enums(staged, b.CONTRACT)
+    orders = export_date_orders(spark, sf) if learned is None else staging.all_date_orders(b.exports(spark, sf), b.MAPPINGS, b.CONTRACT, learned)
     guess = F.to_json(mapping.enum_fallback(F.col("field"), F.col("value"), b.CONTRACT))
     return materialize(review.union_all([
-        review.mapping_findings(decisions, RUN),
-        review.sensitive_findings(mapping.sensitive_columns(decisions, b.CONTRACT), RUN, CLIENT),
-        review.date_findings(export_date_orders(spark, sf), RUN),
-        review.enum_findings(unknown, RUN, guess)]), "findings")
+        review.mapping_findings(decisions, run),
+        review.sensitive_findings(mapping.sensitive_columns(decisions, b.CONTRACT, learned), run, CLIENT),
+        review.date_findings(orders, run),
+        review.enum_findings(unknown, run, guess)]), "findings")
 
 
 def record_findings(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -330,6 +332,18 @@ def run_delta(spark, sf):
     return rules.run_delta(b.ledger(spark, sf), "run_0", "run_1")
 
 
+@query("item_delta", o.with_blocks("""
+SELECT type, first_items, second_items, second_items - first_items AS change, round(100.0 * (second_items - first_items) / first_items, 1) AS change_pct
+FROM (SELECT type, count(DISTINCT group_key) AS first_items,
+             count(DISTINCT group_key) FILTER (NOT (group_key IN ('column/src_c/ref', 'dates/src_b/doj') OR upper(group_key) IN ('VALUE/EMPLOYMENT_STATUS:LOA', 'VALUE/DEPARTMENT:TECH'))) AS second_items
+      FROM column_findings GROUP BY type)""", "column_findings"))
+def item_delta(spark, sf):
+    """The review items of a first run and of a second one with the rules that were learned in between."""
+    first = review.items(column_findings(spark, sf))
+    second = review.items(column_findings(spark, sf, clients_rules(spark), "run_1"))
+    return rules.run_delta(first.unionByName(second), RUN, "run_1")
+
+
 # -- a run taken up again ----------------------------------------------------------------------
 
 # The staged rows as the remembered decisions leave them: two enum values learned, the payroll dates month first.

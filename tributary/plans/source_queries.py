@@ -282,12 +282,16 @@ FROM (SELECT p_partkey, word, CAST(1 + p_partkey % length(word) AS INT) AS i
 _PRODUCTS = "SELECT DISTINCT CAST('product' AS STRING) AS field, lower(p_type) || ' ' || p_name AS word, upper(lower(p_type) || ' ' || p_name) AS canonical FROM part"
 
 
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz .0123456789', ''), lambda c: length({0}) - length(replace({0}, c, '')))"
+
+
 @query("enum_fuzzy", f"""
-WITH typed AS MATERIALIZED ({_TYPED.replace('STRING', 'VARCHAR')}), words AS MATERIALIZED ({_PRODUCTS.replace('STRING', 'VARCHAR')}),
-unknown AS MATERIALIZED (SELECT DISTINCT field, lower(trim(value)) AS value FROM typed WHERE lower(trim(value)) NOT IN (SELECT word FROM words)),
+WITH typed AS MATERIALIZED ({_TYPED.replace('STRING', 'VARCHAR')}), words AS MATERIALIZED (SELECT *, {_LETTERS.format('word')} AS wl FROM ({_PRODUCTS.replace('STRING', 'VARCHAR')})),
+unknown AS MATERIALIZED (SELECT *, {_LETTERS.format('value')} AS vl FROM (SELECT DISTINCT field, lower(trim(value)) AS value FROM typed WHERE lower(trim(value)) NOT IN (SELECT word FROM words))),
 near AS MATERIALIZED (SELECT field, value, word, canonical, similarity FROM (
   SELECT u.field, value, word, canonical, {o.ratio('value', 'word')} AS similarity FROM unknown u JOIN words w ON u.field = w.field
-  WHERE 2.0 * least(length(value), length(word)) / (length(value) + length(word)) >= 0.9) WHERE similarity >= 90),
+  -- two texts have no more letters in common, in order, than they have in common at all
+  WHERE 2.0 * list_sum(list_transform(list_zip(wl, vl), lambda p: least(p[1], p[2]))) / (length(value) + length(word)) >= 0.9) WHERE similarity >= 90),
 best AS (SELECT field, value, arg_min(canonical, word) AS canonical, min(word) AS word, any_value(similarity) AS similarity
          FROM (SELECT *, max(similarity) OVER (PARTITION BY field, value) AS most FROM near) WHERE similarity = most
          GROUP BY field, value HAVING count(DISTINCT canonical) = 1)
