@@ -227,3 +227,19 @@ def test_documents_with_exact_passages_are_those_of_brute_force(spark, make_docs
         for r in found:
             a, b = text[r.doc_a].split()[r.start_a:r.end_a], text[r.doc_b].split()[r.start_b:r.end_b]
             assert r.n_words >= 50 and r.similarity >= 0.8 and (r.similarity < 1 or a == b)
+
+
+def test_close_pairs_over_word_edges_and_bucket_sizes():
+    """Buckets of all sizes, numbers of rows around multiples of 64, against all pairs."""
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 63, 64, 65, 130, 260):
+        for radius in (1, 2, 3):
+            same = np.sort(rng.integers(0, max(1, n // 30), n))
+            same = np.unique(same, return_inverse=True)[1] if n else same
+            base = rng.integers(0, 1 << 63, max(1, n // 5), dtype=np.uint64)
+            values = base[rng.integers(0, len(base), n)].copy()
+            for _ in range(3):
+                values ^= np.where(rng.random(n) < 0.5, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+            i, j = simhash.close_pairs(values, same, radius)
+            want = {(a, b) for a in range(n) for b in range(a + 1, n) if same[a] == same[b] and bin(int(values[a]) ^ int(values[b])).count("1") <= radius}
+            assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)

@@ -82,28 +82,45 @@ def _mask(groups: Iterable[tuple[int, int]]) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The bit planes of values: one row a bit, 64 values to a word."""
+    filled = np.concatenate((values, np.zeros(-len(values) % 64, dtype=np.uint64)))
+    return np.packbits(np.ascontiguousarray(_set_bits(filled).T), axis=1, bitorder="little").view("<u8")
+
+
+def _shifted(plane: np.ndarray, words: np.ndarray, shift: int) -> np.ndarray:
+    """These words of a plane that begins ``shift`` values further on; past the end there are zeros."""
+    ahead, bits = words + shift // 64, shift % 64
+    low = plane[np.minimum(ahead, len(plane) - 1)] >> np.uint64(bits)
+    low[ahead >= len(plane)] = 0
+    if bits:
+        high = plane[np.minimum(ahead + 1, len(plane) - 1)] << np.uint64(64 - bits)
+        high[ahead + 1 >= len(plane)] = 0
+        low |= high
+    return low
+
+
 def close_pairs(values: np.ndarray, same: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j), i < j, with same[i] == same[j] and at most ``radius`` differing bits.
 
-    ``same`` numbers the buckets upwards from 0, rows of one bucket together. For each shift s the bit planes are
-    compared with themselves s rows on: 64 rows to a word, one plane at a time.
+    ``same`` numbers the buckets upwards from 0, rows of one bucket together. Values are turned into bit planes once; for each
+    shift s the planes are compared with themselves s rows on, 64 rows to a word and one plane at a time, shifted as words. Words
+    all of whose lanes exceed the radius, or lie in no bucket of that length, drop out. When half of the rows are in buckets
+    that are done with, the planes of the others are made anew.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
     rows = np.arange(len(values))
-    shift = 1
-    while True:
-        again = np.flatnonzero(same[shift:] == same[:-shift]) if shift < len(same) else rows[:0]
-        if not len(again):
+    planes, shift = _planes(values), 1
+    while shift < len(same):
+        met = same[shift:] == same[:-shift]
+        if not met.any():
             break
-        left, right = values[again], values[again + shift]
-        lanes = -len(left) % 64
-        differ = np.concatenate((left ^ right, np.full(lanes, ~np.uint64(0), dtype=np.uint64)))
-        planes = np.packbits(np.ascontiguousarray(_set_bits(differ).T), axis=1, bitorder="little").view("<u8")  # one row a bit, one bit a pair
-        words = np.arange(planes.shape[1])
+        lanes = np.packbits(np.concatenate((met, np.zeros(64 * planes.shape[1] - len(met), dtype=bool))), bitorder="little").view("<u8")
+        words = np.flatnonzero(lanes)
+        over = ~lanes[words]
         counter = np.zeros((radius.bit_length() + 1, len(words)), dtype=np.uint64)
-        over = np.zeros(len(words), dtype=np.uint64)
         for bit in range(BITS):
-            carry = planes[bit, words]
+            carry = planes[bit, words] ^ _shifted(planes[bit], words, shift)
             for level in counter:
                 level ^= carry
                 carry &= ~level
@@ -117,13 +134,15 @@ def close_pairs(values: np.ndarray, same: np.ndarray, radius: int) -> tuple[np.n
         if len(words):
             ok = np.unpackbits((~over).astype("<u8").view(np.uint8), bitorder="little").reshape(len(words), 64)
             w, lane = np.nonzero(ok)
-            hit = again[words[w] * 64 + lane]
+            hit = words[w] * 64 + lane
             found.append((rows[hit], rows[hit + shift]))
         # only buckets longer than this shift go on
         longer = np.zeros(int(same[-1]) + 1, dtype=bool)
-        longer[same[again]] = True
+        longer[same[:-shift][met]] = True
         keep = longer[same]
-        values, same, rows = values[keep], same[keep], rows[keep]
+        if 2 * np.count_nonzero(keep) <= len(keep):
+            values, same, rows = values[keep], same[keep], rows[keep]
+            planes = _planes(values)
         shift += 1
     if not found:
         return rows[:0], rows[:0]
