@@ -20,13 +20,13 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
-from tributary.llm.common import materialize, mounted, scratch_path, text_bytes, text_chunks
+from tributary.llm.common import mounted, scratch_path, text_bytes, text_chunks
 
 MAGIC = b"TRBIDS01"
 SAMPLE = 256
@@ -186,7 +186,7 @@ class _Memory(dict):
 
 
 def _encoder(path: str, end_id: int) -> tuple[Callable[[list[bytes]], list[bytes]], int]:
-    """(texts -> ids as little-endian bytes, bytes of an id); kept by a worker from task to task.
+    """(texts -> ids as little-endian bytes, bytes of an id); kept by a worker from task to task, its memories as long as the caller wants.
 
     The vocabulary's rules never look across ASCII white space: it is dropped,
     and neither its composition of characters nor its patterns span it. So ids
@@ -233,18 +233,24 @@ def _encoder(path: str, end_id: int) -> tuple[Callable[[list[bytes]], list[bytes
         text = text.lower()
         return piece(text) if text.isalpha() and text.isascii() else b"".join(map(piece, PIECES.findall(text)))
 
-    part = _Memory(ids_of_part).__getitem__
+    parts = _Memory(ids_of_part)
+    part = parts.__getitem__
 
     def encode(texts: list[bytes]) -> list[bytes]:
         return [b"".join([*map(part, t.split()), last]) for t in texts]
 
+    def forget() -> None:
+        parts.clear()
+
+    encode.forget = forget
+
     _encoders[path, end_id] = encode, width
     return _encoders[path, end_id]
 
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, files: int | None = None,
               key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode every whole text and write id files in ascending key order; one row per file, written as a table.
+    """Encode every whole text and write id files in ascending key order; one row per file.
 
     (file, path, documents, n_ids, start): ``start`` counts the ids of all files
     before. Rows are dealt out by ranges of the key, further by text, so that a
@@ -266,13 +272,14 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
         number = TaskContext.get().partitionId()
         path = os.path.join(into, f"{number:06d}.ids")
         n, ids, _, _ = write_file(path, ((part.column("_key").to_pylist(), encode(texts)) for part, texts in text_chunks(batches)), width)
+        getattr(encode, "forget", int)()  # the worker outlives this stage
         yield pa.RecordBatch.from_pydict({"file": [number], "path": [path], "documents": [n], "n_ids": [ids]})
 
     rows = text_bytes(docs, F.col(f"`{key}`").cast("long").alias("_key"), F.xxhash64(text).alias("_hash"), text=text)
     rows = rows.repartitionByRange(files, F.asc_nulls_first("_key"), "_hash").sortWithinPartitions(F.asc_nulls_first("_key"), "_hash")
-    listed = materialize(rows.mapInArrow(run, "file long, path string, documents long, n_ids long"), "id_files")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    return materialize(listed.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "id_files")
+    made = sorted(tuple(r) for r in rows.mapInArrow(run, "file long, path string, documents long, n_ids long").collect())  # a row per file
+    starts = [0, *accumulate(n_ids for _, _, _, n_ids in made)]
+    return spark.createDataFrame([(*r, start) for r, start in zip(made, starts)], "file long, path string, documents long, n_ids long, start long")
 
 
 def read_ids(listed: DataFrame, key: str = "doc_id") -> DataFrame:
