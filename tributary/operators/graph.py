@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tributary.session import materialize
+from tributary.session import materialize, shuffled
 
 
 def connected(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,9 +22,9 @@ def connected(pairs: DataFrame, a: str, b: str) -> DataFrame:
         near = edges.join(groups.select(F.col("node").alias("other"), "group"), "other").groupBy("node").agg(F.min("group").alias("near"))
         # what a neighbour tells a node, it also tells the node's group
         told = groups.join(near, "node").select("group", "near").groupBy("group").agg(F.min("near").alias("told"))
-        heard = groups.join(near, "node").join(told, "group").select("node", F.least("group", "near", "told").alias("next"))
+        heard = groups.join(near, "node").join(shuffled(told), "group").select("node", F.least("group", "near", "told").alias("next"))
         onward = heard.select(F.col("node").alias("next"), F.col("next").alias("onward"))
-        moved = materialize(heard.join(onward, "next").join(groups, "node").select("node", F.col("onward").alias("group"), (F.col("onward") != F.col("group")).alias("moved")), "groups")
+        moved = materialize(heard.join(shuffled(onward), "next").join(groups, "node").select("node", F.col("onward").alias("group"), (F.col("onward") != F.col("group")).alias("moved")), "groups")
         groups = moved.select("node", "group")
         if moved.filter("moved").isEmpty():
             return groups

@@ -15,7 +15,7 @@ from tributary.functions import dates
 from tributary.operators import entity, ledger, mapping, near_dup, review, rules, staging
 from tributary.operators.skew import hot_keys, lookup, salted_join
 from tributary.plans.migrate import Migration, Options, check_records
-from tributary.session import materialize
+from tributary.session import materialize, shuffled
 from tributary.sources.readers import ROW_NUM
 
 #: Tables of a saved run and what tells their rows apart; those without a key never change.
@@ -49,7 +49,7 @@ class SavedRun:
     path: str
 
     def _steps(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return shuffled(self.spark.read.parquet(f"{self.path}/{name}"))
 
     def last_step(self) -> int:
         return self._steps("items").agg(F.max("step")).first()[0]
@@ -62,7 +62,7 @@ class SavedRun:
         if not KEYS[name]:
             return rows.drop("step")
         later = rows.filter("step > 0").groupBy(*KEYS[name]).agg(F.max("step").alias("_last"))
-        return rows.join(later, KEYS[name], "left").filter(F.col("step") == F.coalesce("_last", F.lit(0))).drop("step", "_last")
+        return shuffled(rows.join(later, KEYS[name], "left").filter(F.col("step") == F.coalesce("_last", F.lit(0))).drop("step", "_last"))
 
     def records(self) -> DataFrame:
         return self.table("records").filter("live").drop("live")
