@@ -49,3 +49,25 @@ def test_saved_tables_are_not_broadcast(spark):
 def test_groups_of_pairs_as_before(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (5, 5)], "a long, b long")
     assert sorted(tuple(r) for r in graph.connected(pairs, "a", "b").collect()) == [(1, 1), (2, 1), (3, 1), (5, 5), (7, 7), (8, 7)]
+
+
+def test_customers_of_a_small_file_are_dealt_out(spark, tmp_path):
+    from tributary.sources import bridge
+
+    spark.createDataFrame([(i, f"n{i}", i % 5, 1.5 * i, "BUILDING") for i in range(30)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string") \
+        .coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in bridge.EXPORTS:
+        assert "hashpartitioning(c_custkey" in plan(bridge.export(spark, str(tmp_path), name))
+    assert sorted(r["_row_num"] for r in bridge.export(spark, str(tmp_path), "src_a").collect()) == list(range(1, 31))
+
+
+def test_each_date_text_is_read_once(spark):
+    from tributary.operators import staging
+
+    rows = [("3 Jan 2020", "13/01/2020", "01/02/2020", None)] * 3 + [("2020-01-03", "13/01/2020", "02/01/2020", None)] * 2 + [(None, "01/13/2020", "", None)]
+    df = spark.createDataFrame(rows, "named string, both string, open string, empty string")
+    found = staging.column_date_orders(df, "s", df.columns)
+    assert "keys=[column" in plan(found) and "value" in plan(found)
+    assert {r["column"]: r["date_order"] for r in found.collect()} == {"named": "DMonY", "both": "AMBIGUOUS", "open": "AMBIGUOUS", "empty": None}
+    none = staging.column_date_orders(df.limit(0), "s", df.columns).collect()  # a row a column, also without rows
+    assert [(r["column"], r["date_order"]) for r in none] == [(c, None) for c in df.columns]
