@@ -111,6 +111,15 @@ def test_a_stretch_that_is_long_enough_is_not_hidden_by_a_better_shorter_one(mak
     assert [(r.doc_a, r.doc_b) for r in found] == [(1, 2)] and found[0].n_words >= 50 and found[0].similarity >= 0.8
 
 
+def test_chains_that_cannot_be_passages_are_not_aligned(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(0, 1 << 60, 200).astype(np.uint64) for _ in range(2))
+    b[60:65], b[70:75] = a[60:65], a[72:77]
+    assert substring_dedup.most_agreeing(a, b, [(60, 60, 5), (72, 70, 5)]) == 15  # ten words of runs and five between them at most
+    monkeypatch.setattr(substring_dedup, "gap", lambda a, b: 1 / 0)
+    assert substring_dedup.align(a, b, [(60, 60, 5), (72, 70, 5)], 50) is None
+
+
 def test_chains_equal_the_quadratic_recurrence():
     rng = np.random.default_rng(2)
     for _ in range(30):
