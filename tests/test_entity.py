@@ -206,3 +206,20 @@ def test_hashes_that_many_names_meet_on_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 4)
     monkeypatch.setattr(near_dup, "_PAIRS_PER_TASK", 4)
     assert sorted(map(tuple, near_dup.similar_names(node_rows, 80.0).collect())) == plain
+
+
+def test_two_dropped_letters_meet_whole_names_only(spark):
+    names = ["fama naabcdefg", "fama naabxxefg", "fama naabefg", "fama naabef"]
+    node_rows = near_dup.nodes(spark.createDataFrame([("d", n) for n in names], "block string, name string"))
+    name = {r.node: r["name"] for r in node_rows.collect()}
+    met = {frozenset((name[r.node_a], name[r.node_b])) for r in near_dup._pairs_by_remainder(node_rows, 90.0).collect()}
+    # the first two have 12 letters in common where 13 are needed; before, they met on those
+    assert met == {frozenset(p) for p in ((names[0], names[2]), (names[1], names[2]), (names[2], names[3]))}
+
+
+@pytest.mark.parametrize("threshold", [80.0, 86.0, 90.0, 93.0])
+def test_lengths_whose_names_meet_whole_names_only(threshold):
+    for n in near_dup._whole_after_two(threshold):
+        for m in near_dup._partners(n, threshold):
+            need = near_dup._needed(n, m, threshold)
+            assert n - need != 2 or m - need > 2 or m == need

@@ -93,3 +93,21 @@ def test_similarity_goldens(spark):
     got = [round(r[0], 2) for r in df.orderBy("i").select(similarity.indel_ratio(F.col("a"), F.col("b"))).collect()]
     assert got == [91.67, 90.91, 83.33, 33.33, 100.0]
     assert values(spark, ["Sharma  RAHUL"], similarity.sorted_tokens) == ["rahul sharma"]
+
+
+def test_lcs_of_texts_that_begin_and_end_alike(spark):
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    long = "naabc" * 30
+    cases = [("aaa", "aa"), ("", ""), ("", "a"), ("a", "a"), ("abab", "ab"), ("xay", "xby"), ("fam naab", "fam naaab"), ("😀a😀", "😀b😀"), ("😀", "😁"),
+             (long + "x" + long, long + "yy" + long), ("abcba", "abba"), ("aXa", "a")]
+    df = spark.createDataFrame([*cases, (None, "a"), ("a", None)], "a string, b string")
+    got = [r.n for r in df.select(similarity.lcs_length(F.col("a"), F.col("b")).alias("n")).collect()]
+    assert got == [*(plain(a, b) for a, b in cases), None, None]
