@@ -74,3 +74,15 @@ def test_many_batches_answer_as_one(spark):
     assert answers(got) == answers(accept(spark.createDataFrame(made, schema)))
     held = tail.delivered_store(spark, f"{base}/store").all()
     assert held.count() == got.filter(F.col("outcome") == "created").count() == held.select("employee_id").distinct().count()
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, store):
+    one = KeyedStore(spark, scratch_path(spark, "store"), "employee_id", SCHEMA, parts=1).open()
+    many = spark.range(60_000).selectExpr("concat('E', id) AS employee_id", "sha2(string(id), 256) AS idempotency_key", "'p' AS payload")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        written = one.append(many, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(one.all().inputFiles()) > 2
+    assert sorted(one.all().collect()) == sorted(many.collect()) == sorted(written.drop("part").collect())

@@ -45,3 +45,17 @@ def test_a_search_reads_its_own_posting_keys(spark, loaded):
     assert len(store.touched(asked)) <= 3 < len([n for n in store._names(store.path) if n.startswith("part=")])
     found = index.candidates(keys)
     assert found.count() == now.filter(F.contains("email", F.lit("@x.com"))).count() + found.join(now.filter("email IS NULL"), "canonical_key", "left_semi").count()
+
+
+def test_a_load_writes_its_postings_once_beside_the_store(spark, monkeypatch):
+    from tributary.operators import keyed_store, search_index
+    from tributary.session import materialize
+
+    written = []
+    for module in (keyed_store, search_index):
+        monkeypatch.setattr(module, "materialize", lambda df, label="stage": written.append(sorted(df.columns)) or materialize(df, label))
+    index = SearchIndex(spark, scratch_path(spark, "search"), parts=4)
+    index.add(records(spark, 40), 1)
+    assert sum("gram" in columns for columns in written) == 1
+    counts = spark.read.parquet(f"{index.path}/counts")
+    assert counts.agg(F.sum("n")).first()[0] == index._postings().all().count() > 0

@@ -63,8 +63,11 @@ class KeyedStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def append(self, rows: DataFrame, batch: int) -> None:
-        """Write new records as this batch's slots. Written again, a batch takes the place of its first try."""
+    def append(self, rows: DataFrame, batch: int) -> DataFrame:
+        """Write new records as this batch's slots; gives them as a written table. Written again, a batch takes the place of its first try.
+
+        A part is written by one task, a large one by as many as its size needs.
+        """
         columns = self.spark.createDataFrame([], self.schema).columns
         rows = materialize(rows.select(*columns).withColumn("part", self.part()), "new_records")
         parts = [r["part"] for r in rows.select("part").distinct().collect()]
@@ -73,7 +76,8 @@ class KeyedStore:
         if full:
             kept = self.read(full, batch).withColumn("part", self.part())
             out = out.unionByName(kept.withColumn("slot", F.lit(f"whole-{batch}")))
-        (out.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "slot").parquet(self.path))
+        (out.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "slot").parquet(self.path))
+        return rows
 
     def vacuum(self, before: int) -> int:
         """Remove slots that a whole one of a batch before this, which cannot be run again, has replaced; their number."""

@@ -46,9 +46,9 @@ class SearchIndex:
         rows = materialize(reports.manifest(canonical).select(*[F.col(c).cast("string").alias(c) for c in (*FIELDS, "status")], F.lit(version).cast("long").alias("version")), "records")
         fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(f).alias("text")) for f in FIELDS]))
         texts = rows.select("canonical_key", fields.alias("f")).select("canonical_key", "f.*").filter("text IS NOT NULL")
-        found = materialize(texts.select("canonical_key", "field", F.explode(F.concat(grams(F.col("text"), 2), grams(F.col("text"), 3))).alias("gram")), "grams")
+        found = texts.select("canonical_key", "field", F.explode(F.concat(grams(F.col("text"), 2), grams(F.col("text"), 3))).alias("gram"))
+        found = self._postings().append(found, version)
         found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/counts/version={version}")
-        self._postings().append(found, version)
         self._records().append(rows, version)
 
     def rarest(self, text: str) -> list[str] | None:
