@@ -252,3 +252,53 @@ def test_close_pairs_over_word_edges_and_bucket_sizes():
             i, j = simhash.close_pairs(values, same, radius)
             want = {(a, b) for a in range(n) for b in range(a + 1, n) if same[a] == same[b] and bin(int(values[a]) ^ int(values[b])).count("1") <= radius}
             assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+
+
+def test_edited_copies_of_a_frequent_passage_are_paired_with_each_other(spark, make_docs, words, monkeypatch):
+    """A seed of more than FEW documents, whose first holder has nothing else in common: each two others are a passage of their own."""
+    line, passage = words(10, 7), words(60, 8)
+
+    def edited(n):
+        """Other words in eight places of the passage, the line in its middle: any two agree in four fifths or less, copies of one n in all."""
+        return [f"w{n}x{i}" if (i + n) % 9 == 0 and not 25 <= i < 35 else line[i - 25] if 25 <= i < 35 else w for i, w in enumerate(passage)]
+
+    rows = [(1, " ".join(words(70, 1) + line + words(70, 2)))] + [(i, " ".join(words(80, 10 + i) + line + words(80, 40 + i))) for i in range(2, 12)]
+    rows += [(20 + n, " ".join(words(30, 80 + n) + edited(n) + words(30, 90 + n))) for n in range(9)]
+    text = {i: t.split() for i, t in rows}
+    want = {(20 + a, 20 + b) for a in range(9) for b in range(a + 1, 9) if sum(x == y for x, y in zip(edited(a), edited(b))) * 5 >= 4 * 55}
+    assert len(want) > 9
+    for often in (4, 4096):  # in blocks of so many, and all at once
+        monkeypatch.setattr(substring_dedup, "OFTEN", often)
+        for parts in (1, 3):
+            found = {(r.doc_a, r.doc_b) for r in substring_dedup.passages(make_docs(rows).repartition(parts)).collect()}
+            assert found >= want and all(a >= 20 for a, _ in found), (often, parts, want - found)
+
+
+def test_partners_by_grams_are_those_of_all_pairs(monkeypatch):
+    """No pair that shares a stretch of 50 to 99 columns around its seed is left out, whatever counts as frequent."""
+    rng = np.random.default_rng(4)
+    side, k = substring_dedup.span(50), substring_dedup.K
+    base = rng.integers(1, 256, (6, 2 * side + k)).astype(np.uint8)
+    near, want = [], set()
+    for i in range(60):
+        row = rng.integers(1, 256, 2 * side + k).astype(np.uint8)
+        row[side:side + k] = base[0, side:side + k]
+        if i < 45:
+            length = int(rng.integers(50, 100))
+            start = int(rng.integers(max(0, side + k - length), side + 1))
+            row[start:start + length] = base[i % 6, start:start + length]
+            row[side:side + k] = base[0, side:side + k]
+            other = [x for x in range(start, start + length) if not side <= x < side + k]
+            row[rng.choice(other, length // 10, replace=False)] = rng.integers(1, 256, length // 10)
+        near.append(row)
+    near = np.array(near)
+    for i in range(60):
+        for j in range(i + 1, 60):
+            same = np.cumsum(np.append(0, near[i] == near[j]))
+            if any(same[b] - same[a] >= 0.8 * (b - a) for n in range(50, 100) for a in range(max(0, side + k - n), side + 1) if (b := a + n) < len(same)):
+                want.add((i, j))
+    assert len(want) > 50
+    for limit in (4_000_000, 300, 0):
+        monkeypatch.setattr(substring_dedup, "GRAM_PAIRS", limit)
+        found = {(int(i), int(j)) for x, y in substring_dedup.partners(np.zeros(60, dtype=np.int64), near, np.arange(60), 50) for i, j in zip(x, y)}
+        assert want <= found and (limit < 4_000_000 or len(found) < 60 * 59 / 4), (limit, len(found), len(want))
