@@ -302,3 +302,84 @@ def test_partners_by_grams_are_those_of_all_pairs(monkeypatch):
         monkeypatch.setattr(substring_dedup, "GRAM_PAIRS", limit)
         found = {(int(i), int(j)) for x, y in substring_dedup.partners(np.zeros(60, dtype=np.int64), near, np.arange(60), 50) for i, j in zip(x, y)}
         assert want <= found and (limit < 4_000_000 or len(found) < 60 * 59 / 4), (limit, len(found), len(want))
+
+
+def edited_copies(rng, n):
+    """Pairs of texts, as hashes, with words replaced, put in and left out, and the runs of all chains of some of their seeds."""
+    for _ in range(n):
+        a = rng.integers(0, 1 << 60, rng.integers(60, 400)).astype(np.uint64)
+        b, rate = [], rng.choice([0.01, 0.04, 0.1])
+        for w in a.tolist():
+            what = rng.random()
+            b += [] if what < rate else [7] if what < 2 * rate else [w, *rng.integers(0, 4, rng.integers(1, 5)).tolist()] if what < 3 * rate else [w]
+        b = np.array(b, dtype=np.uint64)
+        places = {b[j:j + 5].tobytes(): j for j in range(len(b) - 4)}
+        found = np.array([(i, places[a[i:i + 5].tobytes()]) for i in range(len(a) - 4) if a[i:i + 5].tobytes() in places and rng.random() < 0.5]).reshape(-1, 2)
+        if len(found):
+            runs = substring_dedup.merge_runs(np.zeros(len(found), dtype=int), *found.T)[1]
+            yield a, b, [runs[c] for c in substring_dedup.chains(runs)]
+
+
+def test_alignments_made_together_are_those_made_one_by_one(monkeypatch):
+    """Of straight chains and of such with gaps of all kinds; a chain whose runs do not stand in the texts is none."""
+    for cells, together in ((10_000, 1 << 20), (10_000, 300), (20, 1 << 20)):
+        monkeypatch.setattr(substring_dedup, "GAP_CELLS", cells)
+        monkeypatch.setattr(substring_dedup, "GAPS_CELLS", together)
+        texts, sides, runs, want, size = [], [], [], [], 0
+        for n, (a, b, chained) in enumerate(edited_copies(np.random.default_rng(3), 60)):
+            for r in chained:
+                if n % 9 == 0:
+                    r = r + [0, 0, 1]
+                want.append(substring_dedup.align(a, b, [tuple(x) for x in r.tolist()], 50))
+                sides.append([(size, size + len(a)), (size + len(a), size + len(a) + len(b))])
+                runs.append(r + [size, size + len(a), 0])
+            texts += [a, b]
+            size += len(a) + len(b)
+        sides = np.array(sides)
+        got = substring_dedup.align_all(np.concatenate(texts), sides[:, 0], sides[:, 1], np.concatenate(runs), np.array([len(r) for r in runs]), 50)
+        got = {c: (a - sides[c, 0, 0], b - sides[c, 0, 0], x - sides[c, 1, 0], y - sides[c, 1, 0], n, m) for c, a, b, x, y, n, m in zip(*(v.tolist() for v in got))}
+        assert got == {c: w for c, w in enumerate(want) if w} and 10 < len(got) < len(want)
+
+
+def test_chains_of_many_pairs_are_those_of_each(monkeypatch):
+    """Also where runs are equally good to follow, and where a pair has more runs than are held against each other."""
+    rng = np.random.default_rng(5)
+    for limit in (64, 6):
+        monkeypatch.setattr(substring_dedup, "SWEPT", limit)
+        for _ in range(20):
+            pairs = []
+            for _ in range(40):
+                x = rng.integers(0, rng.choice([15, 40, 200]), rng.integers(1, 30))
+                seeds = np.unique(np.stack((x, x + rng.integers(0, rng.choice([1, 2, 6, 30]), len(x))), axis=1), axis=0)
+                pairs.append(substring_dedup.merge_runs(np.zeros(len(seeds), dtype=int), *seeds.T)[1])
+            order, sizes, counts = substring_dedup.chains_of(np.repeat(np.arange(40), [len(p) for p in pairs]), np.concatenate(pairs))
+            chained = iter(np.split(order, np.cumsum(sizes)[:-1]))
+            before = 0
+            for p, n in zip(pairs, counts.tolist()):
+                assert sorted((next(chained) - before).tolist() for _ in range(n)) == sorted(substring_dedup.chains(p))
+                before += len(p)
+
+
+def test_words_of_a_document_are_sent_to_a_group_once():
+    """Thirty copies make 435 pairs; of each the words go to their group as one stretch, not with every pair."""
+    a, b = np.triu_indices(30, 1)
+    one, doc = np.zeros(870, dtype=np.int64), np.concatenate((a, b))
+    got = substring_dedup.stretches(doc, one, one + doc % 3, one + 200)
+    assert [v.tolist() for v in got] == [list(range(30)), [0] * 30, [d % 3 for d in range(30)], [200] * 30]
+    apart = substring_dedup.stretches(*np.array([[1, 1, 1, 1, 2], [5, 5, 5, 6, 5], [90, 0, 40, 45, 95], [120, 50, 60, 70, 99]]))
+    assert [v.tolist() for v in apart] == [[1, 1, 1, 2], [5, 5, 6, 5], [0, 90, 45, 95], [60, 120, 70, 99]]
+
+
+def test_a_group_that_is_dealt_out_gives_the_same_passages(make_docs, words, monkeypatch):
+    """Two clusters of edited copies, one of them with rows that share a key, in groups of all sizes."""
+    rows = []
+    for c in range(2):
+        passage = words(120, 400 + c)
+        for n in range(14):
+            rows.append((100 * c + (0 if c and n == 1 else n), " ".join(words(10 + n, 500 + 20 * c + n) + [f"x{n}" if (i + n) % 23 == 0 else w for i, w in enumerate(passage)])))
+    found = []
+    for group, parts in ((1 << 16, 1), (20, 3), (1, 2)):
+        monkeypatch.setattr(substring_dedup, "GROUP", group)
+        found.append(sorted(tuple(r) for r in substring_dedup.passages(make_docs(rows).repartition(parts)).collect()))
+    assert found[0] == found[1] == found[2]
+    assert {r[:2] for r in found[0]} == {(100 * c + a, 100 * c + b) for c in range(2) for a in range(14) for b in range(a + 1, 14) if not c or 1 not in (a, b)}
