@@ -383,3 +383,16 @@ def test_a_group_that_is_dealt_out_gives_the_same_passages(make_docs, words, mon
         found.append(sorted(tuple(r) for r in substring_dedup.passages(make_docs(rows).repartition(parts)).collect()))
     assert found[0] == found[1] == found[2]
     assert {r[:2] for r in found[0]} == {(100 * c + a, 100 * c + b) for c in range(2) for a in range(14) for b in range(a + 1, 14) if not c or 1 not in (a, b)}
+
+
+def test_partners_of_more_rows_than_fit_are_those_of_all_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    near = rng.integers(1, 256, (90, 193)).astype(np.uint8)
+    near[::2, 60:130] = near[0, 60:130]
+    near[:, 94:99] = near[0, 94:99]
+    group = np.repeat([0, 1], [50, 40])
+    pairs = []
+    for rows in (1 << 16, 16, 8):
+        monkeypatch.setattr(substring_dedup, "ROWS", rows)
+        pairs.append({(int(i), int(j)) for x, y in substring_dedup.partners(group, near, np.arange(90), 50) for i, j in zip(x, y)})
+    assert pairs[0] == pairs[1] == pairs[2] == {(i, j) for g in (range(0, 50, 2), range(50, 90, 2)) for i in g for j in g if i < j}
